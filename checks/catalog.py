@@ -278,8 +278,7 @@ def global_scalars(spark, sf_dir):
 
 @query
 def snapshot_time(spark, sf_dir):
-    at = snapshot(spark, sf_dir)
-    return spark.range(1).select(ntz(at).alias("snapshot"))
+    return rollup.snapshot_frame(customer.event_times(tables(spark, sf_dir)))
 
 
 @query

@@ -1,7 +1,8 @@
 """Exact ranking metrics on a scored table (label 0/1, score), as Spark aggregates.
 
-Rows are first counted per distinct score; running counts over the scores
-then give every curve. ``groups`` evaluates many score sets in one job.
+Rows are first counted per distinct score and the counts staged; running counts over
+the scores then give every curve. ``groups`` evaluates many score sets at once. All of
+them run jobs to count the scores and to place the cuts of the running counts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.operators.ordered import running_totals
+from retentia.sources.sink import stage
 
 
 def score_curve(scored: DataFrame, label: str = "label", score: str = "score", groups: Sequence[str] = ()) -> DataFrame:
@@ -22,7 +24,7 @@ def score_curve(scored: DataFrame, label: str = "label", score: str = "score", g
     counts = scored.groupBy(*groups, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    points = running_totals(counts, "threshold", ["pos", "neg"], groups)
+    points = running_totals(stage(counts), "threshold", ["pos", "neg"], groups)
     return points.withColumns({"tp": F.col("pos_total") - F.col("pos_below"), "fp": F.col("neg_total") - F.col("neg_below")})
 
 

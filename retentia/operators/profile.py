@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.operators.quantiles import exact_quantiles
+from retentia.operators.quantiles import quantiles_of_counts
+from retentia.sources.sink import stage
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50, weight: str | None = None) -> DataFrame:
@@ -54,14 +55,15 @@ def box_summary(df: DataFrame, group: str, cols: Sequence[str], whisker: float =
     known = df.filter(F.col(group).isNotNull())
     numeric = known.select(group, *[F.col(c).try_cast("double").alias(c) for c in cols])
     long = numeric.unpivot([group], cols, "feature", "value")
-    counted = long.groupBy("feature", group, "value").agg(F.count(F.lit(1)).alias("_n"))
+    counted = stage(long.groupBy("feature", group, "value").agg(F.count(F.lit(1)).alias("n")))
+    known_values = counted.filter("value IS NOT NULL")
 
-    valid = counted.groupBy("feature", group).agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("_n"))), F.lit(0)).alias("n_valid"))
-    skipped = valid.filter("n_valid = 0").select("feature").distinct()
+    n_valid = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+    skipped = counted.groupBy("feature", group).agg(n_valid.alias("n_valid")).filter("n_valid IS NULL")
 
-    quartiles = exact_quantiles(long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["feature", group])
+    quartiles = quantiles_of_counts(known_values, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["feature", group])
     reach = whisker * (F.col("q3") - F.col("q1"))
-    fenced = counted.filter("value IS NOT NULL").join(quartiles, ["feature", group])
+    fenced = known_values.withColumnRenamed("n", "_n").join(quartiles, ["feature", group])
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     summary = fenced.groupBy("feature", group).agg(
         *[F.first(c).alias(c) for c in ("n", "q1", "median", "q3")],
@@ -69,7 +71,7 @@ def box_summary(df: DataFrame, group: str, cols: Sequence[str], whisker: float =
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("n_outliers"),
     )
-    return summary.join(skipped, "feature", "left_anti")
+    return summary.join(skipped.select("feature").distinct(), "feature", "left_anti")
 
 
 def crosstab_share(df: DataFrame, row: str, col: str, levels: Sequence | None = None) -> DataFrame:

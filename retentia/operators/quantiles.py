@@ -13,19 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.operators.ordered import value_slices, within_slices
+from retentia.sources.sink import stage
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], groups: Iterable[str] = (), slices: int = 200
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], groups: Iterable[str] = ()) -> DataFrame:
     """One row per group: ``n`` non-missing values and one column per named probability.
 
     Quantile ``q`` sits at position ``q * (n - 1)`` of the ordered values and is
     interpolated linearly between its neighbours. Groups without values are absent.
+    The counts per distinct value are staged; runs two jobs.
     """
     groups = list(groups)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    sliced, totals = value_slices(counted, value, ["n"], groups, slices)
+    return quantiles_of_counts(stage(counted), value, probs, groups)
+
+
+def quantiles_of_counts(counted: DataFrame, value: str, probs: Mapping[str, float], groups: Iterable[str] = ()) -> DataFrame:
+    """``exact_quantiles`` of a staged table with one row per group and value, and its frequency ``n``."""
+    groups = list(groups)
+    sliced, totals = value_slices(counted, value, ["n"], groups)
 
     def rank(q: float):
         return F.lit(float(q)) * (F.col("n_total") - 1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,15 @@ from retentia.operators.ordered import moving_average, timeline_profile
 from retentia.sources.tables import KEY
 
 
+def snapshot_frame(sources: Iterable[tuple[DataFrame, str]]) -> DataFrame:
+    """Latest time over several (table, column) pairs, as a one-row table."""
+    latest = [df.agg(F.max(ts).alias("snapshot")) for df, ts in sources]
+    return reduce(DataFrame.unionByName, latest).agg(F.max("snapshot").alias("snapshot"))
+
+
 def snapshot_date(sources: Iterable[tuple[DataFrame, str]]) -> datetime | None:
-    """Latest time over several (table, column) pairs; runs one small aggregate per table."""
-    latest = [df.agg(F.max(ts).alias("ts")).first()["ts"] for df, ts in sources]
-    return max((t for t in latest if t is not None), default=None)
+    """Latest time over several (table, column) pairs, collected; missing tables and times are skipped."""
+    return snapshot_frame(sources).first()["snapshot"]
 
 
 def total(c: Column | str) -> Column:

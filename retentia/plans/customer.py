@@ -45,10 +45,17 @@ from retentia.sources.tables import KEY
 CHANNEL = "ServiceUsage"
 
 
+# Time column of each table that has one.
+EVENT_TIMES = {"tx": "TransactionDate", "svc": "InteractionDate", "online": "LastLoginDate"}
+
+
+def event_times(tables: Mapping[str, DataFrame]) -> list[tuple[DataFrame, str]]:
+    return [(tables[t], c) for t, c in EVENT_TIMES.items() if t in tables and c in tables[t].columns]
+
+
 def snapshot_of(tables: Mapping[str, DataFrame]) -> datetime:
-    """Latest time seen in the event tables."""
-    times = {"tx": "TransactionDate", "svc": "InteractionDate", "online": "LastLoginDate"}
-    return snapshot_date([(tables[t], c) for t, c in times.items() if c in tables[t].columns])
+    """Latest time seen in the event tables; runs a job unless the caller has a cutoff of its own."""
+    return snapshot_date(event_times(tables))
 
 
 def join_customers(tables: Mapping[str, DataFrame], snapshot: datetime, labelled: bool = True,
