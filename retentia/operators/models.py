@@ -102,6 +102,21 @@ def assemble(df: DataFrame, label: str = LABEL, drop: Sequence[str] = NON_FEATUR
     return vectors.select(*keep, F.col(label).cast("int").alias(label), "features"), names + list(index)
 
 
+def spread(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """Partition a staged training table for many short passes over it.
+
+    Each pass of a solver is a job, so on small data fewer, larger tasks win; a table
+    with more partitions than its rows need is coalesced, one with too few is
+    spread over the cores. Large tables keep the partitions of their scan.
+    """
+    wanted = max(1, math.ceil(df.count() / rows_per_task))
+    have = df.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if wanted < have:
+        return df.coalesce(wanted)
+    return df.repartition(min(wanted, cores)) if have < min(wanted, cores) else df
+
+
 def fit_logistic(train: DataFrame, label: str = LABEL, max_iter: int = 500, c: float = 1.0) -> PipelineModel:
     """L2-penalised logistic regression on standardised features, balanced classes.
 
@@ -109,7 +124,7 @@ def fit_logistic(train: DataFrame, label: str = LABEL, max_iter: int = 500, c: f
     the population one. The penalty is spread over the weighted rows, which makes
     it the ``1 / c`` of the summed-loss form.
     """
-    weighted = with_class_weight(train, label)
+    weighted = with_class_weight(spread(train, 50_000), label)
     size = weighted.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
     width = len(weighted.select("features").first()["features"])
     widen = math.sqrt(size["n"] / max(size["n"] - 1, 1))
@@ -130,7 +145,7 @@ def forest(trees: int = 50, min_leaf: int = 3, max_depth: int = 12, seed: int =
 
 
 def fit_forest(train: DataFrame, label: str = LABEL, **settings) -> Model:
-    return forest(label=label, **settings).fit(with_class_weight(train, label))
+    return forest(label=label, **settings).fit(with_class_weight(spread(train, 2_000), label))
 
 
 def fit_boosted(train: DataFrame, profile: str = "wide", rounds: int = 30, label: str = LABEL,
@@ -142,7 +157,7 @@ def fit_boosted(train: DataFrame, profile: str = "wide", rounds: int = 30, label
     validation column stops at the first round that does not improve; here all rounds are
     run and compared, and the model is fitted again up to the best.
     """
-    weighted = with_class_weight(train, label, "balanced" if profile == "wide" else "ratio")
+    weighted = with_class_weight(spread(train, 50_000), label, "balanced" if profile == "wide" else "ratio")
     checkpoint_folder(train.sparkSession)
     trees = GBTClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, maxBins=max_bins,

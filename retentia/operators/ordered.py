@@ -7,7 +7,7 @@ carry a small total from slice to slice:
 * events of a key are sliced by time unit (``instants``, ``event_gaps``,
   ``timeline_profile``), so the carry has one row per key and time unit;
 * values of a group are sliced at approximate quantiles (``running_totals``), so
-  the carry has at most 256 rows per group;
+  the carry has one row per slice, 256 to 16384 per group;
 * rows that must be numbered are placed by range (``event_number``), so the carry
   has at most one row per partition.
 
@@ -27,8 +27,9 @@ from retentia.sources.sink import stage
 from retentia.sources.tables import KEY
 
 
-# Each group's edges take about 5 KB, which bounds the broadcast to some 10 MB.
-MAX_BROADCAST_GROUPS = 2_000
+ROWS_PER_SLICE = 1_000_000
+LEAST_SIDE, MOST_SIDE = 16, 128
+MAX_BROADCAST_BYTES = 16 << 20
 
 
 def _time_slice(ts: str, hours: int):
@@ -138,7 +139,7 @@ def event_number(df: DataFrame, key: str = KEY, ts: str = "TransactionDate", tie
 def running_totals(df: DataFrame, value: str, weights: Iterable[str], groups: Iterable[str] = ()) -> DataFrame:
     """Totals of ``weights`` below each value, and over all values, within each group.
 
-    ``df`` has one row per group and value, and is staged (it is read three times). Adds
+    ``df`` has one row per group and value, and is staged (it is read several times). Adds
     ``<w>_below`` and ``<w>_total``. Runs a job to place the cuts.
     """
     weights, groups = list(weights), list(groups)
@@ -146,28 +147,38 @@ def running_totals(df: DataFrame, value: str, weights: Iterable[str], groups: It
     return within_slices(sliced, totals, value, weights, groups)
 
 
-def _attach(df: DataFrame, edges: DataFrame, groups: list[str]) -> DataFrame:
+def _side_for(rows: int) -> int:
+    """Square root of the number of slices: as many as keep a slice near ``ROWS_PER_SLICE`` rows."""
+    side = LEAST_SIDE
+    while side < MOST_SIDE and rows > ROWS_PER_SLICE * side**2:
+        side *= 2
+    return side
+
+
+def _attach(df: DataFrame, edges: DataFrame, groups: list[str], side: int) -> DataFrame:
     """Give each row the edges of its group.
 
-    A group may hold most of the rows, so few groups' edges are broadcast: their number
-    is checked first. For more groups the join shuffles, and adaptive execution
-    splits a hot one.
+    A group may hold most of the rows, so the edges are broadcast if they fit
+    ``MAX_BROADCAST_BYTES``: their number is checked first. Otherwise the join shuffles,
+    and adaptive execution splits a hot group.
     """
-    found = edges.take(MAX_BROADCAST_GROUPS + 1)
-    if len(found) > MAX_BROADCAST_GROUPS:
+    most = max(1, MAX_BROADCAST_BYTES // (16 * side**2))
+    found = edges.take(most + 1)
+    if len(found) > most:
         return df.join(edges, groups)
     small = df.sparkSession.createDataFrame(found, edges.schema)
     return df.join(F.broadcast(small), groups) if groups else df.withColumn("_edges", small.scalar())
 
 
-def value_slices(df: DataFrame, value: str, weights: Iterable[str], groups: Iterable[str] = (), side: int = 16):
-    """Rows tagged with one of ``side * side`` slices, and one row per slice with the totals before it.
+def value_slices(df: DataFrame, value: str, weights: Iterable[str], groups: Iterable[str] = ()):
+    """Rows tagged with their slice, and one row per slice with the totals before it.
 
-    The slice of a value is the number of edges below it. Every ``side``-th edge finds
-    the block and the edges inside the block the rest: thirty comparisons per row instead
-    of 255.
+    There are 256 slices per group, more for very large tables. The slice of a value is
+    the number of edges below it: every ``side``-th edge finds the block and the edges inside
+    the block the rest, some thirty comparisons per row instead of 255.
     """
     weights, groups = list(weights), list(groups)
+    side = _side_for(df.count())
     cuts = [i / side**2 for i in range(1, side**2)]
     sketch = df.groupBy(*groups).agg(
         F.percentile_approx(value, cuts, 10 * side**2).alias("_at"), *[F.sum(w).alias(f"{w}_total") for w in weights]
@@ -181,7 +192,7 @@ def value_slices(df: DataFrame, value: str, weights: Iterable[str], groups: Iter
             *[f"{w}_total" for w in weights],
         ).alias("_edges"),
     )
-    tagged = _attach(df, edges, groups)
+    tagged = _attach(df, edges, groups, side)
 
     def below(edge_list):
         # Never NULL, which spares the joins on the slice a filter that repeats this expression.

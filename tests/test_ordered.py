@@ -116,12 +116,20 @@ def test_running_totals_over_many_slices_and_without_groups(spark):
 
 
 def test_many_groups_take_the_shuffle_join(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "MAX_BROADCAST_GROUPS", 3)
+    monkeypatch.setattr(ordered, "MAX_BROADCAST_BYTES", 3 * 16 * 256)
     df = spark.range(40).select((F.col("id") % 8).alias("g"), F.col("id").cast("double").alias("v"), F.lit(1).cast("bigint").alias("w"))
     got = ordered.running_totals(df, "v", ["w"], ["g"]).collect()
     assert {(r["v"], r["w_below"]) for r in got} == {(float(i), i // 8) for i in range(40)}
 
 
+def test_slices_grow_with_the_table(spark, monkeypatch):
+    assert [ordered._side_for(n) for n in (1, 256 * 10**6, 256 * 10**6 + 1, 10**9, 10**15)] == [16, 16, 32, 32, 128]
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 2)
+    df = spark.range(3000).select((F.col("id") % 1500).cast("double").alias("v"), F.lit(1).cast("bigint").alias("w"))
+    merged = df.groupBy("v").agg(F.sum("w").alias("w"))
+    assert {(r["v"], r["w_below"]) for r in ordered.running_totals(merged, "v", ["w"]).collect()} == {(float(i), 2 * i) for i in range(1500)}
+
+
 def test_moving_average_needs_full_frames(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(1, 7)], "week int, n double")
     got = {r["week"]: r["n_ma4"] for r in ordered.moving_average(df, "week", "n", 4).collect()}
