@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from retentia.functions import clip, flag, ieq, ine_or_null, is_missing, month_of, ntz, safe_ratio, week_of, whole_days
 from retentia.operators import explain, metrics, models, ordered, prepare, profile, quality, quantiles, rollup
 from retentia.operators.joins import join_one_to_one, with_globals
-from retentia.plans import customer
+from retentia.plans import attrition, customer
 from retentia.sources import KEY, TableSpec, coerce_double, coerce_timestamp, load_tables, retention_tables, stage
 from retentia.sources.sink import checkpoint_folder, write_features
 
@@ -103,46 +103,38 @@ def formula_scores(spark, sf_dir):
 
 
 @shared
-def forest_data(spark, sf_dir):
-    data, names = models.assemble(customer.forest_matrix(frame(spark, sf_dir)))
-    return stage(models.stratified_split(data)), names
+def linear_table(spark, sf_dir):
+    return attrition.training_table(frame(spark, sf_dir), "logistic")
 
 
 @shared
-def linear_data(spark, sf_dir):
-    data, names = models.assemble(customer.linear_matrix(frame(spark, sf_dir)))
-    return stage(models.stratified_split(data)), names
+def forest_table(spark, sf_dir):
+    return attrition.training_table(frame(spark, sf_dir), "forest")
 
 
 @shared
-def boosted_data(spark, sf_dir):
-    matrix, texts = customer.boosted_matrix(frame(spark, sf_dir))
-    data, names = models.assemble(matrix, index=texts)
-    return stage(models.stratified_split(data)), names
-
-
-def _side(data: DataFrame, side: str) -> DataFrame:
-    return data.filter(F.col("split") == side)
+def boosted_table(spark, sf_dir):
+    return attrition.training_table(frame(spark, sf_dir), "wide")
 
 
 @shared
 def logistic_model(spark, sf_dir):
-    return models.fit_logistic(_side(linear_data(spark, sf_dir)[0], "train"))
+    return attrition.fit(linear_table(spark, sf_dir), "logistic")
 
 
 @shared
 def forest_model(spark, sf_dir):
-    return models.fit_forest(_side(forest_data(spark, sf_dir)[0], "train"))
+    return attrition.fit(forest_table(spark, sf_dir), "forest")
 
 
 @shared
 def wide_model(spark, sf_dir):
-    return models.fit_boosted(_side(boosted_data(spark, sf_dir)[0], "train"), "wide")
+    return attrition.fit(boosted_table(spark, sf_dir), "wide")
 
 
 @shared
 def validated_model(spark, sf_dir):
-    return models.fit_boosted(_side(boosted_data(spark, sf_dir)[0], "train"), "validated")
+    return attrition.fit(boosted_table(spark, sf_dir), "validated")
 
 
 # Sources and sinks
@@ -592,109 +584,97 @@ def split_shares(spark, sf_dir):
 
 @query
 def cv_forest(spark, sf_dir):
-    data, _ = forest_data(spark, sf_dir)
-    return models.cross_validate(models.forest(trees=20), data.drop("split"))
+    return models.cross_validate(models.forest(trees=20), forest_table(spark, sf_dir).data.drop("split"))
 
 
 @query
 def score_logistic(spark, sf_dir):
-    return models.score(logistic_model(spark, sf_dir), _side(linear_data(spark, sf_dir)[0], "test"))
+    return logistic_model(spark, sf_dir).scores()
 
 
 @query
 def score_forest(spark, sf_dir):
-    return models.score(forest_model(spark, sf_dir), _side(forest_data(spark, sf_dir)[0], "test"))
+    return forest_model(spark, sf_dir).scores()
 
 
 @query
 def score_boosted(spark, sf_dir):
-    return models.score(wide_model(spark, sf_dir), _side(boosted_data(spark, sf_dir)[0], "test"))
+    return wide_model(spark, sf_dir).scores()
 
 
 @query
 def score_validated(spark, sf_dir):
-    return models.score(validated_model(spark, sf_dir), _side(boosted_data(spark, sf_dir)[0], "test"))
+    return validated_model(spark, sf_dir).scores()
 
 
 @query
 def model_report(spark, sf_dir):
-    """ROC-AUC and average precision of all four models on the test rows, in one job."""
-    scored = None
-    for name, run in (("logistic", score_logistic), ("forest", score_forest), ("wide", score_boosted), ("validated", score_validated)):
-        part = run(spark, sf_dir).withColumn("model", F.lit(name))
-        scored = part if scored is None else scored.unionByName(part)
-    staged = stage(scored)
-    return metrics.roc_auc(staged, groups=["model"]).join(metrics.average_precision(staged, groups=["model"]), "model")
+    """Metrics of all four models on the test rows."""
+    fitted = {f.family: f for f in (build(spark, sf_dir) for build in (logistic_model, forest_model, wide_model, validated_model))}
+    return attrition.model_report(attrition.all_scores(fitted))
 
 
 @query
 def tuned_report(spark, sf_dir):
     """Classification report of the forest at the threshold with the best F1."""
-    scored = stage(score_forest(spark, sf_dir))
+    scored = stage(forest_model(spark, sf_dir).scores())
     best = metrics.best_f1_threshold(scored).first()["threshold"]
     return metrics.classification_report(scored, best)
 
 
 @query
 def importance_gain(spark, sf_dir):
-    names = boosted_data(spark, sf_dir)[1]
-    return explain.rank_importance(explain.impurity_importance(wide_model(spark, sf_dir), names), 20)
+    return explain.rank_importance(wide_model(spark, sf_dir).importance(), 20)
 
 
 @query
 def importance_splits(spark, sf_dir):
-    names = boosted_data(spark, sf_dir)[1]
-    return explain.rank_importance(explain.split_importance(wide_model(spark, sf_dir), names), 20)
+    fitted = wide_model(spark, sf_dir)
+    return explain.rank_importance(explain.split_importance(fitted.model, fitted.table.names), 20)
 
 
 @query
 def importance_forest(spark, sf_dir):
-    names = forest_data(spark, sf_dir)[1]
-    return explain.rank_importance(explain.impurity_importance(forest_model(spark, sf_dir), names), 20)
+    return explain.rank_importance(forest_model(spark, sf_dir).importance(), 20)
 
 
 @query
 def importance_prediction(spark, sf_dir):
-    data, names = boosted_data(spark, sf_dir)
-    probed = explain.shuffle_importance(validated_model(spark, sf_dir), _side(data, "train"), names, "prediction")
-    return explain.rank_importance(probed, 20)
+    f = validated_model(spark, sf_dir)
+    return explain.rank_importance(explain.shuffle_importance(f.model, f.table.train, f.table.names, "prediction"), 20)
 
 
 @query
 def importance_loss(spark, sf_dir):
-    data, names = boosted_data(spark, sf_dir)
-    probed = explain.shuffle_importance(validated_model(spark, sf_dir), _side(data, "train"), names, "loss")
-    return explain.rank_importance(probed, 20)
+    f = validated_model(spark, sf_dir)
+    return explain.rank_importance(explain.shuffle_importance(f.model, f.table.train, f.table.names, "loss"), 20)
 
 
 @query
 def permutation(spark, sf_dir):
-    data, names = boosted_data(spark, sf_dir)
-    return explain.rank_importance(explain.permutation_importance(wide_model(spark, sf_dir), _side(data, "test"), names))
+    f = wide_model(spark, sf_dir)
+    return explain.rank_importance(explain.permutation_importance(f.model, f.table.test, f.table.names))
 
 
 @query
 def attributions(spark, sf_dir):
-    data, names = boosted_data(spark, sf_dir)
-    rows = explain.attributions(validated_model(spark, sf_dir), _side(data, "test"), names, samples=2)
+    f = validated_model(spark, sf_dir)
+    rows = explain.attributions(f.model, f.table.test, f.table.names, samples=2)
     return explain.rank_importance(explain.mean_abs_attribution(rows), 10)
 
 
 @query
 def linear_attributions(spark, sf_dir):
-    data, names = linear_data(spark, sf_dir)
-    rows = explain.linear_attributions(logistic_model(spark, sf_dir), _side(data, "test"), names)
-    return explain.rank_importance(explain.mean_abs_attribution(rows), 10)
+    return explain.rank_importance(logistic_model(spark, sf_dir).importance(), 10)
 
 
 @query
 def ranking_comparison(spark, sf_dir):
-    data, names = boosted_data(spark, sf_dir)
-    model = wide_model(spark, sf_dir)
+    f = wide_model(spark, sf_dir)
     return explain.compare_rankings({
-        "gain": explain.impurity_importance(model, names),
-        "split": explain.split_importance(model, names),
-        "prediction": explain.shuffle_importance(model, _side(data, "test"), names),
+        "gain": explain.impurity_importance(f.model, f.table.names),
+        "split": explain.split_importance(f.model, f.table.names),
+        "prediction": explain.shuffle_importance(f.model, f.table.test, f.table.names),
     })
 
 

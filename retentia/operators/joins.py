@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +15,23 @@ class KeyViolation(ValueError):
     """A table that must have one row per key has a missing or a repeated key."""
 
 
-def assert_unique_key(df: DataFrame, key: str = KEY, name: str = "table") -> None:
-    """Raise if ``key`` repeats or is missing. Reads the key column only; runs a job."""
-    bad = df.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).first()
+def assert_unique_keys(tables: Mapping[str, DataFrame], key: str = KEY) -> None:
+    """Raise if ``key`` repeats or is missing in any of the tables.
+
+    One job over all of them, which reads the key columns only.
+    """
+    faults = [
+        df.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)).limit(1)
+        .select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("key"), "count")
+        for name, df in tables.items()
+    ]
+    bad = reduce(DataFrame.unionByName, faults).first()
     if bad is not None:
-        raise KeyViolation(f"{name}: {key}={bad[key]!r} appears {bad['count']} times")
+        raise KeyViolation(f"{bad['table_name']}: {key}={bad['key']!r} appears {bad['count']} times")
+
+
+def assert_unique_key(df: DataFrame, key: str = KEY, name: str = "table") -> None:
+    assert_unique_keys({name: df}, key)
 
 
 def join_one_to_one(
@@ -33,8 +46,7 @@ def join_one_to_one(
     if how not in ("left", "inner"):
         raise ValueError(f"how must be 'left' or 'inner', not {how!r}")
     if validate:
-        assert_unique_key(a, key, names[0])
-        assert_unique_key(b, key, names[1])
+        assert_unique_keys(dict(zip(names, (a, b))), key)
     return a.join(b, key, how)
 
 

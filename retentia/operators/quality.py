@@ -68,22 +68,23 @@ def global_stats(df: DataFrame, spec: Mapping[str, Sequence[str]]) -> DataFrame:
 
 def table_report(
     tables: Mapping[str, DataFrame],
-    as_of: datetime,
+    as_of: datetime | None = None,
     key: str = KEY,
     amounts: Mapping[str, str] | None = None,
     times: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row per table: shape, distinct keys, non-positive amounts, events dated after ``as_of``.
+    """One row per table: shape, distinct keys, non-positive amounts, events dated after ``as_of`` (default: now).
 
     ``amounts`` and ``times`` name the amount and the time column of the tables that have one.
     """
     amounts = {"tx": "AmountSpent"} if amounts is None else amounts
     times = {"tx": "TransactionDate", "svc": "InteractionDate"} if times is None else times
     none = F.lit(None).cast("bigint")
+    now = F.localtimestamp() if as_of is None else ntz(as_of)
 
     def describe(name: str, df: DataFrame) -> DataFrame:
         nonpositive = F.count_if(F.col(amounts[name]) <= 0) if name in amounts else none
-        future = F.count_if(F.col(times[name]) > ntz(as_of)) if name in times else none
+        future = F.count_if(F.col(times[name]) > now) if name in times else none
         return df.agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.count_distinct(key).alias("n_keys"),

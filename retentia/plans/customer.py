@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions import is_missing
-from retentia.operators.joins import assert_unique_key, join_one_to_one
+from retentia.operators.joins import assert_unique_keys, join_one_to_one
 from retentia.operators.prepare import (
     AMOUNT_COLUMNS,
     NON_FEATURES,
@@ -68,8 +68,7 @@ def join_customers(tables: Mapping[str, DataFrame], snapshot: datetime, labelled
     """
     how = "inner" if labelled else "left"
     if validate:
-        for name in ("demo", "churn", "online"):
-            assert_unique_key(tables[name], KEY, name)
+        assert_unique_keys({name: tables[name] for name in ("demo", "churn", "online")}, KEY)
     out = join_one_to_one(tables["demo"], tables["churn"], KEY, how, validate=False)
     out = join_one_to_one(out, online_profile(tables["online"], snapshot), KEY, "left", validate=False)
     for rolled in (transaction_profile(tables["tx"], snapshot), service_profile(tables["svc"], snapshot)):
