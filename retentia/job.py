@@ -1,6 +1,6 @@
 """The whole analysis as one Spark job.
 
-    spark-submit -m retentia.job --tables <folder> --out <folder> [--format parquet] [--snapshot 2024-03-31]
+    spark-submit attrition_job.py --tables <folder> --out <folder> [--format parquet] [--snapshot 2024-03-31]
 
 Reads the five customer tables, checks them, and writes below ``--out``: ``integrity``,
 ``missing_share``, ``table_report``, ``features``, ``model_frame``, ``scores``,

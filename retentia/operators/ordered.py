@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retentia.functions import month_of, whole_days
+from retentia.operators.joins import join_small
 from retentia.sources.sink import stage
 from retentia.sources.tables import KEY
 
@@ -144,7 +145,8 @@ def running_totals(df: DataFrame, value: str, weights: Iterable[str], groups: It
     """
     weights, groups = list(weights), list(groups)
     sliced, totals = value_slices(df, value, weights, groups)
-    return within_slices(sliced, totals, value, weights, groups)
+    totals = totals.drop(*[f"_{w}" for w in weights])
+    return within_slices(sliced.join(totals, [*groups, "_slice"]), value, weights, groups)
 
 
 def _side_for(rows: int) -> int:
@@ -155,21 +157,6 @@ def _side_for(rows: int) -> int:
     return side
 
 
-def _attach(df: DataFrame, edges: DataFrame, groups: list[str], side: int) -> DataFrame:
-    """Give each row the edges of its group.
-
-    A group may hold most of the rows, so the edges are broadcast if they fit
-    ``MAX_BROADCAST_BYTES``: their number is checked first. Otherwise the join shuffles,
-    and adaptive execution splits a hot group.
-    """
-    most = max(1, MAX_BROADCAST_BYTES // (16 * side**2))
-    found = edges.take(most + 1)
-    if len(found) > most:
-        return df.join(edges, groups)
-    small = df.sparkSession.createDataFrame(found, edges.schema)
-    return df.join(F.broadcast(small), groups) if groups else df.withColumn("_edges", small.scalar())
-
-
 def value_slices(df: DataFrame, value: str, weights: Iterable[str], groups: Iterable[str] = ()):
     """Rows tagged with their slice, and one row per slice with the totals before it.
 
@@ -192,7 +179,8 @@ def value_slices(df: DataFrame, value: str, weights: Iterable[str], groups: Iter
             *[f"{w}_total" for w in weights],
         ).alias("_edges"),
     )
-    tagged = _attach(df, edges, groups, side)
+    fitting = max(1, MAX_BROADCAST_BYTES // (16 * side**2))
+    tagged = join_small(df, edges, groups, fitting) if groups else df.withColumn("_edges", edges.scalar())
 
     def below(edge_list):
         # Never NULL, which spares the joins on the slice a filter that repeats this expression.
@@ -216,10 +204,9 @@ def value_slices(df: DataFrame, value: str, weights: Iterable[str], groups: Iter
     return sliced.drop("_edges", "_block"), totals
 
 
-def within_slices(sliced: DataFrame, totals: DataFrame, value: str, weights: list[str], groups: list[str]) -> DataFrame:
-    """Row-level totals for the slices present in ``totals``; rows of other slices are left out."""
+def within_slices(joined: DataFrame, value: str, weights: list[str], groups: list[str]) -> DataFrame:
+    """Totals below each value, from rows that carry their slice and the totals before it."""
     inside = W.partitionBy(*groups, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    joined = sliced.join(totals.drop(*[f"_{w}" for w in weights]), [*groups, "_slice"])
     below = {f"{w}_below": F.col(f"_{w}_base") + F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights}
     return joined.withColumns(below).drop("_slice", *[f"_{w}_base" for w in weights])
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retentia.operators.joins import join_small
 from retentia.operators.quantiles import quantiles_of_counts
 from retentia.sources.sink import stage
 
@@ -63,7 +64,7 @@ def box_summary(df: DataFrame, group: str, cols: Sequence[str], whisker: float =
 
     quartiles = quantiles_of_counts(known_values, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["feature", group])
     reach = whisker * (F.col("q3") - F.col("q1"))
-    fenced = known_values.withColumnRenamed("n", "_n").join(quartiles, ["feature", group])
+    fenced = join_small(known_values.withColumnRenamed("n", "_n"), quartiles, ["feature", group])
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     summary = fenced.groupBy("feature", group).agg(
         *[F.first(c).alias(c) for c in ("n", "q1", "median", "q3")],

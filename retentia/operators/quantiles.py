@@ -12,6 +12,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentia.operators.joins import join_small
 from retentia.operators.ordered import value_slices, within_slices
 from retentia.sources.sink import stage
 
@@ -21,7 +22,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], group
 
     Quantile ``q`` sits at position ``q * (n - 1)`` of the ordered values and is
     interpolated linearly between its neighbours. Groups without values are absent.
-    The counts per distinct value are staged; runs two jobs.
+    The counts per distinct value are staged; runs jobs to place and to pick the slices.
     """
     groups = list(groups)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
@@ -40,7 +41,9 @@ def quantiles_of_counts(counted: DataFrame, value: str, probs: Mapping[str, floa
     wanted = F.lit(False)
     for q in probs.values():
         wanted = wanted | ((first <= F.ceil(rank(q))) & (last >= F.floor(rank(q))))
-    rows = within_slices(sliced, totals.filter(wanted), value, ["n"], groups)
+    # Only the slices that hold a wanted rank are shuffled and ordered.
+    held = join_small(sliced, totals.filter(wanted).drop("_n"), [*groups, "_slice"])
+    rows = within_slices(held, value, ["n"], groups)
 
     def at(position):
         return F.max(F.when((F.col("n_below") <= position) & (position < F.col("n_below") + F.col("n")), F.col(value)))

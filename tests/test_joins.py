@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from retentia.operators.joins import KeyViolation, assert_unique_key, join_one_to_one, with_globals
+from retentia.operators.joins import KeyViolation, assert_unique_key, join_one_to_one, join_small, with_globals
 
 
 def frame(spark, rows, name="x"):
@@ -32,3 +32,14 @@ def test_globals_reach_every_row_without_a_join(spark):
     assert {(r["top"], r["mean"]) for r in wide.collect()} == {(3, 2.0)}
     assert wide.columns == ["x", "top", "mean"]
     assert "Join" not in wide._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_side_is_broadcast_only_within_its_bound(spark):
+    df = spark.range(100).select((F.col("id") % 4).alias("g"), "id")
+    small = spark.range(3).select(F.col("id").alias("g"), (F.col("id") * 10).alias("w"))
+    want = {(i % 4, i, (i % 4) * 10) for i in range(100) if i % 4 < 3}
+    for most in (3, 2):
+        got = join_small(df, small, ["g"], most)
+        assert {tuple(r) for r in got.collect()} == want
+        hinted = "rightHint" in got._jdf.queryExecution().optimizedPlan().toString() or "strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
+        assert hinted == (most == 3)
