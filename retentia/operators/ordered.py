@@ -141,9 +141,12 @@ def running_totals(df: DataFrame, value: str, weights: Iterable[str], groups: It
     """Totals of ``weights`` below each value, and over all values, within each group.
 
     ``df`` has one row per group and value, and is staged (it is read several times). Adds
-    ``<w>_below`` and ``<w>_total``. Runs a job to place the cuts.
+    ``<w>_below`` and ``<w>_total``. Counts the table: one that fits a single slice is ordered
+    directly, for a larger one a job places the cuts.
     """
     weights, groups = list(weights), list(groups)
+    if df.count() <= ROWS_PER_SLICE:
+        return _in_one_slice(df, value, weights, groups)
     sliced, totals = value_slices(df, value, weights, groups)
     totals = totals.drop(*[f"_{w}" for w in weights])
     return within_slices(sliced.join(totals, [*groups, "_slice"]), value, weights, groups)
@@ -204,6 +207,13 @@ def value_slices(df: DataFrame, value: str, weights: Iterable[str], groups: Iter
     return sliced.drop("_edges", "_block"), totals
 
 
+def _in_one_slice(df: DataFrame, value: str, weights: list[str], groups: list[str]) -> DataFrame:
+    everything = W.partitionBy(*groups)
+    before = everything.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    below = {f"{w}_below": F.coalesce(F.sum(w).over(before), F.lit(0)) for w in weights}
+    return df.withColumns(below | {f"{w}_total": F.sum(w).over(everything) for w in weights})
+
+
 def within_slices(joined: DataFrame, value: str, weights: list[str], groups: list[str]) -> DataFrame:
     """Totals below each value, from rows that carry their slice and the totals before it."""
     inside = W.partitionBy(*groups, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)

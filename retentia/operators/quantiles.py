@@ -12,8 +12,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentia.operators import ordered
 from retentia.operators.joins import join_small
-from retentia.operators.ordered import value_slices, within_slices
 from retentia.sources.sink import stage
 
 
@@ -32,18 +32,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], group
 def quantiles_of_counts(counted: DataFrame, value: str, probs: Mapping[str, float], groups: Iterable[str] = ()) -> DataFrame:
     """``exact_quantiles`` of a staged table with one row per group and value, and its frequency ``n``."""
     groups = list(groups)
-    sliced, totals = value_slices(counted, value, ["n"], groups)
 
     def rank(q: float):
         return F.lit(float(q)) * (F.col("n_total") - 1)
 
-    first, last = F.col("_n_base"), F.col("_n_base") + F.col("_n") - 1
-    wanted = F.lit(False)
-    for q in probs.values():
-        wanted = wanted | ((first <= F.ceil(rank(q))) & (last >= F.floor(rank(q))))
-    # Only the slices that hold a wanted rank are shuffled and ordered.
-    held = join_small(sliced, totals.filter(wanted).drop("_n"), [*groups, "_slice"])
-    rows = within_slices(held, value, ["n"], groups)
+    if counted.count() <= ordered.ROWS_PER_SLICE:
+        rows = ordered.running_totals(counted, value, ["n"], groups)
+    else:
+        # Only the slices that hold a wanted rank are shuffled and ordered.
+        sliced, totals = ordered.value_slices(counted, value, ["n"], groups)
+        first, last = F.col("_n_base"), F.col("_n_base") + F.col("_n") - 1
+        wanted = F.lit(False)
+        for q in probs.values():
+            wanted = wanted | ((first <= F.ceil(rank(q))) & (last >= F.floor(rank(q))))
+        held = join_small(sliced, totals.filter(wanted).drop("_n"), [*groups, "_slice"])
+        rows = ordered.within_slices(held, value, ["n"], groups)
 
     def at(position):
         return F.max(F.when((F.col("n_below") <= position) & (position < F.col("n_below") + F.col("n")), F.col(value)))

@@ -92,15 +92,14 @@ def attrition_labels(customer: DataFrame, orders: DataFrame, cutoff: datetime =
 
 
 def retention_tables(spark: SparkSession, sf_dir: str, cutoff: datetime = CUTOFF) -> dict[str, DataFrame]:
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+    names = ("customer", "nation", "region", "orders", "lineitem", "events")
+    source = {name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet") for name in names}
     raw = {
-        "demo": demographics(read("customer"), read("nation"), read("region")),
-        "tx": transactions(read("orders"), cutoff),
-        "svc": interactions(read("lineitem"), read("orders"), cutoff),
-        "online": online_activity(read("events")),
-        "churn": attrition_labels(read("customer"), read("orders"), cutoff),
+        "demo": demographics(source["customer"], source["nation"], source["region"]),
+        "tx": transactions(source["orders"], cutoff),
+        "svc": interactions(source["lineitem"], source["orders"], cutoff),
+        "online": online_activity(source["events"]),
+        "churn": attrition_labels(source["customer"], source["orders"], cutoff),
     }
     repairs = {
         "tx": TableSpec("", timestamps=("TransactionDate",), doubles=("AmountSpent",)),

@@ -71,3 +71,13 @@ def svc(spark):
 
 def by_key(df, key="CustomerID"):
     return {row[key]: row.asDict() for row in df.collect()}
+
+
+@pytest.fixture(params=["one slice", "many slices"])
+def slicing(request, monkeypatch):
+    """Run a test with and without cutting tables into slices."""
+    from retentia.operators import ordered
+
+    if request.param == "many slices":
+        monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 0)
+        monkeypatch.setattr(ordered, "MOST_SIDE", 16)

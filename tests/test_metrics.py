@@ -32,7 +32,7 @@ def curve_by_hand(rows):
     return out
 
 
-def test_toy_values(spark):
+def test_toy_values(spark, slicing):
     df = scored(spark, TOY)
     assert metrics.roc_auc(df).first()[0] == pytest.approx(5 / 6)
     assert metrics.average_precision(df).first()[0] == pytest.approx(5 / 6)
@@ -42,7 +42,7 @@ def test_toy_values(spark):
 
 @SLOW
 @given(scored_rows)
-def test_curves_match_brute_force(spark, rows):
+def test_curves_match_brute_force(spark, slicing, rows):
     df = scored(spark, rows)
     want, total = curve_by_hand(rows), sum(y for y, _ in rows)
     got = {r["threshold"]: (r["precision"], r["recall"]) for r in metrics.pr_curve(df).collect()}
@@ -68,13 +68,13 @@ def test_curves_match_brute_force(spark, rows):
 
 @SLOW
 @given(scored_rows, scored_rows)
-def test_groups_are_evaluated_apart(spark, a, b):
+def test_groups_are_evaluated_apart(spark, slicing, a, b):
     df = scored(spark, a).withColumn("m", F.lit("a")).union(scored(spark, b).withColumn("m", F.lit("b")))
     got = {r["m"]: r["roc_auc"] for r in metrics.roc_auc(df, groups=["m"]).collect()}
     assert got == {"a": pytest.approx(auc_by_hand(a)), "b": pytest.approx(auc_by_hand(b))}
 
 
-def test_one_class_has_no_auc(spark):
+def test_one_class_has_no_auc(spark, slicing):
     df = scored(spark, [(1, 1), (1, 2)])
     assert metrics.roc_auc(df).first()[0] is None
     assert metrics.average_precision(df).first()[0] == 1.0

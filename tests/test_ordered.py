@@ -93,7 +93,7 @@ def test_copies_of_one_event_time_collapse_before_the_shuffle(spark):
 
 @SLOW
 @given(st.lists(st.tuples(st.sampled_from("gh"), st.integers(-20, 20), st.integers(0, 5)), min_size=1, max_size=60))
-def test_running_totals_match_brute_force(spark, rows):
+def test_running_totals_match_brute_force(spark, slicing, rows):
     merged = defaultdict(int)
     for g, v, w in rows:
         merged[g, float(v)] += w
@@ -106,7 +106,7 @@ def test_running_totals_match_brute_force(spark, rows):
     assert got == want
 
 
-def test_running_totals_over_many_slices_and_without_groups(spark):
+def test_running_totals_over_many_slices_and_without_groups(spark, slicing):
     df = spark.range(5000).select((F.col("id") * 0.5).alias("v"), (F.col("id") % 3).alias("w"))
     got = ordered.running_totals(df, "v", ["w"]).collect()
     below = 0
@@ -117,6 +117,7 @@ def test_running_totals_over_many_slices_and_without_groups(spark):
 
 def test_many_groups_take_the_shuffle_join(spark, monkeypatch):
     monkeypatch.setattr(ordered, "MAX_BROADCAST_BYTES", 3 * 16 * 256)
+    monkeypatch.setattr(ordered, "ROWS_PER_SLICE", 1)
     df = spark.range(40).select((F.col("id") % 8).alias("g"), F.col("id").cast("double").alias("v"), F.lit(1).cast("bigint").alias("w"))
     got = ordered.running_totals(df, "v", ["w"], ["g"]).collect()
     assert {(r["v"], r["w_below"]) for r in got} == {(float(i), i // 8) for i in range(40)}

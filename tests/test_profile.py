@@ -20,7 +20,7 @@ def test_weighted_and_empty_histograms(spark):
     assert {r["n"] for r in profile.histogram(df.limit(0), "x", bins=2).collect()} == {0}
 
 
-def test_box_summary_and_its_guard(spark):
+def test_box_summary_and_its_guard(spark, slicing):
     rows = [(0, float(v), "1", None) for v in (1, 2, 3, 4, 100)] + [(1, float(v), "2", 5.0) for v in (5, 6, 7)] + [(None, 1.0, "1", 1.0)]
     df = spark.createDataFrame(rows, "g int, x double, t string, half double")
     got = {(r["feature"], r["g"]): r for r in profile.box_summary(df, "g", ["x", "t", "half", "absent"]).collect()}

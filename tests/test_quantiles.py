@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from retentia.operators.quantiles import column_quantiles, exact_quantiles
 
 
-def test_interpolation(spark):
+def test_interpolation(spark, slicing):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double")
     got = exact_quantiles(df, "x", {"q99": 0.99, "median": 0.5, "low": 0.0, "high": 1.0}).first()
     assert abs(got["q99"] - 9.79) < 1e-12
@@ -14,7 +14,7 @@ def test_interpolation(spark):
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.sampled_from("ggh"), st.integers(-50, 50)), min_size=1, max_size=80), st.floats(0, 1))
-def test_groups_match_numpy(spark, rows, q):
+def test_groups_match_numpy(spark, slicing, rows, q):
     df = spark.createDataFrame([(g, v / 4) for g, v in rows], "g string, v double")
     got = {r["g"]: (r["n"], r["x"]) for r in exact_quantiles(df, "v", {"x": q}, ["g"]).collect()}
     for g in {g for g, _ in rows}:
@@ -22,7 +22,7 @@ def test_groups_match_numpy(spark, rows, q):
         assert got[g][0] == len(values) and abs(got[g][1] - np.quantile(values, q)) < 1e-9
 
 
-def test_skewed_values_over_many_slices(spark):
+def test_skewed_values_over_many_slices(spark, slicing):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.lognormal(3, 2, 6000), np.full(3000, 7.25)])
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
@@ -31,7 +31,7 @@ def test_skewed_values_over_many_slices(spark):
         assert abs(got[f"q{i}"] - np.quantile(values, i / 20)) < 1e-9 * max(1, got[f"q{i}"])
 
 
-def test_columns_in_one_job_and_without_values(spark):
+def test_columns_in_one_job_and_without_values(spark, slicing):
     df = spark.createDataFrame([(1, 5.0, None), (2, 7.0, None), (3, None, None)], "a int, b double, c double")
     assert column_quantiles(df, {"a": 0.5, "b": 0.5, "c": 0.5}) == {"a": 2.0, "b": 6.0, "c": None}
     assert column_quantiles(df, {"a": 0.5}, exact=False) == {"a": 2}
