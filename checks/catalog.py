@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import lru_cache, wraps
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,24 +48,22 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
 # queries on the same tables do not build them again.
 
 
-def shared(build):
-    cached = lru_cache(maxsize=None)(lambda _app, sf_dir: build(SparkSession.active(), sf_dir))
+_BUILT: dict[tuple, object] = {}
+
 
+def shared(build):
     @wraps(build)
     def get(spark: SparkSession, sf_dir: str):
-        return cached(spark.sparkContext.applicationId, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+        if key not in _BUILT:
+            _BUILT[key] = build(spark, sf_dir)
+        return _BUILT[key]
 
-    get.cache_clear = cached.cache_clear
-    SHARED.append(get)
     return get
 
 
-SHARED: list = []
-
-
 def forget_shared() -> None:
-    for get in SHARED:
-        get.cache_clear()
+    _BUILT.clear()
 
 
 @shared
@@ -307,8 +305,13 @@ def online_event_gaps(spark, sf_dir):
 
 @query
 def event_number(spark, sf_dir):
-    svc = tables(spark, sf_dir)["svc"].select(KEY, "InteractionID", "InteractionDate")
-    return ordered.event_number(svc, ts="InteractionDate", tie="InteractionID")
+    svc = tables(spark, sf_dir)["svc"].dropDuplicates()
+    return ordered.event_number(svc, ts="InteractionDate", tie=["InteractionID", "InteractionType", "ResolutionStatus"])
+
+
+@query
+def tx_event_number(spark, sf_dir):
+    return ordered.event_number(tables(spark, sf_dir)["tx"].dropDuplicates())
 
 
 @query

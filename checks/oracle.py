@@ -225,8 +225,12 @@ check("online_event_gaps", f"""
     SELECT CustomerID, ts, n_events, {days("ts", "lag(ts) OVER (PARTITION BY CustomerID ORDER BY ts)")} AS gap_days
     FROM (SELECT CAST(user_id AS VARCHAR) AS CustomerID, ts, count(*) AS n_events FROM events GROUP BY user_id, ts) u""")
 check("event_number", """
-    SELECT CustomerID, InteractionID, InteractionDate,
-           row_number() OVER (PARTITION BY CustomerID ORDER BY InteractionDate, InteractionID) AS event_no FROM svc""")
+    SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY InteractionDate NULLS LAST, InteractionID NULLS LAST,
+           InteractionType NULLS LAST, ResolutionStatus NULLS LAST) AS event_no FROM (SELECT DISTINCT * FROM svc) u""")
+check("tx_event_number", """
+    SELECT CustomerID, TransactionID, TransactionDate, round(AmountSpent, 6) AS AmountSpent, ProductCategory,
+           row_number() OVER (PARTITION BY CustomerID ORDER BY TransactionDate NULLS LAST, TransactionID) AS event_no
+    FROM (SELECT DISTINCT * FROM tx) u""")
 check("trailing_windows", """
     SELECT CustomerID, tx_30, tx_60, tx_90, round(amt_30, 6) AS amt_30, round(amt_90, 6) AS amt_90, complaints_90d, unresolved_90d
     FROM tx_windows FULL JOIN svc_windows USING (CustomerID)""")

@@ -102,19 +102,17 @@ def assemble(df: DataFrame, label: str = LABEL, drop: Sequence[str] = NON_FEATUR
     return vectors.select(*keep, F.col(label).cast("int").alias(label), "features"), names + list(index)
 
 
-def spread(df: DataFrame, rows_per_task: int) -> DataFrame:
+def spread(df: DataFrame, rows_per_task: int, key: str = KEY) -> DataFrame:
     """Partition a staged training table for many short passes over it.
 
-    Each pass of a solver is a job, so on small data fewer, larger tasks win; a table
-    with more partitions than its rows need is coalesced, one with too few is
-    spread over the cores. Large tables keep the partitions of their scan.
+    Each pass of a solver is a job, so a small table is best held by few tasks of
+    ``rows_per_task`` rows. They are placed and ordered by key, so that sampling inside a
+    solver is repeatable. A table that keeps all cores busy stays as it was scanned.
     """
     wanted = max(1, math.ceil(df.count() / rows_per_task))
-    have = df.rdd.getNumPartitions()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if wanted < have:
-        return df.coalesce(wanted)
-    return df.repartition(min(wanted, cores)) if have < min(wanted, cores) else df
+    if wanted >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(wanted, key).sortWithinPartitions(key)
 
 
 def fit_logistic(train: DataFrame, label: str = LABEL, max_iter: int = 500, c: float = 1.0) -> PipelineModel:

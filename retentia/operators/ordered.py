@@ -16,7 +16,7 @@ The cuts decide only where work is done; results are exact whatever they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -107,17 +107,20 @@ def timeline_profile(df: DataFrame, key: str = KEY, ts: str = "TransactionDate",
     )
 
 
-def event_number(df: DataFrame, key: str = KEY, ts: str = "TransactionDate", tie: str = "TransactionID",
-                 out: str = "event_no") -> DataFrame:
+def event_number(df: DataFrame, key: str = KEY, ts: str = "TransactionDate",
+                 tie: str | Sequence[str] = "TransactionID", out: str = "event_no") -> DataFrame:
     """Number the events of each key from 1 in time order, missing times last.
 
-    ``tie`` orders events at the same time. Rows are placed by range over key, time
-    and tie, so a key with many events spans several partitions. The placement is
-    staged, for a repeated sampling of the bounds could place rows differently. Only
-    the first key of a partition can continue from the one before it, which
-    bounds the broadcast carry by the number of partitions.
+    ``tie`` names the columns that order events at the same time. Remove exact copies
+    before: rows that tie in everything cannot be placed apart.
+
+    Rows are placed by range over key, time and tie, so a key with many events spans
+    several partitions. The placement is staged, for a repeated sampling of the bounds
+    could place rows differently. Only the first key of a partition can continue from
+    the one before it, which bounds the broadcast carry by the number of partitions.
     """
-    order = [F.col(ts).asc_nulls_last(), F.col(tie).asc_nulls_last()]
+    ties = [tie] if isinstance(tie, str) else list(tie)
+    order = [F.col(c).asc_nulls_last() for c in (ts, *ties)]
     placed = stage(df.repartitionByRange(F.col(key), *order).withColumn("_part", F.spark_partition_id()))
     before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     carry = (
