@@ -20,6 +20,7 @@ from retentia.plans import attrition, customer
 from retentia.sources import KEY, TableSpec, coerce_double, coerce_timestamp, load_tables, retention_tables, stage
 from retentia.sources.sink import checkpoint_folder, write_features
 
+# The day future events are counted from, the report's threshold, the columns with a box summary.
 AS_OF = datetime(2001, 1, 15)
 THRESHOLD = 0.5
 BOX_COLUMNS = (

@@ -75,4 +75,6 @@ from retentia.operators.rollup import (
     weekly_counts,
 )
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    name for name, value in list(globals().items()) if callable(value) and getattr(value, "__module__", "").startswith(__name__)
+]
