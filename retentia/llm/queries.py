@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, chat, line_dedup, token_counts
+from retentia.llm import bpe, chat, line_dedup, packing, quality_rules, secret_scan, token_counts
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -86,3 +86,22 @@ FROM marked GROUP BY doc_id
 @query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["depth"] == 0)
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    numbers = {f"n_{k}": F.size(F.filter(plain, lambda s, k=k: s["kind"] == k)).cast("long") for k in secret_scan.KINDS}
+    return found.select("doc_id", *[n.alias(k) for k, n in numbers.items()], F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
