@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from retentia.llm.batches import staged
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,7 +52,7 @@ def dropped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -
     Rows without a doc_id are in no bitmap. Rows that share a doc_id count as one document for the
     number of documents; their lines share its bits.
     """
-    lines = long_lines(docs.filter(F.col("doc_id").isNotNull()), least_chars)
+    lines = staged(long_lines(docs.filter(F.col("doc_id").isNotNull()), least_chars))  # read three times: to choose ranges, to count, to mark
     common = common_lines(lines, least_docs)
     lost = lines.join(common, "key").filter(F.col("doc_id") != F.col("keeper"))
     bit = F.expr("shiftleft(1L, cast(pos % 64 as int))")
