@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, chat, importance, line_dedup, packing, quality_rules, secret_scan, token_counts
+from retentia.llm import bpe, chat, importance, line_dedup, multi_index, packing, quality_rules, secret_scan, token_counts
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -110,3 +110,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
