@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, chat, importance, line_dedup, multi_index, packing, quality_rules, secret_scan, token_counts
+from retentia.llm import bpe, chat, importance, line_dedup, multi_index, near_dedup, packing, quality_rules, secret_scan, token_counts
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -115,3 +115,29 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op2_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+sized AS (SELECT doc_id, len(s) AS n, s, hash(list_sort(s)) AS mark FROM sets),
+classes AS (SELECT min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s, mark FROM sized WHERE n > 0 GROUP BY mark),
+items AS (SELECT id, n, hash(unnest(s)) AS x FROM classes),
+shared AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.id < b.id
+  AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 75 * (n + m - c)),
+sides AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id AS u, id AS v FROM classes UNION SELECT r.u, s.v FROM reach r JOIN sides s ON r.v = s.u),
+roots AS (SELECT u AS id, min(v) AS root FROM reach GROUP BY u)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, d.doc_id = coalesce(r.root, d.doc_id) AS kept
+FROM sized d LEFT JOIN classes c ON d.n > 0 AND d.mark = c.mark LEFT JOIN roots r ON r.id = c.id
+"""
