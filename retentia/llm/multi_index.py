@@ -3,7 +3,8 @@
 Vectors are cut in two halves, each quantised by its own codebook; a pair of centroids is a cell.
 Every row is indexed in its cell. A query visits cells by the sum of its halves' distances to the
 centroids, taken from a heap, until the cells hold its share of the rows; all rows of the visited
-cells are then ranked by their exact inner product. How large the share must be is measured
+cells are then ranked by their exact inner product; rows below the query's k-th best score among the
+sample's rows in these cells cannot be in the answer and are not passed on. How large the share must be is measured
 against exact search on the sample that the codebooks are trained on.
 """
 
@@ -123,8 +124,8 @@ def best_of(entries: pa.Table, queries: pa.Table, k: int) -> Iterator[tuple[int,
         part = queries.slice(start, 512)
         q = matrix(part["vector"])
         rough = q @ x.T
-        for i, (query, cells) in enumerate(zip(part["query_id"].to_pylist(), part["cells"].to_pylist())):
-            near = np.flatnonzero(np.isin(cell, cells) & (ids != query))
+        for i, (query, cells, floor) in enumerate(zip(part["query_id"].to_pylist(), part["cells"].to_pylist(), part["floor"].to_pylist())):
+            near = np.flatnonzero(np.isin(cell, cells) & (ids != query) & (rough[i] >= floor))
             if len(near) > k:
                 scores = rough[i, near]
                 least = np.partition(scores, len(near) - k)[len(near) - k]
@@ -145,11 +146,13 @@ def search(vectors: DataFrame, is_query, k: int = 20, side: int = SIDE, recall:
     on_workers(spark)
     rows = usable(vectors)
     schema = "query_id long, rank int, vec_id long, score double"
-    sample = matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toArrow()["vector"])
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    sample_ids, sample = chosen["vec_id"].to_numpy(), matrix(chosen["vector"])
     if not len(sample):
         return spark.createDataFrame([], schema)
     index = Index(sample, side)
     share = index.share_for(sample, k, recall)
+    sample_cells = index.cells(sample)
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,10 +170,16 @@ def search(vectors: DataFrame, is_query, k: int = 20, side: int = SIDE, recall:
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, lists, cells, parts = [], [], [], []
+            at, lists, cells, parts, floors = [], [], [], [], []
             for i, q in enumerate(matrix(batch.column(1))):
+                order = visited(*index.distances(q), sizes, wanted)
+                seen = np.zeros(sizes.shape, bool)
+                seen[tuple(np.array(order).T)] = True
+                others = (sample @ q)[seen[sample_cells] & (sample_ids != batch.column(0)[i].as_py())]
+                floor = np.partition(others, len(others) - k)[len(others) - k] if len(others) > k else -np.inf
+                floor -= 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else 0
                 mine: dict[int, list[int]] = {}
-                for a, b in visited(*index.distances(q), sizes, wanted):
+                for a, b in order:
                     mine.setdefault(a, []).append(b)
                 for a, seconds in mine.items():
                     for part in range(blocks[a]):
@@ -178,11 +187,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, side: int = SIDE, recall:
                         lists.append(a)
                         cells.append(seconds)
                         parts.append(part)
+                        floors.append(float(floor))
             for s in range(0, len(at), 4096):
                 cut = slice(s, s + 4096)
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.take(pa.array(at[cut])) for c in batch.columns], pa.array(lists[cut], pa.int32()), pa.array(cells[cut], pa.list_(pa.int32())), pa.array(parts[cut], pa.int32())],
-                    ["query_id", "vector", "first", "cells", "part"])
+                    [*[c.take(pa.array(at[cut])) for c in batch.columns], pa.array(lists[cut], pa.int32()), pa.array(cells[cut], pa.list_(pa.int32())), pa.array(parts[cut], pa.int32()), pa.array(floors[cut], pa.float64())],
+                    ["query_id", "vector", "first", "cells", "part", "floor"])
 
     def rank(entries: pa.Table, queries: pa.Table) -> pa.Table:
         found = list(best_of(entries, queries, k)) if len(entries) and len(queries) else []
@@ -192,7 +202,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, side: int = SIDE, recall:
 
     n_blocks = F.get(F.array(*[F.lit(int(n)) for n in blocks]), F.col("first"))
     entries = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    queries = asked.mapInArrow(route, "query_id long, vector array<double>, first int, cells array<int>, part int")
+    queries = asked.mapInArrow(route, "query_id long, vector array<double>, first int, cells array<int>, part int, floor double")
     queries = queries.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
     keys = ["first", "part", "group"]
     found = entries.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
