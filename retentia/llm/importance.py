@@ -27,6 +27,8 @@ BUCKETS = 10_007
 TARGET_SAMPLE = 20_000
 #: Texts with a log ratio from here on set the size of the sample; noise is divided by the sharpness.
 LEAST_LOG_RATIO, SHARPNESS = -8.0, 4.0
+#: n-grams with the shares of the raw text that are added to those of the target, and standard errors that a ratio is moved towards 0.
+PRIOR, ERRORS = 1000.0, 2.0
 #: Keys next to the cut that are compared on the driver, at most.
 AT_CUT = 10_000
 KEPT = 200_000
@@ -86,7 +88,7 @@ def target_ids(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Log ratio of target to raw share for each bucket. Raw counts are over all documents; without a target all are 0."""
+    """Log ratio of target to raw share for each bucket, moved towards 0 by ``ERRORS`` standard errors, so that rare n-grams say nothing. Raw counts are over all documents; without a target all are 0."""
     on_workers(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,13 +105,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     ids = F.broadcast(target_ids(labels).withColumn("is_target", F.lit(True)))  # TARGET_SAMPLE rows at most
     flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("is_target", "text")
     summed = flagged.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in summed.collect():  # BUCKETS rows at most
         raw[bucket] += r
         target[bucket] += t
-    if target.sum() == BUCKETS:
+    if not target.sum():
         return np.zeros(BUCKETS)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    share = np.maximum(raw, 1) / np.maximum(raw, 1).sum()
+    ratio = np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share)
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - ERRORS * np.sqrt(1 / (target + 1) + 1 / (raw + 1)))
 
 
 def keyed(docs: DataFrame, ratio: np.ndarray, sharpness: float = SHARPNESS) -> DataFrame:
