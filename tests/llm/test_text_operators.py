@@ -1,5 +1,6 @@
 import base64
 import gzip
+import hashlib
 import random
 import urllib.parse
 import zlib
@@ -233,3 +234,10 @@ def test_cut_is_the_kth_largest(spark, monkeypatch, k):
 
 def test_queries_are_one_per_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_secret_query_derives_counts_and_lists(spark, tmp_path):
+    documents(spark, ["token=abcdefgh1 and %74oken=abcdefgh1", None]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["op3_secret_scan"](spark, str(tmp_path)).collect()}
+    assert (rows[0].n_assign, rows[0].n_access, rows[0].n_hex, rows[0].spans) == (1, 0, 0, "assign:0:15,assign:20:37")
+    assert rows[0].base_sha256 == hashlib.sha256(b"assign:0:15").hexdigest() and rows[1].spans == ""
