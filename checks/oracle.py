@@ -24,7 +24,7 @@ CTE = {
     "tx": """
         SELECT CAST(o_custkey AS VARCHAR) AS CustomerID, o_orderkey AS TransactionID, o_orderdate AS TransactionDate,
                o_totalprice AS AmountSpent, o_orderstatus AS ProductCategory
-        FROM orders WHERE o_orderdate < TIMESTAMP '2001-02-02' AND o_orderpriority = '1-URGENT'""",
+        FROM orders WHERE o_orderdate < TIMESTAMP '2001-02-02'""",
     "svc": """
         SELECT CAST(o_custkey AS VARCHAR) AS CustomerID, concat(l_orderkey, '-', l_linenumber) AS InteractionID,
                l_shipdate AS InteractionDate,

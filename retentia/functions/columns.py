@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 
 def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column by its whole name: dots and backticks in it are part of the name."""
+    return F.col("`" + c.replace("`", "``") + "`") if isinstance(c, str) else c
 
 
 def ntz(value: datetime | date | str) -> Column:

@@ -11,7 +11,7 @@ from retentia.operators.explain import (
     shuffle_importance,
     split_importance,
 )
-from retentia.operators.joins import assert_unique_key, assert_unique_keys, join_one_to_one, join_small, with_globals
+from retentia.operators.joins import assert_unique_key, assert_unique_keys, join_one_to_one, with_globals
 from retentia.operators.metrics import (
     average_precision,
     best_f1_threshold,

@@ -59,16 +59,3 @@ def with_globals(df: DataFrame, aggs: Mapping[str, Column], source: DataFrame |
     one = (source if source is not None else df).agg(F.struct(*[c.alias(n) for n, c in aggs.items()]).alias("_globals"))
     out = df.withColumn("_globals", one.scalar())
     return out.withColumns({n: F.col("_globals")[n] for n in aggs}).drop("_globals")
-
-
-def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], most: int = 10_000) -> DataFrame:
-    """Inner join with a table expected to be small, such as one row per group.
-
-    A group may hold most of the rows, so shuffling ``df`` by it would load one task.
-    The small table is collected up to ``most`` rows and broadcast; if it has more, the
-    join is left to adaptive execution, which splits a hot key. Runs a job.
-    """
-    rows = small.take(most + 1)
-    if len(rows) > most:
-        return df.join(small, list(keys))
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, small.schema)), list(keys))

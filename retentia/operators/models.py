@@ -7,7 +7,9 @@ A training table holds the key, the label, a ``features`` vector and a
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -15,10 +17,10 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentia.functions.columns import _col
 from retentia.operators.prepare import NON_FEATURES, columns_of_type
 from retentia.sources.sink import checkpoint_folder
 from retentia.sources.tables import KEY
@@ -50,8 +52,8 @@ def stratified_split(df: DataFrame, key: str = KEY, label: str = LABEL, frac: fl
 
 
 def with_folds(df: DataFrame, folds: int = 5, key: str = KEY, label: str = LABEL, seed: int = 42) -> DataFrame:
-    """Add ``fold`` 0..folds-1, each with about the same share of each class."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(folds)).cast("int"))
+    """Add ``fold`` 0..folds-1, each with about the same share of each class. The hash has a salt of its own, so folds are independent of the split."""
+    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col(key), F.col(label), F.lit(seed)), F.lit(folds)).cast("int"))
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -74,6 +76,8 @@ def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
 def with_class_weight(df: DataFrame, label: str = LABEL, mode: str = "balanced", out: str = "weight") -> DataFrame:
     """Add the class weight of each row; two collected rows."""
     weights = {r[label]: r[f"weight_{mode}"] for r in class_weights(df, label).collect()}
+    if any(w is None for w in weights.values()):
+        raise ValueError(f"a class of {label} has no rows, so it has no weight")
     chosen = F.when(F.col(label) == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
     return df.withColumn(out, chosen.cast("double"))
 
@@ -97,21 +101,21 @@ def assemble(df: DataFrame, label: str = LABEL, drop: Sequence[str] = NON_FEATUR
     for stage in index_categories(index):
         indexed = stage.fit(df).transform(indexed)
     inputs = names + [f"{c}_index" for c in index]
-    plain = {c: F.col(c).cast("double") for c in names}
-    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(indexed.withColumns(plain))
+    # Positions stand for the names, which may hold dots.
+    plain = [_col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)]
+    held = indexed.select(*[_col(c) for c in (*keep, label)], *plain, *[_col(f"{c}_index").alias(f"_{len(names) + i}", metadata=indexed.schema[f"{c}_index"].metadata) for i, c in enumerate(index)])
+    vectors = VectorAssembler(inputCols=[f"_{i}" for i in range(len(inputs))], outputCol="features").transform(held)
     return vectors.select(*keep, F.col(label).cast("int").alias(label), "features"), names + list(index)
 
 
 def spread(df: DataFrame, rows_per_task: int, key: str = KEY) -> DataFrame:
     """Partition a staged training table for many short passes over it.
 
-    Each pass of a solver is a job, so a small table is best held by few tasks of
-    ``rows_per_task`` rows. They are placed and ordered by key, so that sampling inside a
-    solver is repeatable. A table that keeps all cores busy stays as it was scanned.
+    Tasks hold about ``rows_per_task`` rows, placed and ordered by key, whatever the size of the table and
+    however it was scanned. Sampling inside a solver goes by task and row, so a fit on the same rows is
+    the same on any number of cores.
     """
     wanted = max(1, math.ceil(df.count() / rows_per_task))
-    if wanted >= df.sparkSession.sparkContext.defaultParallelism:
-        return df
     return df.repartition(wanted, key).sortWithinPartitions(key)
 
 
@@ -146,8 +150,14 @@ def fit_forest(train: DataFrame, label: str = LABEL, **settings) -> Model:
     return forest(label=label, **settings).fit(with_class_weight(spread(train, 2_000), label))
 
 
+def widest_category(train: DataFrame) -> int:
+    """Levels of the widest numbered category in the features; trees need a bin for each."""
+    attrs = train.schema["features"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+    return max([len(a.get("vals", [])) for a in attrs], default=0)
+
+
 def fit_boosted(train: DataFrame, profile: str = "wide", rounds: int = 30, label: str = LABEL,
-                validation: float = 0.2, max_bins: int = 64, seed: int = 42) -> Model:
+                validation: float = 0.2, least_bins: int = 64, seed: int = 42) -> Model:
     """Gradient-boosted trees in one of the ``BOOSTED_PROFILES``.
 
     Profile ``validated`` keeps the round with the least loss on a share of the
@@ -158,7 +168,7 @@ def fit_boosted(train: DataFrame, profile: str = "wide", rounds: int = 30, label
     weighted = with_class_weight(spread(train, 50_000), label, "balanced" if profile == "wide" else "ratio")
     checkpoint_folder(train.sparkSession)
     trees = GBTClassifier(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, maxBins=max_bins,
+        featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, maxBins=max(least_bins, widest_category(train)),
         checkpointInterval=10, seed=seed, **BOOSTED_PROFILES[profile],
     )
     if profile != "validated":
@@ -179,10 +189,18 @@ def score(model: Model, df: DataFrame, key: str = KEY, label: str = LABEL) -> Da
 
 def cross_validate(estimator, df: DataFrame, folds: int = 5, label: str = LABEL, seed: int = 42,
                    parallelism: int = 2) -> DataFrame:
-    """Mean and population standard deviation of ROC-AUC over stratified folds; one row."""
-    data = with_folds(with_class_weight(df, label), folds, label=label, seed=seed)
+    """Mean and population standard deviation of ROC-AUC over stratified folds; one row.
+
+    Classes are weighted inside each fold's training rows only.
+    """
+    data = with_folds(df, folds, label=label, seed=seed)
     evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
-    fitted = CrossValidator(estimator=estimator, estimatorParamMaps=[{}], evaluator=evaluator, numFolds=folds,
-                            foldCol="fold", parallelism=parallelism).fit(data)
-    row = ("roc_auc", float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]), folds)
+
+    def one(fold: int) -> float:
+        kept, held_out = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
+        return evaluator.evaluate(estimator.fit(with_class_weight(spread(kept, 2_000), label)).transform(held_out))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        areas = list(pool.map(one, range(folds)))
+    row = ("roc_auc", statistics.fmean(areas), statistics.pstdev(areas), folds)
     return df.sparkSession.createDataFrame([row], "metric string, mean double, std double, folds int")

@@ -6,10 +6,8 @@ carry a small total from slice to slice:
 
 * events of a key are sliced by time unit (``instants``, ``event_gaps``,
   ``timeline_profile``), so the carry has one row per key and time unit;
-* values of a group are sliced at approximate quantiles (``running_totals``), so
-  the carry has one row per slice, 256 to 16384 per group;
-* rows that must be numbered are placed by range (``event_number``), so the carry
-  has at most one row per partition.
+* values that are totalled and rows that are numbered are placed by range (``running_totals``,
+  ``event_number``), so the carry has one row per group and partition.
 
 The cuts decide only where work is done; results are exact whatever they are.
 """
@@ -23,16 +21,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retentia.functions import month_of, whole_days
-from retentia.operators.joins import join_small
 from retentia.sources.sink import stage
 from retentia.sources.tables import KEY
 
 
-ROWS_PER_SLICE = 1_000_000
-LEAST_SIDE, MOST_SIDE = 16, 128
-MAX_BROADCAST_BYTES = 16 << 20
-
-
 def _time_slice(ts: str, hours: int):
     """Number of the slice of ``hours`` hours that holds a time; grows with the time."""
     hour = F.unix_date(F.col(ts).cast("date")) * 24 + F.hour(ts)
@@ -117,7 +109,7 @@ def event_number(df: DataFrame, key: str = KEY, ts: str = "TransactionDate",
     Rows are placed by range over key, time and tie, so a key with many events spans
     several partitions. The placement is staged, for a repeated sampling of the bounds
     could place rows differently. Only the first key of a partition can continue from
-    the one before it, which bounds the broadcast carry by the number of partitions.
+    the one before it, which bounds the carry by the number of partitions.
     """
     ties = [tie] if isinstance(tie, str) else list(tie)
     order = [F.col(c).asc_nulls_last() for c in (ts, *ties)]
@@ -135,7 +127,7 @@ def event_number(df: DataFrame, key: str = KEY, ts: str = "TransactionDate",
     number = F.when(F.col(key).isNotNull(), F.col("_local") + F.coalesce("_carry", F.lit(0)))
     return (
         placed.withColumn("_local", local.cast("bigint"))
-        .join(F.broadcast(carry), [key, "_part"], "left")
+        .join(carry, [key, "_part"], "left")
         .select(*df.columns, number.alias(out))
     )
 
@@ -143,85 +135,25 @@ def event_number(df: DataFrame, key: str = KEY, ts: str = "TransactionDate",
 def running_totals(df: DataFrame, value: str, weights: Iterable[str], groups: Iterable[str] = ()) -> DataFrame:
     """Totals of ``weights`` below each value, and over all values, within each group.
 
-    ``df`` has one row per group and value, and is staged (it is read several times). Adds
-    ``<w>_below`` and ``<w>_total``. Counts the table: one that fits a single slice is ordered
-    directly, for a larger one a job places the cuts.
-    """
-    weights, groups = list(weights), list(groups)
-    if df.count() <= ROWS_PER_SLICE:
-        return _in_one_slice(df, value, weights, groups)
-    sliced, totals = value_slices(df, value, weights, groups)
-    totals = totals.drop(*[f"_{w}" for w in weights])
-    return within_slices(sliced.join(totals, [*groups, "_slice"]), value, weights, groups)
-
-
-def _side_for(rows: int) -> int:
-    """Square root of the number of slices: as many as keep a slice near ``ROWS_PER_SLICE`` rows."""
-    side = LEAST_SIDE
-    while side < MOST_SIDE and rows > ROWS_PER_SLICE * side**2:
-        side *= 2
-    return side
-
-
-def value_slices(df: DataFrame, value: str, weights: Iterable[str], groups: Iterable[str] = ()):
-    """Rows tagged with their slice, and one row per slice with the totals before it.
-
-    There are 256 slices per group, more for very large tables. The slice of a value is
-    the number of edges below it: every ``side``-th edge finds the block and the edges inside
-    the block the rest, some thirty comparisons per row instead of 255.
+    ``df`` has one row per group and value. Adds ``<w>_below`` and ``<w>_total``. Rows are placed by range
+    over group and value and stored, since sampling the bounds again could place them differently.
+    Each partition of a group is totalled, the totals are summed from partition to partition (one row
+    per group and partition), and rows add what lies below them in their own partition.
     """
     weights, groups = list(weights), list(groups)
-    side = _side_for(df.count())
-    cuts = [i / side**2 for i in range(1, side**2)]
-    sketch = df.groupBy(*groups).agg(
-        F.percentile_approx(value, cuts, 10 * side**2).alias("_at"), *[F.sum(w).alias(f"{w}_total") for w in weights]
-    )
-    blocks = F.sequence(F.lit(0), F.lit(side - 1))
-    edges = sketch.select(
+    placed = stage(df.repartitionByRange(*[F.col(g) for g in groups], F.col(value)).withColumn("_part", F.spark_partition_id()))
+    before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = placed.groupBy(*groups, "_part").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
+    carry = parts.select(
         *groups,
-        F.struct(
-            F.transform(F.slice(blocks, 1, side - 1), lambda k: F.get("_at", k * side + side - 1)).alias("block_ends"),
-            F.transform(blocks, lambda k: F.slice("_at", k * side + 1, F.lit(side - 1))).alias("inside"),
-            *[f"{w}_total" for w in weights],
-        ).alias("_edges"),
-    )
-    fitting = max(1, MAX_BROADCAST_BYTES // (16 * side**2))
-    tagged = join_small(df, edges, groups, fitting) if groups else df.withColumn("_edges", edges.scalar())
-
-    def below(edge_list):
-        # Never NULL, which spares the joins on the slice a filter that repeats this expression.
-        return F.coalesce(F.size(F.filter(edge_list, lambda e: e < F.col(value))), F.lit(0))
-
-    blocked = tagged.withColumn("_block", below("_edges.block_ends"))
-    sliced = blocked.withColumn("_slice", F.col("_block") * side + below(F.get("_edges.inside", F.col("_block"))))
-
-    before = W.partitionBy(*groups).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    everything = [f"{w}_total" for w in weights]
-    per_slice = sliced.groupBy(*groups, "_slice").agg(
-        *[F.sum(w).alias(f"_{w}") for w in weights], *[F.first(F.col(f"_edges.{t}")).alias(t) for t in everything]
-    )
-    totals = per_slice.select(
-        *groups,
-        "_slice",
+        "_part",
         *[F.coalesce(F.sum(f"_{w}").over(before), F.lit(0)).alias(f"_{w}_base") for w in weights],
-        *everything,
-        *[F.col(f"_{w}") for w in weights],
+        *[F.sum(f"_{w}").over(W.partitionBy(*groups)).alias(f"{w}_total") for w in weights],
     )
-    return sliced.drop("_edges", "_block"), totals
-
-
-def _in_one_slice(df: DataFrame, value: str, weights: list[str], groups: list[str]) -> DataFrame:
-    everything = W.partitionBy(*groups)
-    before = everything.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    below = {f"{w}_below": F.coalesce(F.sum(w).over(before), F.lit(0)) for w in weights}
-    return df.withColumns(below | {f"{w}_total": F.sum(w).over(everything) for w in weights})
-
-
-def within_slices(joined: DataFrame, value: str, weights: list[str], groups: list[str]) -> DataFrame:
-    """Totals below each value, from rows that carry their slice and the totals before it."""
-    inside = W.partitionBy(*groups, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*groups, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     below = {f"{w}_below": F.col(f"_{w}_base") + F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights}
-    return joined.withColumns(below).drop("_slice", *[f"_{w}_base" for w in weights])
+    joined = placed.join(carry, [*groups, "_part"])
+    return joined.withColumns(below).drop("_part", *[f"_{w}_base" for w in weights])
 
 
 def moving_average(df: DataFrame, order: str, col: str, n: int = 4, out: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retentia.functions import flag, is_missing, safe_ratio
+from retentia.functions.columns import _col
 from retentia.operators.joins import with_globals
 from retentia.operators.quantiles import column_quantiles
 from retentia.sources.tables import KEY
@@ -87,19 +88,20 @@ def winsorize_upper(df: DataFrame, cols: Sequence[str] = AMOUNT_COLUMNS, q: floa
 
 def cap_at(df: DataFrame, caps: dict) -> DataFrame:
     return df.withColumns({
-        c: F.when(F.col(c) > F.lit(cap), F.lit(cap)).otherwise(F.col(c)) for c, cap in caps.items() if cap is not None
+        c: F.when(_col(c) > F.lit(cap), F.lit(cap)).otherwise(_col(c)) for c, cap in caps.items() if cap is not None
     })
 
 
 def log1p_features(df: DataFrame, cols: Sequence[str] = ("amount_sum", "amount_mean")) -> DataFrame:
-    return df.withColumns({f"log1p_{c}": F.log1p(c) for c in _present(df, cols)})
+    return df.withColumns({f"log1p_{c}": F.log1p(_col(c)) for c in _present(df, cols)})
 
 
 def levels_of(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list[str]]:
     """Sorted distinct values per column. Runs a job; refuses columns with too many levels."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "level")
+    places = {f"_{i}": c for i, c in enumerate(cols)}
+    long = df.select(*[_col(c).cast("string").alias(p) for p, c in places.items()]).unpivot([], list(places), "column", "level")
     found = long.filter("level IS NOT NULL").distinct().take(max_levels * len(cols) + 1)
-    levels = {c: sorted(r["level"] for r in found if r["column"] == c) for c in cols}
+    levels = {c: sorted(r["level"] for r in found if r["column"] == p) for p, c in places.items()}
     wide = [c for c, values in levels.items() if len(values) > max_levels]
     if wide or len(found) > max_levels * len(cols):
         raise ValueError(f"more than {max_levels} levels in {wide or cols}; index them with index_categories instead")
@@ -120,7 +122,7 @@ def one_hot(df: DataFrame, cols: Sequence[str], prefix: str | None = None, dummy
     dummies = {}
     for c in cols:
         head = prefix or c
-        text = F.col(c).cast("string")
+        text = _col(c).cast("string")
         dummies |= {f"{head}_{v}": flag(text == v) for v in levels[c]}
         if dummy_na:
             dummies[f"{head}_nan"] = is_missing(c)
@@ -134,7 +136,7 @@ def fill_median(df: DataFrame, cols: Sequence[str] = ("tx_avg_gap_days",), exact
 
 
 def fill_with(df: DataFrame, values: dict) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items() if v is not None})
+    return df.withColumns({c: F.coalesce(_col(c), F.lit(v)) for c, v in values.items() if v is not None})
 
 
 def fill_std_zero(df: DataFrame, col: str = "amount_std") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.operators.joins import join_small
+from retentia.functions.columns import _col
 from retentia.operators.quantiles import quantiles_of_counts
 from retentia.sources.sink import stage
 
@@ -64,7 +64,7 @@ def box_summary(df: DataFrame, group: str, cols: Sequence[str], whisker: float =
 
     quartiles = quantiles_of_counts(known_values, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["feature", group])
     reach = whisker * (F.col("q3") - F.col("q1"))
-    fenced = join_small(known_values.withColumnRenamed("n", "_n"), quartiles, ["feature", group])
+    fenced = known_values.withColumnRenamed("n", "_n").join(quartiles, ["feature", group])
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     summary = fenced.groupBy("feature", group).agg(
         *[F.first(c).alias(c) for c in ("n", "q1", "median", "q3")],
@@ -78,13 +78,14 @@ def box_summary(df: DataFrame, group: str, cols: Sequence[str], whisker: float =
 def crosstab_share(df: DataFrame, row: str, col: str, levels: Sequence | None = None) -> DataFrame:
     """Share of each ``col`` level within each ``row`` value; rows missing either are left out.
 
-    ``levels`` avoids the job that looks the levels up.
+    ``levels`` chooses the levels that get a column and avoids the job that looks them up; rows with
+    other levels still count in the whole.
     """
     counts = (
         df.filter(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
     )
     wide = counts.groupBy(row).pivot(col, list(levels) if levels is not None else None).agg(F.sum("n"))
     names = [c for c in wide.columns if c != row]
+    everything = counts.groupBy(row).agg(F.sum("n").alias("_rows"))
     n = {c: F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in names}
-    everything = sum(n.values(), F.lit(0))
-    return wide.select(row, *[(n[c] / everything).alias(f"share_{c}") for c in names])
+    return wide.join(everything, row).select(_col(row), *[(n[c] / F.col("_rows")).alias(f"share_{c}") for c in names])

@@ -1,8 +1,7 @@
 """Exact, linearly interpolated quantiles without a single-task sort.
 
 The built-in exact ``percentile`` merges every distinct value in one task. Here
-values are counted first, sliced in parallel, and only the slices that hold a wanted
-rank are ordered.
+values are counted first, placed by range and totalled partition by partition.
 """
 
 from __future__ import annotations
@@ -12,9 +11,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentia.functions.columns import _col
 from retentia.operators import ordered
-from retentia.operators.joins import join_small
-from retentia.sources.sink import stage
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], groups: Iterable[str] = ()) -> DataFrame:
@@ -22,31 +20,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], group
 
     Quantile ``q`` sits at position ``q * (n - 1)`` of the ordered values and is
     interpolated linearly between its neighbours. Groups without values are absent.
-    The counts per distinct value are staged; runs jobs to place and to pick the slices.
+    The counts per distinct value are placed by range and stored.
     """
     groups = list(groups)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    return quantiles_of_counts(stage(counted), value, probs, groups)
+    return quantiles_of_counts(counted, value, probs, groups)
 
 
 def quantiles_of_counts(counted: DataFrame, value: str, probs: Mapping[str, float], groups: Iterable[str] = ()) -> DataFrame:
-    """``exact_quantiles`` of a staged table with one row per group and value, and its frequency ``n``."""
+    """``exact_quantiles`` of a table with one row per group and value, and its frequency ``n``."""
     groups = list(groups)
 
     def rank(q: float):
         return F.lit(float(q)) * (F.col("n_total") - 1)
 
-    if counted.count() <= ordered.ROWS_PER_SLICE:
-        rows = ordered.running_totals(counted, value, ["n"], groups)
-    else:
-        # Only the slices that hold a wanted rank are shuffled and ordered.
-        sliced, totals = ordered.value_slices(counted, value, ["n"], groups)
-        first, last = F.col("_n_base"), F.col("_n_base") + F.col("_n") - 1
-        wanted = F.lit(False)
-        for q in probs.values():
-            wanted = wanted | ((first <= F.ceil(rank(q))) & (last >= F.floor(rank(q))))
-        held = join_small(sliced, totals.filter(wanted).drop("_n"), [*groups, "_slice"])
-        rows = ordered.within_slices(held, value, ["n"], groups)
+    rows = ordered.running_totals(counted, value, ["n"], groups)
 
     def at(position):
         return F.max(F.when((F.col("n_below") <= position) & (position < F.col("n_below") + F.col("n")), F.col(value)))
@@ -75,11 +63,12 @@ def column_quantiles(df: DataFrame, wanted: Mapping[str, float], exact: bool = T
     if not wanted:
         return {}
     if not exact:
-        row = df.agg(*[F.percentile_approx(c, q, accuracy).alias(c) for c, q in wanted.items()]).first()
+        row = df.agg(*[F.percentile_approx(_col(c), q, accuracy).alias(c) for c, q in wanted.items()]).first()
         return {c: row[c] for c in wanted}
     levels = {f"q{i}": q for i, q in enumerate(sorted(set(wanted.values())))}
     names = {q: name for name, q in levels.items()}
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in wanted]).unpivot([], list(wanted), "column", "value")
+    places = {f"_{i}": c for i, c in enumerate(wanted)}
+    long = df.select(*[_col(c).cast("double").alias(p) for p, c in places.items()]).unpivot([], list(places), "column", "value")
     rows = exact_quantiles(long, "value", levels, ["column"]).collect()
-    found = {row["column"]: row for row in rows}
+    found = {places[row["column"]]: row for row in rows}
     return {c: found[c][names[q]] if c in found else None for c, q in wanted.items()}

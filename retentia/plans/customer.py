@@ -49,13 +49,20 @@ CHANNEL = "ServiceUsage"
 EVENT_TIMES = {"tx": "TransactionDate", "svc": "InteractionDate", "online": "LastLoginDate"}
 
 
+#: Snapshot of tables without a single event time.
+NO_EVENTS = datetime(1970, 1, 1)
+
+
 def event_times(tables: Mapping[str, DataFrame]) -> list[tuple[DataFrame, str]]:
     return [(tables[t], c) for t, c in EVENT_TIMES.items() if t in tables and c in tables[t].columns]
 
 
 def snapshot_of(tables: Mapping[str, DataFrame]) -> datetime:
-    """Latest time seen in the event tables; runs a job unless the caller has a cutoff of its own."""
-    return snapshot_date(event_times(tables))
+    """Latest time seen in the event tables; runs a job unless the caller has a cutoff of its own.
+
+    Without any event there is nothing to measure from: ``NO_EVENTS``, and every feature has its default.
+    """
+    return snapshot_date(event_times(tables)) or NO_EVENTS
 
 
 def join_customers(tables: Mapping[str, DataFrame], snapshot: datetime, labelled: bool = True,

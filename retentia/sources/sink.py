@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +21,13 @@ def write_features(
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for staged data, as the cluster names it.
 
-    Where nothing is configured a temporary folder is set, on a local master
-    only: on a cluster it would vanish with the machine that holds it.
+    Where nothing is configured it lies below the session's warehouse, which all executors reach too.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="retentia-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_staged")
         folder = sc.getCheckpointDir()
     return folder
 

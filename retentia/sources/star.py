@@ -43,7 +43,7 @@ def demographics(customer: DataFrame, nation: DataFrame, region: DataFrame) -> D
 
 
 def transactions(orders: DataFrame, cutoff: datetime = CUTOFF) -> DataFrame:
-    return orders.filter((F.col("o_orderdate") < ntz(cutoff)) & (F.col("o_orderpriority") == "1-URGENT")).select(
+    return orders.filter(F.col("o_orderdate") < ntz(cutoff)).select(
         _key("o_custkey"),
         F.col("o_orderkey").alias("TransactionID"),
         F.col("o_orderdate").alias("TransactionDate"),

@@ -8,20 +8,6 @@ from retentia.sources import retention_tables, stage
 from tests.conftest import SMALL, SVC_SCHEMA, TX_SCHEMA, at, by_key
 
 
-@pytest.fixture(scope="module")
-def tables(spark, tx, svc):
-    return {
-        "demo": spark.createDataFrame([(k, g) for k, g in zip("abcdef", ("F", "M", None, "F", "M", "F"))], "CustomerID string, Gender string"),
-        "churn": spark.createDataFrame([(k, i % 2) for i, k in enumerate("abcde")], "CustomerID string, ChurnStatus int"),
-        "online": spark.createDataFrame(
-            [("a", at("2024-03-31"), 3.0, "Website"), ("b", at("2024-03-01"), None, None), ("f", None, 1.0, "Mobile App")],
-            "CustomerID string, LastLoginDate timestamp_ntz, LoginFrequency double, ServiceUsage string",
-        ),
-        "tx": tx.filter("CustomerID IS NOT NULL"),
-        "svc": svc.filter("CustomerID IS NOT NULL"),
-    }
-
-
 @pytest.fixture(scope="module")
 def snapshot(tables):
     return customer.snapshot_of(tables)
