@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from retentia.llm.batches import on_workers, pieces_of, texts_of
+from retentia.llm.batches import on_workers, pieces_of, staged, texts_of
 
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW = 5
@@ -117,7 +117,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.n
 
     At most ``LANGUAGES`` + 1 times (34 + 64 + 1) rows reach the driver: the languages with most words, and ``*`` for the whole table.
     """
-    counts = language_counts(docs)
+    counts = staged(language_counts(docs))
     both = counts.filter(F.col("lang").isNotNull() & (F.col("lang") != ALL)).unionByName(
         counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL)))
     common = both.filter(F.col("kind") == "w").withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "item"))).filter(F.col("nth") <= COMMON_WORDS).drop("nth")
