@@ -586,6 +586,11 @@ def split_shares(spark, sf_dir):
     return models.stratified_split(features(spark, sf_dir)).groupBy("split", "ChurnStatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def fold_shares(spark, sf_dir):
+    return models.with_folds(features(spark, sf_dir)).groupBy("fold", "ChurnStatus").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def cv_forest(spark, sf_dir):
     return models.cross_validate(models.forest(trees=20), forest_table(spark, sf_dir).data.drop("split"))

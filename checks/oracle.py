@@ -405,3 +405,22 @@ check("classification_report", """
                          (2 * tn / (2 * tn + fn + fp) + 2 * tp / (2 * tp + fp + fn)) / 2, n
         UNION ALL SELECT 'weighted avg', (n0 * tn / (tn + fn) + n1 * tp / (tp + fp)) / n, (n0 * tn / (tn + fp) + n1 * tp / (tp + fn)) / n,
                          (n0 * 2 * tn / (2 * tn + fn + fp) + n1 * 2 * tp / (2 * tp + fp + fn)) / n, n) u""")
+
+
+def drawn(n: int, salt: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{salt}', CustomerID, ChurnStatus, 42)), 1, 8) AS BIGINT) % {n}"
+
+
+check("split_shares", f"""
+    SELECT CASE WHEN {drawn(10_000, 'split')} < 2500 THEN 'test' ELSE 'train' END AS split, ChurnStatus, count(*) AS n
+    FROM features GROUP BY 1, 2""")
+check("fold_shares", f"SELECT CAST({drawn(5, 'fold')} AS INTEGER) AS fold, ChurnStatus, count(*) AS n FROM features GROUP BY 1, 2")
+
+# Levels by falling frequency, then name; missing ones come after all.
+TEXTS = ("c_mktsegment", "r_name", "IncomeLevel", "ServiceUsage")
+check("indexed_categories", "SELECT CustomerID, " + ", ".join(f"""{c}, coalesce(
+        (SELECT count(*) FROM (SELECT {c} AS v, count(*) AS n FROM features WHERE {c} IS NOT NULL GROUP BY {c}) o
+         WHERE o.n > own_{c}.n OR (o.n = own_{c}.n AND o.v < own_{c}.v)),
+        0) + CASE WHEN own_{c}.v IS NULL THEN (SELECT count(DISTINCT {c}) FROM features) ELSE 0 END + 0.0 AS {c}_index""" for c in TEXTS)
+      + " FROM features f" + "".join(f"""
+    LEFT JOIN (SELECT {c} AS v, count(*) AS n FROM features WHERE {c} IS NOT NULL GROUP BY {c}) own_{c} ON f.{c} = own_{c}.v""" for c in TEXTS))

@@ -17,7 +17,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import _col
@@ -41,19 +41,25 @@ BOOSTED_PROFILES = {
 }
 
 
+def _drawn(n: int, salt: str, key: str, label: str, seed: int) -> Column:
+    """A number below ``n`` from the first 32 bits of an MD5 digest, which any engine can compute."""
+    digest = F.md5(F.concat_ws("|", F.lit(salt), _col(key).cast("string"), _col(label).cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n
+
+
 def stratified_split(df: DataFrame, key: str = KEY, label: str = LABEL, frac: float = 0.25, seed: int = 42) -> DataFrame:
     """Add ``split``: ``test`` for about ``frac`` of each class, else ``train``.
 
     The side of a row is a hash of its key, class and the seed, so it depends neither on
     the partitioning nor on the other rows, and needs no shuffle.
     """
-    bucket = F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(_BUCKETS))
+    bucket = _drawn(_BUCKETS, "split", key, label, seed)
     return df.withColumn("split", F.when(bucket < round(frac * _BUCKETS), "test").otherwise("train"))
 
 
 def with_folds(df: DataFrame, folds: int = 5, key: str = KEY, label: str = LABEL, seed: int = 42) -> DataFrame:
     """Add ``fold`` 0..folds-1, each with about the same share of each class. The hash has a salt of its own, so folds are independent of the split."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col(key), F.col(label), F.lit(seed)), F.lit(folds)).cast("int"))
+    return df.withColumn("fold", _drawn(folds, "fold", key, label, seed).cast("int"))
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
