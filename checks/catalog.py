@@ -136,6 +136,11 @@ def validated_model(spark, sf_dir):
     return attrition.fit(boosted_table(spark, sf_dir), "validated")
 
 
+@shared
+def model_scores(spark, sf_dir):
+    return attrition.all_scores({f.family: f for f in (build(spark, sf_dir) for build in (logistic_model, forest_model, wide_model, validated_model))})
+
+
 # Sources and sinks
 
 
@@ -619,16 +624,13 @@ def score_validated(spark, sf_dir):
 @query
 def model_report(spark, sf_dir):
     """Metrics of all four models on the test rows."""
-    fitted = {f.family: f for f in (build(spark, sf_dir) for build in (logistic_model, forest_model, wide_model, validated_model))}
-    return attrition.model_report(attrition.all_scores(fitted))
+    return attrition.model_report(model_scores(spark, sf_dir))
 
 
 @query
 def tuned_report(spark, sf_dir):
-    """Classification report of the forest at the threshold with the best F1."""
-    scored = stage(forest_model(spark, sf_dir).scores())
-    best = metrics.best_f1_threshold(scored).first()["threshold"]
-    return metrics.classification_report(scored, best)
+    """Classification report of all four models, each at its own threshold."""
+    return attrition.class_reports(model_scores(spark, sf_dir))
 
 
 @query

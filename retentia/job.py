@@ -3,8 +3,8 @@
     spark-submit attrition_job.py --tables <folder> --out <folder> [--format parquet] [--snapshot 2024-03-31]
 
 Reads the five customer tables, checks them, and writes below ``--out``: ``integrity``,
-``missing_share``, ``table_report``, ``features``, ``model_frame``, ``scores``,
-``model_report`` and ``importance``.
+``missing_share``, ``table_report``, ``dedupe``, ``weekly_tx``, ``weekly_svc``, ``features``,
+``model_frame``, ``scores``, ``model_report``, ``class_reports`` and ``importance``.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia.operators.explain import rank_importance
-from retentia.operators.quality import enforce, integrity_report, missing_share, table_report
-from retentia.plans.attrition import all_scores, fit_families, model_report
+from retentia.operators.quality import dedupe_report, enforce, integrity_report, missing_share, table_report
+from retentia.operators.rollup import weekly_counts
+from retentia.plans.attrition import all_scores, class_reports, fit_families, model_report
 from retentia.plans.customer import customer_features, join_customers, model_frame, snapshot_of
 from retentia.sources import CUSTOMER_TABLES, load_tables, stage, write_features
 
@@ -36,6 +37,10 @@ def run(spark: SparkSession, tables: dict[str, DataFrame], out: str, snapshot: d
     enforce(report)
     save(missing_share(everyone), "missing_share")
     save(table_report(tables, snapshot), "table_report")
+    copies = [dedupe_report(tables[t]).withColumn("table_name", F.lit(t)) for t in ("tx", "svc")]
+    save(reduce(DataFrame.unionByName, copies), "dedupe")
+    for name, time in (("tx", "TransactionDate"), ("svc", "InteractionDate")):
+        save(weekly_counts(tables[name].dropDuplicates(), time), f"weekly_{name}")
 
     features = customer_features(tables, snapshot, validate=False)
     save(features, "features")
@@ -46,6 +51,7 @@ def run(spark: SparkSession, tables: dict[str, DataFrame], out: str, snapshot: d
     scores = all_scores(fitted)
     save(scores, "scores")
     save(model_report(scores), "model_report")
+    save(class_reports(scores), "class_reports")
     ranked = [rank_importance(f.importance(), 20).withColumn("model", F.lit(name)) for name, f in fitted.items()]
     save(reduce(DataFrame.unionByName, ranked), "importance")
 

@@ -1,19 +1,17 @@
 """Exact ranking metrics on a scored table (label 0/1, score), as Spark aggregates.
 
-Rows are first counted per distinct score and the counts staged; running counts over
-the scores then give every curve. ``groups`` evaluates many score sets at once. All of
-them run jobs to count the scores and to place the cuts of the running counts.
+Rows are first counted per distinct score; running counts over the scores then give every
+curve. ``groups`` evaluates many score sets at once. All of them run a job to place the counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentia.operators.ordered import running_totals
-from retentia.sources.sink import stage
 
 
 def score_curve(scored: DataFrame, label: str = "label", score: str = "score", groups: Sequence[str] = ()) -> DataFrame:
@@ -24,7 +22,7 @@ def score_curve(scored: DataFrame, label: str = "label", score: str = "score", g
     counts = scored.groupBy(*groups, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    points = running_totals(stage(counts), "threshold", ["pos", "neg"], groups)
+    points = running_totals(counts, "threshold", ["pos", "neg"], groups)
     return points.withColumns({"tp": F.col("pos_total") - F.col("pos_below"), "fp": F.col("neg_total") - F.col("neg_below")})
 
 
@@ -67,15 +65,16 @@ def best_f1_threshold(scored: DataFrame, label: str = "label", score: str = "sco
     )
 
 
-def classification_report(scored: DataFrame, threshold: float = 0.5, label: str = "label",
-                          score: str = "score") -> DataFrame:
+def classification_report(scored: DataFrame, threshold: float | Column = 0.5, label: str = "label",
+                          score: str = "score", groups: Sequence[str] = ()) -> DataFrame:
     """Per-class precision, recall, F1 and support, with accuracy, macro and weighted means.
 
-    The four cells of the confusion table are one aggregate; the rest is arithmetic on
-    that row. A ratio without cases is 0.
+    The four cells of the confusion table are one aggregate, one row per group; the rest is
+    arithmetic on that row. A ratio without cases is 0. ``threshold`` may be a column, such as a
+    group's own.
     """
-    hit, actual = F.col(score) >= F.lit(threshold), F.col(label) == 1
-    cells = scored.agg(
+    hit, actual = F.col(score) >= (threshold if isinstance(threshold, Column) else F.lit(threshold)), F.col(label) == 1
+    cells = scored.groupBy(*groups).agg(
         F.count_if(hit & actual).alias("tp"),
         F.count_if(hit & ~actual).alias("fp"),
         F.count_if(~hit & actual).alias("fn"),
@@ -103,4 +102,4 @@ def classification_report(scored: DataFrame, threshold: float = 0.5, label: str
     rows = F.array(*[
         F.struct(F.lit(line).alias("class"), *[v.alias(c) for c, v in zip(names, values)]) for line, values in lines.items()
     ])
-    return cells.select(F.inline(rows))
+    return cells.select(*groups, F.inline(rows))

@@ -103,6 +103,19 @@ def model_report(scores: DataFrame) -> DataFrame:
     )
 
 
+def class_reports(scores: DataFrame) -> DataFrame:
+    """Classification report of every model at its threshold: 0.5 for the logistic one, else the one with the best F1.
+
+    The scored test rows are dealt in two halves by key; one chooses the thresholds, the reports are
+    made on the other, which no choice has seen.
+    """
+    halves = models.with_folds(scores, 2, KEY, "label")
+    best = metrics.best_f1_threshold(halves.filter("fold = 0"), groups=["model"])
+    chosen = best.select("model", F.when(F.col("model") == "logistic", 0.5).otherwise(F.col("threshold")).alias("threshold"))
+    held_out = halves.filter("fold = 1").join(chosen, "model")
+    return metrics.classification_report(held_out, F.col("threshold"), groups=["model", "threshold"])
+
+
 def scored_customers(fitted: Fitted) -> DataFrame:
     """Score of every customer of the table, for use outside the evaluation."""
     return models.score(fitted.model, fitted.table.data).select(KEY, "score")

@@ -21,6 +21,8 @@ def test_the_whole_analysis_is_written(spark, tmp_path):
     sizes = {r["n"] for r in read("scores").groupBy("model").agg(F.count("*").alias("n")).collect()}
     assert len(sizes) == 1, "all models are judged on the same customers"
     assert read("importance").filter("rank = 1").count() == 4
+    assert read("class_reports").groupBy("model").count().count() == 4 and read("dedupe").count() == 2
+    assert read("weekly_tx").count() > 100 and read("weekly_svc").count() > 100
 
 
 def test_a_failed_check_stops_the_job(spark, tmp_path):

@@ -93,3 +93,10 @@ def test_classification_report(spark):
     assert got["macro avg"]["recall"] == pytest.approx(5 / 6) and got["weighted avg"]["recall"] == pytest.approx(0.8)
     nobody = {r["class"]: r for r in metrics.classification_report(scored(spark, TOY), 2.0).collect()}
     assert nobody["1"]["precision"] == 0.0 and nobody["1"]["f1"] == 0.0
+
+
+def test_reports_of_groups_use_their_own_thresholds(spark):
+    rows = [("a", 1, 0.9), ("a", 0, 0.4), ("b", 1, 0.3), ("b", 0, 0.1), ("b", 1, 0.1)]
+    df = spark.createDataFrame(rows, "model string, label int, score double").withColumn("t", F.when(F.col("model") == "a", 0.5).otherwise(0.2))
+    got = {(r["model"], r["class"]): r["recall"] for r in metrics.classification_report(df, F.col("t"), groups=["model"]).collect()}
+    assert got["a", "1"] == 1.0 and got["b", "1"] == 0.5 and got["b", "0"] == 1.0 and len(got) == 10
