@@ -153,6 +153,22 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, leaf):
     assert sorted(map(tuple, got)) == brute_components(texts)
 
 
+@pytest.mark.parametrize("moderate", [512, 100])
+def test_near_duplicates_among_texts_of_one_template(spark, monkeypatch, moderate):
+    monkeypatch.setattr(near_dedup, "MODERATE", moderate, raising=False)
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    template, texts = fresh(89), []
+    for i in range(300):
+        own = shared + fresh(13) if i % 5 == 1 else fresh(15)
+        shared = own[:2]
+        texts.append(" ".join(template + own))
+    expected = brute_components(texts)
+    assert sum(not kept for *_, kept in expected) == 60
+    got = near_dedup.near_duplicates(documents(spark, texts)).collect()
+    assert sorted(map(tuple, got)) == expected
+
+
 def test_near_duplicates_of_odd_tables(spark):
     kind = "doc_id long, text string"
     text = "one two three four five six"
