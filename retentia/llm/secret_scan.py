@@ -1,23 +1,24 @@
 """Secrets in whole texts, also below layers of encoding.
 
 A worklist starts with the text. Each layer is scanned for secrets, then unwrapped: percent and
-Unicode escapes are replaced in place, base64 runs are decoded and, if they hold a compressed stream,
-unpacked. New layers join the list until nothing new appears; a layer that was seen at the same place is
-not visited again, so cycles end. Every decoded character remembers the span it came from, so a
-secret of any layer is reported by its place in the original text.
+Unicode escapes are replaced in place, base64 runs are decoded at every alignment, also across line ends,
+and compressed streams that start anywhere in them are unpacked. Secrets are ASCII, so decoded bytes are
+read as single-byte characters, whatever their encoding. New layers join the list until nothing new
+appears; a layer that was seen at the same place is not visited again, so cycles end. Every decoded
+character remembers the span it came from, so a secret of any layer is reported by its place in the
+original text.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import html
 import lzma
 import re
 import zlib
-from collections import deque
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -36,6 +37,14 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LINE_END = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{LINE_END}[A-Za-z0-9+/_-]+)*={{0,2}}")
+LINE_ENDS = re.compile(LINE_END)
+STANDARD = str.maketrans("-_", "+/")
+# How gzip, zlib, bzip2 and xz streams begin in base64.
+PACKED = re.compile(r"(?=H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo|/Td6WFoA)")
+#: What a layer must have to hold a secret or a further layer.
+WORTH = re.compile(rb"AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|passw|secret|token|api_?key", re.IGNORECASE)
 #: A compressed layer that unpacks to more bytes than this is left packed.
 LARGEST_LAYER = 16 << 20
 
@@ -78,11 +87,8 @@ def scan(text: str) -> Iterator[tuple[str, int, int]]:
         yield "hex", m.start(), m.end()
 
 
-def percent_text(found: str) -> str | None:
-    try:
-        return bytes.fromhex(found.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def percent_text(found: str) -> str:
+    return bytes.fromhex(found.replace("%", "")).decode(errors="replace")
 
 
 def escape_text(found: str) -> str | None:
@@ -143,20 +149,66 @@ def unpacked(data: bytes) -> bytes | None:
         return None
 
 
-def decoded_run(run: str) -> str | None:
-    """Text inside a base64 run, compressed or not; None if it is no text."""
-    core = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(core) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(core + "=" * (-len(core) % 4))
-        seen = 0
-        while (inner := unpacked(data)) is not None and seen < 16 and inner != data:
-            data, seen = inner, seen + 1
-        text = data.decode()
-    except (binascii.Error, UnicodeDecodeError):
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+def decoded_pieces(core: str, at: int) -> Iterator[bytes]:
+    """The bytes of a base64 run without padding, from one of its characters on."""
+    for a in range(at, len(core), 1 << 16):
+        piece = core[a : a + (1 << 16)]
+        piece = piece[:-1] if len(piece) % 4 == 1 else piece
+        yield base64.b64decode(piece + "=" * (-len(piece) % 4))
+
+
+def views(data: bytes) -> Iterator[str]:
+    """Single-byte views that may hold something: the bytes as they are, and without the zeros of UTF-16 and UTF-32."""
+    for view in (data, data.replace(b"\0", b"")) if b"\0" in data else (data,):
+        if WORTH.search(view):
+            yield view.decode("latin-1")
+
+
+def packed_views(core: str, at: int) -> Iterator[str]:
+    """Views of a compressed stream that starts at a character of a run."""
+    data, seen = b"".join(decoded_pieces(core, at)), 0
+    while (inner := unpacked(data)) is not None and seen < 16 and inner != data:
+        data, seen = inner, seen + 1
+    if seen:
+        yield from views(data)
+
+
+def below_run(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    """Layers in a run that may go on over line ends: whole, each of its lines, and compressed streams inside."""
+    pieces, places, at, length = [], [], 0, 0
+    for end in [*LINE_ENDS.finditer(m.group()), None]:
+        piece = m.group()[at : end.start() if end else None].rstrip("=")
+        places.append((length, m.start() + at))
+        pieces.append(piece)
+        length += len(piece)
+        at = end.end() if end else at
+    core = "".join(pieces).translate(STANDARD)
+
+    def place(i: int) -> int:
+        first, start = places[bisect_right(places, i, key=lambda x: x[0]) - 1]
+        return start + i - first
+
+    for x in PACKED.finditer(core):
+        a, b = layer.span(place(x.start()), m.end())
+        for text in packed_views(core, x.start()):
+            yield Layer(text, a, b, layer.depth + 1)
+    for line in BASE64.finditer(layer.text, m.start(), m.end()):
+        own = line.group().rstrip("=").translate(STANDARD)
+        for k in range(4):
+            a, b = layer.span(line.start() + k, line.end())
+            for text in views(b"".join(decoded_pieces(own, k))):
+                yield Layer(text, a, b, layer.depth + 1)
+    if len(pieces) > 1:
+        for k in range(4):
+            data = b"".join(decoded_pieces(core, k))
+            for text in views(data):
+                if isinstance(layer.starts, int) or len(text) < len(data):
+                    a, b = layer.span(m.start() + k, m.end())
+                    yield Layer(text, a, b, layer.depth + 1)
+                    continue
+                groups = [layer.span(place(i), place(min(i + 4, len(core)) - 1) + 1) for i in range(k, len(core), 4)]
+                of_char = [groups[i // 3] for i in range(len(data))]
+                yield Layer(text, [a for a, _ in of_char], [b for _, b in of_char], layer.depth + 1)
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
@@ -165,26 +217,29 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         yield below
     if ("\\" in layer.text or "&#" in layer.text) and (below := replaced(layer, UNICODE, escape_text)):
         yield below
-    for m in BASE64.finditer(layer.text):
-        if (text := decoded_run(m.group())) is not None:
-            a, b = layer.span(m.start(), m.end())
-            yield Layer(text, a, b, layer.depth + 1)
+    for m in WRAPPED.finditer(layer.text):
+        yield from below_run(layer, m)
 
 
 def secrets_of(text: str) -> list[Span]:
     """All secrets of a text, by start, kind and end; depth 0 for those that stand in it as they are."""
     found = {(s, e, k): 0 for k, s, e in scan(text)}
-    seen, work = set(), deque(unwrapped(Layer(text, None, None, 0)))
+    seen: dict[tuple, int] = {}
+    work = [unwrapped(Layer(text, None, None, 0))]
     while work:
-        layer = work.popleft()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         place = layer.span(0, len(layer.text)) if layer.text else (0, 0)
         mark = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), place)
-        if mark in seen:
+        if seen.get(mark, layer.depth + 1) <= layer.depth:
             continue
-        seen.add(mark)
+        seen[mark] = layer.depth
         for kind, a, b in scan(layer.text):
-            found.setdefault((*layer.span(a, b), kind), layer.depth)
-        work.extend(unwrapped(layer))
+            key = (*layer.span(a, b), kind)
+            found[key] = min(found.get(key, layer.depth), layer.depth)
+        work.append(unwrapped(layer))
     spans = [Span(s, e, k, d) for (s, e, k), d in found.items()]
     return sorted(spans, key=lambda x: (x.start, KINDS.index(x.kind), x.end, x.depth))
 

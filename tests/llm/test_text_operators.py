@@ -55,6 +55,27 @@ def test_scan_ends_on_cycles_and_bombs():
     assert spans(bomb) == [] and spans("%25" * 500) == [] and spans("%") == []
 
 
+SECRET = "api_key: ABCDEFGHIJ=="
+LONG = random.Random(2).randbytes(300).hex(" ") + "\n" + SECRET
+
+
+@pytest.mark.parametrize("hidden", [
+    *[base64.b64encode((odd + SECRET).encode()).decode() for odd in ("\xa0", "\ufeff", "\u200b", "\u3000", "\x0c")],
+    base64.b64encode(("é " + SECRET).encode("latin-1")).decode(),
+    base64.b64encode(SECRET.encode("utf-16")).decode(),
+    *[before + base64.b64encode(SECRET.encode()).decode() for before in ("id_", "path/", "a-", "xy/z_")],
+    "path/" + base64.b64encode(gzip.compress(SECRET.encode())).decode(),
+    base64.encodebytes(("x" * 50 + SECRET).encode()).decode(),
+    base64.encodebytes(gzip.compress(LONG.encode())).decode(),
+    "-----BEGIN CERTIFICATE-----\n" + base64.encodebytes(zlib.compress(LONG.encode())).decode().replace("\n", "\r\n"),
+    base64.encodebytes(gzip.compress(LONG.encode())).decode().replace("\n", "\\n"),
+    "%ff" + "".join(f"%{ord(c):02x}" for c in SECRET),
+])
+def test_secrets_below_odd_layers_are_found(hidden):
+    found = [s for s in spans(f"señor {hidden} end") if s[0] == "assign"]
+    assert found and all(6 <= a < b <= 6 + len(hidden) for _, a, b in found)
+
+
 def test_secret_table(spark):
     texts = [*ODD_TEXTS, "token=abcdefgh1 x " * 3]
     rows = secret_scan.scan_secrets(documents(spark, texts)).collect()
