@@ -40,13 +40,18 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LINE_END = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
 WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{LINE_END}[A-Za-z0-9+/_-]+)*={{0,2}}")
 LINE_ENDS = re.compile(LINE_END)
+RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=\r\n"
 STANDARD = str.maketrans("-_", "+/")
 # How gzip, zlib, bzip2 and xz streams begin in base64.
 PACKED = re.compile(r"(?=H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo|/Td6WFoA)")
 #: What a layer must have to hold a secret or a further layer.
 WORTH = re.compile(rb"AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|[A-Za-z0-9+/_-]{16}|passw|secret|token|api_?key", re.IGNORECASE)
-#: A compressed layer that unpacks to more bytes than this is left packed.
+#: Bytes of an unpacked layer that are scanned at once; a larger one is scanned in windows.
 LARGEST_LAYER = 16 << 20
+#: Bytes that windows share at least; one that ends in a base64 run shares the whole run, up to twice the largest layer.
+OVERLAP = 1 << 20
+#: Bytes that leave a stream at once.
+PIECE = 1 << 18
 
 
 class Span(NamedTuple):
@@ -130,23 +135,54 @@ def replaced(layer: Layer, pattern: re.Pattern, meaning) -> Layer | None:
     return Layer("".join(out), layer.starts if whole else starts, layer.ends if whole else ends, layer.depth + 1)
 
 
-def unpacked(data: bytes) -> bytes | None:
-    """The contents of a gzip, zlib, bzip2 or xz stream; None if it is none, broken or too large."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and int.from_bytes(data[:2]) % 31 == 0):
-            stream = zlib.decompressobj(47)
-            out = stream.decompress(data, LARGEST_LAYER)
-            return out if stream.eof else None
-        if data[:3] == b"BZh":
-            stream = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            stream = lzma.LZMADecompressor()
-        else:
-            return None
-        out = stream.decompress(data, LARGEST_LAYER)
-        return out if stream.eof else None
-    except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
-        return None
+def opened(head: bytes):
+    """A decompressor for what starts so; None if it is no gzip, zlib, bzip2 or xz stream."""
+    if head[:2] == b"\x1f\x8b" or (head[:1] == b"\x78" and int.from_bytes(head[:2]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head[:6] == b"\xfd7zXZ\x00" else None
+
+
+def unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Contents of a stream and of the members behind it, piece by piece, as far as they can be read."""
+    left, stream = b"", None
+    while True:
+        while len(left) < 6 and (more := next(pieces, None)) is not None:
+            left = (left + more).lstrip(b"\0") if stream else left + more
+        stream = opened(left)
+        if stream is None:
+            return
+        while not stream.eof:
+            try:
+                out = stream.decompress(left, PIECE)
+            except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+                return
+            if out:
+                yield out
+            left = getattr(stream, "unconsumed_tail", b"")
+            hungry = stream.needs_input if hasattr(stream, "needs_input") else not left and len(out) < PIECE
+            if hungry and not stream.eof:
+                left = next(pieces, None)
+                if left is None:
+                    return
+        left = stream.unused_data.lstrip(b"\0")
+
+
+def windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes in windows that overlap; all at once if they are few."""
+    held, fresh = bytearray(), 0
+    for piece in pieces:
+        held += piece
+        fresh += len(piece)
+        if fresh > LARGEST_LAYER:
+            yield bytes(held)
+            run = len(held) - len(held.rstrip(RUN_BYTES))
+            keep = max(OVERLAP, run) if run <= 2 * LARGEST_LAYER else OVERLAP
+            del held[: max(0, len(held) - keep)]
+            fresh = 0
+    if fresh:
+        yield bytes(held)
 
 
 def decoded_pieces(core: str, at: int) -> Iterator[bytes]:
@@ -165,12 +201,24 @@ def views(data: bytes) -> Iterator[str]:
 
 
 def packed_views(core: str, at: int) -> Iterator[str]:
-    """Views of a compressed stream that starts at a character of a run."""
-    data, seen = b"".join(decoded_pieces(core, at)), 0
-    while (inner := unpacked(data)) is not None and seen < 16 and inner != data:
-        data, seen = inner, seen + 1
-    if seen:
-        yield from views(data)
+    """Views of a compressed stream that starts at a character of a run, and of the streams it holds in turn until one was seen before.
+
+    Deeper streams are unpacked again from the start, so that none is held whole.
+    """
+    depth, seen = 1, set()
+    while True:
+        pieces = decoded_pieces(core, at)
+        for _ in range(depth):
+            pieces = unpacked(pieces)
+        digest, head = hashlib.blake2b(digest_size=16), b""
+        for window in windows(pieces):
+            head = head or window[:6]
+            digest.update(window)
+            yield from views(window)
+        if digest.digest() in seen or opened(head) is None:
+            return
+        seen.add(digest.digest())
+        depth += 1
 
 
 def below_run(layer: Layer, m: re.Match) -> Iterator[Layer]:

@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import urllib.parse
 import zlib
@@ -76,6 +78,25 @@ def test_secrets_below_odd_layers_are_found(hidden):
     assert found and all(6 <= a < b <= 6 + len(hidden) for _, a, b in found)
 
 
+def deep(data, times):
+    for _ in range(times):
+        data = gzip.compress(data)
+    return data
+
+
+@pytest.mark.parametrize("packed", [
+    zlib.compress(b"a line of a log\n" * 1_300_000 + SECRET.encode()),
+    bz2.compress(b"a line of a log\n" * 600_000 + SECRET.encode() + b"\na line of a log" * 700_000),
+    lzma.compress(b"a line of a log\n" * 1_048_575 + b"a line " + base64.b64encode(gzip.compress(SECRET.encode())) + b"\nend of the log" * 200_000),
+    deep(SECRET.encode(), 20),
+    gzip.compress(b"first member") + gzip.compress(b"second") + gzip.compress(SECRET.encode()),
+    bz2.compress(b"first member") + bz2.compress(SECRET.encode()),
+], ids=["zlib", "bz2", "xz", "deep", "gzip members", "bz2 members"])
+def test_secrets_of_large_deep_and_joined_streams_are_found(packed):
+    hidden = base64.b64encode(packed).decode()
+    assert ("assign", 2, 2 + len(hidden)) in spans(f"x {hidden} y")
+
+
 def test_secret_table(spark):
     texts = [*ODD_TEXTS, "token=abcdefgh1 x " * 3]
     rows = secret_scan.scan_secrets(documents(spark, texts)).collect()
