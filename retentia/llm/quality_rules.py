@@ -20,7 +20,7 @@ from retentia.llm.batches import on_workers, pieces_of, staged, texts_of
 
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 WINDOW = 5
-#: Words a reference keeps, and languages with a reference of their own; documents of further ones are compared with the whole table's.
+#: Words a reference keeps, and languages whose references the workers get at the start; those of further ones are joined to their documents.
 COMMON_WORDS, LANGUAGES = 64, 256
 #: A text with fewer words is not compared.
 LEAST_WORDS = 50
@@ -112,33 +112,41 @@ def language_counts(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "lang string, kind string, item binary, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """For each language: character histogram, most common words, their counts and that of all other words.
+def reference(rows: Iterable[tuple]) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
+    """A language's character histogram, the numbers of its most common words, and their counts and that of all other words."""
+    h, words, total = np.zeros(N_CLASSES, np.int64), {}, 0
+    for kind, item, n in rows:
+        if kind == "c":
+            h[int(bytes(item))] = n
+        elif kind == "w":
+            words[bytes(item)] = n
+        else:
+            total = n
+    names = sorted(words)
+    kept = [words[w] for w in names]
+    return h, {w: i for i, w in enumerate(names)}, np.array([*kept, total - sum(kept)])
+
 
-    At most ``LANGUAGES`` + 1 times (34 + 64 + 1) rows reach the driver: the languages with most words, and ``*`` for the whole table.
+def references(docs: DataFrame) -> tuple[dict[str, tuple], DataFrame | None]:
+    """The references of the languages with most words and, as ``*``, of the whole table; and a table (lang, rows) of all further ones, None if there are none.
+
+    At most ``LANGUAGES`` + 1 times (34 + 64 + 1) rows reach the driver.
     """
     counts = staged(language_counts(docs))
     both = counts.filter(F.col("lang").isNotNull() & (F.col("lang") != ALL)).unionByName(
         counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(ALL)))
     common = both.filter(F.col("kind") == "w").withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "item"))).filter(F.col("nth") <= COMMON_WORDS).drop("nth")
     sums = both.groupBy("lang", "kind").agg(F.sum("n").alias("n"))
-    largest = sums.filter(F.col("kind") == "w").orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).select("lang")
     rows = common.unionByName(both.filter(F.col("kind") == "c")).unionByName(sums.filter(F.col("kind") == "w").select("lang", F.lit("t").alias("kind"), F.lit(None).cast("binary").alias("item"), "n"))
+    of_lang = sums.filter(F.col("kind") == "w").orderBy(F.desc("n"), "lang").limit(LANGUAGES + 2).select("lang").collect()
+    largest = [r.lang for r in of_lang[: LANGUAGES + 1]]
     found: dict[str, list] = {}
-    for lang, kind, item, n in rows.join(largest, "lang", "left_semi").select("lang", "kind", "item", "n").collect():
-        h, words = found.setdefault(lang, [np.zeros(N_CLASSES, np.int64), {}, 0])[:2]
-        if kind == "c":
-            h[int(bytes(item))] = n
-        elif kind == "w":
-            words[bytes(item)] = n
-        else:
-            found[lang][2] = n
-    out = {}
-    for lang, (h, words, total) in found.items():
-        names = sorted(words)
-        kept = [words[w] for w in names]
-        out[lang] = (h, names, np.array([*kept, total - sum(kept)]))
-    return out
+    for lang, *row in rows.filter(F.col("lang").isin(largest)).select("lang", "kind", "item", "n").collect():
+        found.setdefault(lang, []).append(row)
+    further = None
+    if len(of_lang) > len(largest):
+        further = staged(rows.filter(~F.col("lang").isin(largest)).groupBy("lang").agg(F.collect_list(F.struct("kind", "item", "n")).alias("rows")))
+    return {lang: reference(r) for lang, r in found.items()}, further
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -146,15 +154,16 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     ``base_failed``: under 10 words, or over a fifth of them in repeated windows. Of the others those are
     kept that are short or near their language. A missing or empty text has no words and fails. A
-    missing or rare language is compared with the whole table. Rows with equal ids stay apart.
+    missing language is compared with the whole table. Rows with equal ids stay apart.
     """
     on_workers(docs.sparkSession)
-    known = {lang: (h, {w: i for i, w in enumerate(words)}, n) for lang, (h, words, n) in references(docs).items()}
+    known, further = references(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text"):
             rows = []
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            joined = batch.column(3) if batch.num_columns > 3 else None
+            for at, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 raw = text.encode()
                 words = raw.split()
                 n = len(words)
@@ -162,7 +171,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
                 failed = n < 10 or 100 * repeated > 20 * n
                 of_chars = of_words = 0.0
                 if n >= LEAST_WORDS and known:
-                    ref_chars, index, ref_words = known.get(lang) or known[ALL]
+                    own_rows = joined[at].as_py() if joined is not None else None
+                    ref_chars, index, ref_words = reference((r["kind"], r["item"], r["n"]) for r in own_rows) if own_rows else known.get(lang) or known[ALL]
                     other = len(index)
                     own = np.bincount(np.fromiter((index.get(w, other) for w in raw.lower().split()), np.int64, n), minlength=other + 1)
                     of_chars, of_words = distance(char_histogram(raw), ref_chars), distance(own, ref_words)
@@ -172,9 +182,15 @@ def quality_rules(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], NAMES)
 
-    return texts_of(docs, "doc_id", "lang").mapInArrow(
-        run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    shape = (
+        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
         "base_failed boolean, char_distance double, word_distance double, kept boolean")
+    given = texts_of(docs, "doc_id", "lang")
+    if further is None:
+        return given.mapInArrow(run, shape)
+    # Only texts of further languages are joined; the others have their references already.
+    at_hand = F.coalesce(F.col("lang").isin(list(known)), F.lit(True))
+    return given.filter(at_hand).mapInArrow(run, shape).unionByName(given.filter(~at_hand).join(further, "lang", "left").select("doc_id", "lang", "text", "rows").mapInArrow(run, shape))
 
 
 NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]

@@ -255,6 +255,24 @@ def test_rules_equal_brute_force_and_junk_diverges(spark):
     assert quality_rules.quality_rules(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("languages", [256, 2])
+def test_each_language_has_a_reference_of_its_own(spark, monkeypatch, languages):
+    monkeypatch.setattr(quality_rules, "LANGUAGES", languages)
+    rng = random.Random(6)
+    rows = []
+    for k, (lang, n) in enumerate((("en", 60), ("de", 50), ("el-GR", 12), ("ru", 10), ("fr", 8))):
+        letters = "etaoinshr" if k in (0, 1, 4) else "αβγδεηικλ" if k == 2 else "абвгдежзи"
+        vocabulary = ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(80)]
+        rows += [(len(rows) + i, " ".join(rng.choices(vocabulary, k=200)), lang) for i in range(n)]
+    rows += [(len(rows), None, "xx"), (len(rows) + 1, "short", "yy"), (len(rows) + 2, rows[0][1], None)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sorted(got) == list(range(len(rows))) and all(got[i].kept for i in range(140))
+    for lang in ("en", "el-GR", "fr"):
+        own = [r for r in rows if r[2] == lang]
+        total = sum(quality_rules.char_histogram(t.encode()) for _, t, _ in own)
+        assert all(got[i].char_distance == pytest.approx(quality_rules.distance(quality_rules.char_histogram(t.encode()), total)) for i, t, _ in own)
+
+
 def test_distance_is_that_of_the_definition():
     a, b = np.array([3, 0, 1]), np.array([1, 1, 2])
     p, q = a / 4, b / 4
