@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, chat, importance, line_dedup, multi_index, near_dedup, packing, quality_rules, secret_scan, token_counts
+from retentia.llm import bpe, chat, importance, line_dedup, multi_index, near_dedup, packing, periodic_runs, quality_rules, secret_scan, token_counts, whitening
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -142,3 +142,25 @@ roots AS (SELECT u AS id, min(v) AS root FROM reach GROUP BY u)
 SELECT d.doc_id, d.n AS n_shingles, coalesce(r.root, d.doc_id) AS component_id, d.doc_id = coalesce(r.root, d.doc_id) AS kept
 FROM sized d LEFT JOIN classes c ON d.n > 0 AND d.mark = c.mark LEFT JOIN roots r ON r.id = c.id
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), planted=True)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    # Runs come by start, then period, so of equal exponents the first one stays.
+    more = lambda x, r: x.isNull() | (r["length"].cast("decimal(19,0)") * x["period"] > x["length"].cast("decimal(19,0)") * r["period"])
+    kind = "struct<start: long, length: long, period: long>"
+    best = F.aggregate("runs", F.lit(None).cast(kind), lambda x, r: F.when(more(x, r), r).otherwise(x))
+    wide = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed")
+    return wide.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(F.try_divide(F.lit(1000) * F.col("best.length"), F.col("best.period"))).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
