@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.llm import bpe, chat, importance, line_dedup, multi_index, near_dedup, packing, periodic_runs, quality_rules, secret_scan, token_counts, whitening
+from retentia.llm import bpe, chat, importance, line_dedup, multi_index, near_dedup, packing, periodic_runs, pii, quality_rules, secret_scan, token_counts, whitening
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def listed(spans):
+    """Spans as text: kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
@@ -92,7 +97,6 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     plain = F.filter("spans", lambda s: s["depth"] == 0)
-    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     kinds = F.transform(plain, lambda s: s["kind"])
     numbers = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
     return found.select("doc_id", *numbers, F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
@@ -164,3 +168,12 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.try_divide(F.lit(1000) * F.col("best.length"), F.col("best.period"))).cast("long").alias("exponent_milli"),
         F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    numbers = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *numbers, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

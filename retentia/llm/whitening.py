@@ -70,7 +70,9 @@ def solved(matrix: np.ndarray, shift: float, right: np.ndarray) -> np.ndarray:
             out = np.linalg.solve(matrix - (shift + step * size) * np.eye(len(matrix)), right)
         except np.linalg.LinAlgError:
             continue
-        if np.isfinite(out).all():
+        most = np.abs(out).max(axis=0)
+        if np.isfinite(most).all() and most.all():
+            out = out / most
             return out / np.linalg.norm(out, axis=0)
     return right
 
