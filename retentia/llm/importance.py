@@ -3,8 +3,8 @@
 Texts become bags of hashed n-grams: lower-case words, word shapes and pairs of neighbouring shapes (a
 word said twice counts as a pair of its own). Two generative models are the shares of the hash
 buckets in target texts and in all raw texts. The log of their ratio, summed over a text, is the log
-of its importance; Gumbel noise makes the top-k of the sums a sample without replacement, with
-weights that are the importance to the power ``sharpness``.
+of its importance; Gumbel noise makes the top-k of the sums a sample without replacement, weighted by
+the importance (with ``sharpness`` other than 1, by that power of it).
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ BUCKETS = 10_007
 #: Labelled target documents that the target model is fitted on, at most; chosen by the hash of the id.
 TARGET_SAMPLE = 20_000
 #: Texts with a log ratio from here on set the size of the sample; noise is divided by the sharpness.
-LEAST_LOG_RATIO, SHARPNESS = -8.0, 4.0
+LEAST_LOG_RATIO, SHARPNESS = -8.0, 1.0
 #: n-grams with the shares of the raw text that are added to those of the target, and standard errors that a ratio is moved towards 0.
 PRIOR, ERRORS = 1000.0, 2.0
-#: Keys next to the cut that are compared on the driver, at most.
+#: Different keys next to the cut that are compared on the driver, at most; more are narrowed down further.
 AT_CUT = 10_000
 KEPT = 200_000
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -147,7 +147,9 @@ def cut_of(keys: DataFrame, k: int) -> float | None:
             if above + bins[b] >= k:
                 break
             above += bins[b]
-        narrow_low, narrow_high = max(low, low + b * step - 1e-9), min(high, low + (b + 1) * step + 1e-9)
+        # Wide enough for the rounding of the bins; a range that cannot be narrowed holds a few dozen different numbers.
+        reach = 8 * float(np.spacing(max(abs(low), abs(high))))
+        narrow_low, narrow_high = max(low, low + b * step - reach), min(high, low + (b + 1) * step + reach)
         held = keys.filter((F.col("sample_key") >= narrow_low) & (F.col("sample_key") <= narrow_high))
         if bins[b] <= AT_CUT // 2 or narrow_high - narrow_low >= (high - low) * 0.99:
             distinct = held.groupBy("sample_key").count().orderBy(F.desc("sample_key")).limit(AT_CUT).collect()

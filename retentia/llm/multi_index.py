@@ -117,14 +117,14 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def best_of(entries: pa.Table, queries: pa.Table, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best entries in the cells it visits: (query_id, ids, scores). Equal vectors get equal scores."""
+def best_of(entries: pa.Table, queries: pa.Table, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each query its k best entries in the cells it visits: (query_id, its vector's mark, ids, scores). Equal vectors get equal scores."""
     ids, cell, x = entries["vec_id"].to_numpy(), entries["second"].to_numpy(), matrix(entries["vector"])
     for start in range(0, len(queries), 512):
         part = queries.slice(start, 512)
         q = matrix(part["vector"])
         rough = q @ x.T
-        for i, (query, cells, floor) in enumerate(zip(part["query_id"].to_pylist(), part["cells"].to_pylist(), part["floor"].to_pylist())):
+        for i, (query, mark, cells, floor) in enumerate(zip(*[part[c].to_pylist() for c in ("query_id", "mark", "cells", "floor")])):
             near = np.flatnonzero(np.isin(cell, cells) & (ids != query) & (rough[i] >= floor))
             if len(near) > k:
                 scores = rough[i, near]
@@ -132,7 +132,7 @@ def best_of(entries: pa.Table, queries: pa.Table, k: int) -> Iterator[tuple[int,
                 near = near[scores >= least - 1e-9 * max(1.0, abs(least))]
             exact = (x[near] * q[i]).sum(1)
             order = np.lexsort((ids[near], -exact))[:k]
-            yield query, ids[near][order], exact[order]
+            yield query, mark, ids[near][order], exact[order]
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, side: int = SIDE, recall: float = RECALL) -> DataFrame:
@@ -140,7 +140,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, side: int = SIDE, recall:
 
     ``is_query`` is a condition on vec_id. Scores are inner products in double precision, ties go to the
     smaller vec_id. Vectors that are null, zero, of another length or hold null or non-finite
-    components take no part. Rows that share a vec_id are rows of their own but never neighbours of that id.
+    components take no part. Rows that share a vec_id are rows of their own but never neighbours of that id: as queries
+    each of their different vectors is asked once and has its own ranks. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     on_workers(spark)
@@ -165,7 +166,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, side: int = SIDE, recall:
         sizes[a, b] = n
     wanted = max(int(np.ceil(share * sizes.sum())), k + 1)
     blocks = np.maximum(1, -(-sizes.sum(1) // ENTRY_BLOCK))
-    asked = rows.filter(is_query)
+    asked = rows.filter(is_query).dropDuplicates(["vec_id", "vector"]).withColumn("mark", F.xxhash64("vector"))
     groups = max(1, -(-asked.count() // QUERY_BLOCK))
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,19 +193,19 @@ def search(vectors: DataFrame, is_query, k: int = 20, side: int = SIDE, recall:
                 cut = slice(s, s + 4096)
                 yield pa.RecordBatch.from_arrays(
                     [*[c.take(pa.array(at[cut])) for c in batch.columns], pa.array(lists[cut], pa.int32()), pa.array(cells[cut], pa.list_(pa.int32())), pa.array(parts[cut], pa.int32()), pa.array(floors[cut], pa.float64())],
-                    ["query_id", "vector", "first", "cells", "part", "floor"])
+                    ["query_id", "vector", "mark", "first", "cells", "part", "floor"])
 
     def rank(entries: pa.Table, queries: pa.Table) -> pa.Table:
         found = list(best_of(entries, queries, k)) if len(entries) and len(queries) else []
-        query = np.repeat([f[0] for f in found], [len(f[1]) for f in found]) if found else []
-        ids, scores = (np.concatenate([f[i] for f in found]) if found else [] for i in (1, 2))
-        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
+        query, mark = (np.repeat([f[i] for f in found], [len(f[2]) for f in found]) if found else [] for i in (0, 1))
+        ids, scores = (np.concatenate([f[i] for f in found]) if found else [] for i in (2, 3))
+        return pa.table({"query_id": pa.array(query, pa.int64()), "mark": pa.array(mark, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     n_blocks = F.get(F.array(*[F.lit(int(n)) for n in blocks]), F.col("first"))
     entries = indexed.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    queries = asked.mapInArrow(route, "query_id long, vector array<double>, first int, cells array<int>, part int, floor double")
+    queries = asked.mapInArrow(route, "query_id long, vector array<double>, mark long, first int, cells array<int>, part int, floor double")
     queries = queries.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
     keys = ["first", "part", "group"]
-    found = entries.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
-    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = entries.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(rank, "query_id long, mark long, vec_id long, score double")
+    nth = F.row_number().over(W.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

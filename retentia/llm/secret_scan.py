@@ -4,7 +4,9 @@ A worklist starts with the text. Each layer is scanned for secrets, then unwrapp
 Unicode escapes are replaced in place, base64 runs are decoded at every alignment, also across line ends,
 and compressed streams that start anywhere in them are unpacked. Secrets are ASCII, so decoded bytes are
 read as single-byte characters, whatever their encoding. New layers join the list until nothing new
-appears; a layer that was seen at the same place is not visited again, so cycles end. Every decoded
+appears; a layer that was seen at the same place is not visited again, so cycles end. Escapes within escapes
+are peeled layer by layer four times, then to the end in one pass, so long chains cost no more than
+their length; what lies between there holds only pieces of escapes that the end does not. Every decoded
 character remembers the span it came from, so a secret of any layer is reported by its place in the
 original text.
 """
@@ -34,8 +36,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# An ASCII character each, so that spans are exact; other bytes are decoded together.
+PERCENT = re.compile(r"%[0-7][0-9A-Fa-f]|(?:%[89A-Fa-f][0-9A-Fa-f])+")
 UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+# An escape at the end of a text; hex escapes of characters without a number of digits stop at the bracket or semicolon.
+ENDING = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)$")
+ESCAPE_ENDS = frozenset("0123456789abcdefABCDEF};")
+#: Layers of escapes within escapes that are peeled one by one; deeper ones are peeled to the end in one pass.
+SINGLE_LAYERS = 4
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 LINE_END = r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*"
 WRAPPED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{LINE_END}[A-Za-z0-9+/_-]+)*={{0,2}}")
@@ -62,12 +70,16 @@ class Span(NamedTuple):
 
 
 class Layer(NamedTuple):
-    """A text with the original span of each character; ``starts`` is None for the original itself, an int for a text decoded from one span."""
+    """A text with the original span of each character; ``starts`` is None for the original itself, an int for a text decoded from one span.
+
+    ``peels`` counts the layers of escapes that were replaced one after the other to get here.
+    """
 
     text: str
     starts: list[int] | int | None
     ends: list[int] | int | None
     depth: int
+    peels: int = 0
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
@@ -132,6 +144,40 @@ def replaced(layer: Layer, pattern: re.Pattern, meaning) -> Layer | None:
         return None
     keep(at, len(layer.text))
     whole = isinstance(layer.starts, int)
+    return Layer("".join(out), layer.starts if whole else starts, layer.ends if whole else ends, layer.depth + 1, layer.peels + 1)
+
+
+def escape_ending(out: list[str]) -> tuple[int, str] | None:
+    """Length and meaning of an escape that ends at the end of ``out``."""
+    tail = "".join(out[-10:])
+    m = ENDING.search(tail)
+    if not m:
+        return None
+    text = m.group()
+    meaning = chr(int(text[1:], 16)) if text[0] == "%" else escape_text(text)
+    return (len(text), meaning) if meaning is not None and len(meaning) == 1 else None
+
+
+def peeled(layer: Layer) -> Layer | None:
+    """The layer with all escapes replaced, also those that appear by replacing others, in one pass with a stack."""
+    out, starts, ends = [], [], []
+    changed = False
+    for i, c in enumerate(layer.text):
+        a, b = layer.span(i, i + 1)
+        while True:
+            out.append(c)
+            starts.append(a)
+            ends.append(b)
+            found = escape_ending(out) if c in ESCAPE_ENDS else None
+            if found is None:
+                break
+            n, c = found
+            a, b = starts[-n], ends[-1]
+            del out[-n:], starts[-n:], ends[-n:]
+            changed = True
+    if not changed:
+        return None
+    whole = isinstance(layer.starts, int)
     return Layer("".join(out), layer.starts if whole else starts, layer.ends if whole else ends, layer.depth + 1)
 
 
@@ -261,10 +307,14 @@ def below_run(layer: Layer, m: re.Match) -> Iterator[Layer]:
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers directly below one."""
-    if "%" in layer.text and (below := replaced(layer, PERCENT, percent_text)):
-        yield below
-    if ("\\" in layer.text or "&#" in layer.text) and (below := replaced(layer, UNICODE, escape_text)):
-        yield below
+    if layer.peels >= SINGLE_LAYERS:
+        if ("%" in layer.text or "\\" in layer.text or "&#" in layer.text) and (below := peeled(layer)):
+            yield below
+    else:
+        if "%" in layer.text and (below := replaced(layer, PERCENT, percent_text)):
+            yield below
+        if ("\\" in layer.text or "&#" in layer.text) and (below := replaced(layer, UNICODE, escape_text)):
+            yield below
     for m in WRAPPED.finditer(layer.text):
         yield from below_run(layer, m)
 
@@ -309,7 +359,7 @@ def listed(spans: Iterable[Span]) -> str:
 def scan_secrets(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id and ``spans array<struct<kind, start, end, depth>>`` in code points, end exclusive.
 
-    A missing or empty text has no spans. Texts are scanned whole. No shuffle.
+    A missing or empty text has no spans. Repeated ids each keep a row; an empty table gives no rows. Texts are scanned whole. No shuffle.
     """
     on_workers(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()

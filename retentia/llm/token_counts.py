@@ -3,7 +3,7 @@
 Batches are balanced by bytes. Texts are split where it is safe, at white space: no token of a
 vocabulary that drops white space reaches across it. Parts seen before are not encoded again;
 of the library's answer only the length is kept. Vocabularies that keep white space
-(``.model``) are given whole texts.
+(``.model``, and every ``.json`` that gives tokens for it) are given whole texts.
 """
 
 from __future__ import annotations
@@ -26,25 +26,42 @@ KEPT, BATCH_BYTES = 200_000, 1 << 18
 
 
 def balanced(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Lists of texts with about ``limit`` characters each; a longer text stands alone."""
+    """Lists of texts with at most ``limit`` bytes each; a longer text stands alone."""
     held, size = [], 0
     for t in texts:
-        if held and size + len(t) > limit:
+        own = len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
+        if held and size + own > limit:
             yield held
             held, size = [], 0
         held.append(t)
-        size += len(t)
+        size += own
     if held:
         yield held
 
 
 @cache
-def word_lengths(path: str) -> Memory:
-    """Token counts of texts without white space, from the ``tokenizers`` library."""
+def library(path: str) -> Tokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one worker per core
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    return tokenizer
+
+
+@cache
+def drops_white_space(path: str) -> bool:
+    """Whether white space gives no tokens, alone, around and between words, and no added token holds any."""
+    tokenizer = library(path)
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    added = any(chunks_of(t.content) != [t.content] for t in tokenizer.get_added_tokens_decoder().values())
+    blanks = [b for b in (" ", "  ", "\n", "\r\n", "\t", " \n ") if ids(b) or ids(f"{b}ab{b}cd1{b}") != ids("ab") + ids("cd1")]
+    return not added and not blanks
+
+
+@cache
+def word_lengths(path: str) -> Memory:
+    """Token counts of texts without white space, from the ``tokenizers`` library."""
+    tokenizer = library(path)
 
     def learn(chunks: Iterable[str]) -> dict[str, int]:
         known = {}
@@ -64,6 +81,8 @@ def counts(texts: list[str], path: str) -> list[int]:
     """Number of tokens of each text."""
     if path.endswith(".model"):
         return [len(ids) for part in balanced(texts) for ids in pieces(path).encode(part, num_threads=1)]
+    if not drops_white_space(path):
+        return [len(e) for part in balanced(texts) for e in library(path).encode_batch_fast(part, add_special_tokens=False)]
     totals = [0] * len(texts)
     short = [i for i, t in enumerate(texts) if len(t) <= BATCH_BYTES]
     memory = word_lengths(path)
@@ -81,7 +100,7 @@ def counts(texts: list[str], path: str) -> list[int]:
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its id, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
-    A missing or empty text has no bytes and no tokens. Repeated ids stay apart. No shuffle.
+    A missing or empty text has no bytes and no tokens. Repeated ids stay apart; an empty table gives no rows. No shuffle.
     """
     on_workers(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()

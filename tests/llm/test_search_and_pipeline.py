@@ -52,6 +52,25 @@ def test_unusable_vectors_take_no_part_and_few_candidates_all_come_back(spark):
     assert searched(spark.createDataFrame([(0, [3.0], 0, 0, 0), (7, [2.0], 0, 0, 0)], KIND), 20) == {0: [(7, 6.0)]}
 
 
+def test_queries_that_share_an_id_have_ranks_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, [float(v) for v in r], 0, 0, 0) for i, r in enumerate(x)] + [(20, [float(v) for v in x[20]], 0, 0, 0), (40, [5.0, -1.0, 0.5, 2.0], 0, 0, 0)]
+    got = {}
+    for r in multi_index.search(spark.createDataFrame(rows, KIND), F.col("vec_id") % 20 == 0, 6).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    vectors = np.array([np.float32(r[1]) for r in rows], float)
+    ids = np.array([r[0] for r in rows])
+
+    def ranked(q, query):
+        score = (vectors * query).sum(1)
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:6]
+        return [(n + 1, int(ids[i]), float(score[i])) for n, i in enumerate(order)]
+
+    assert sorted(got[20]) == ranked(20, vectors[20]) and sorted(got[0]) == ranked(0, vectors[0])
+    assert sorted(got[40]) == sorted(ranked(40, vectors[40]) + ranked(40, vectors[61]))
+
+
 def test_cells_come_by_summed_distance():
     rng = random.Random(4)
     a, b = np.array([rng.random() for _ in range(9)]), np.array([rng.random() for _ in range(7)])
@@ -73,8 +92,8 @@ def corpus(tmp_path_factory, spark):
     texts += ["!! ".join(rng.choices(vocabulary, k=100)).upper() for _ in range(12)]
     texts += [None, "", prose(4000)]
     folder = tmp_path_factory.mktemp("corpus")
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    rows = [(i, t, "en", "s", len(t or ""), "given", i) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_lines string, n_dropped long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i < 60), 0) for i in (*range(0, 60, 2), 70, 71)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return str(folder), texts, shared
 
@@ -84,7 +103,8 @@ def test_stages_take_effect_and_keep_clean_documents(spark, corpus):
     docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_lines", "n_dropped"], name
+        assert all(r.n_lines == "given" and r.n_dropped == r.doc_id for r in docs.collect()), name
         seen.append({r.doc_id: r for r in docs.collect()})
     good, lines, apart, clean = seen
     junk = set(range(69, 81))

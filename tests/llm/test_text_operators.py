@@ -4,14 +4,18 @@ import gzip
 import hashlib
 import lzma
 import random
+import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from retentia.llm import chat, importance, line_dedup, near_dedup, quality_rules, secret_scan
 from retentia.llm.queries import QUERIES
@@ -54,7 +58,75 @@ def test_secrets_below_layers_map_to_the_text(wrap):
 
 def test_scan_ends_on_cycles_and_bombs():
     bomb = base64.b64encode(zlib.compress(b"a" * (secret_scan.LARGEST_LAYER + 1))).decode()
-    assert spans(bomb) == [] and spans("%25" * 500) == [] and spans("%") == []
+    assert spans(bomb) == [("hex", 0, len(bomb))] and spans("%25" * 500) == [] and spans("%") == []
+
+
+def test_long_chains_of_escapes_are_peeled_quickly():
+    chains = ["%" + "25" * 40_000 + "41", "\\" + "u005c" * 16_000 + "x41", "&#" + "38;#" * 20_000 + "65;", "%5c" + "u00255c" * 11_000 + "x41"]
+    for chain in chains:
+        start = time.perf_counter()
+        found = spans(f"tok{chain} token=abcdefgh1")
+        assert time.perf_counter() - start < 5 and ("assign", len(chain) + 4, len(chain) + 19) in found
+    # A secret whose keyword and value only appear at the end of a chain is found there.
+    hidden = "".join(f"%{'25' * 9}{ord(c):02x}" for c in "token=abcdefgh1")
+    assert ("assign", 1, 1 + len(hidden)) in spans(f"({hidden})")
+
+
+def plain_secrets(text):
+    found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII) if len(m.group(1)) >= 8]
+    found += [("access", m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+    found += [("hex", m.start(), m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 32]
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def naive_layers(text):
+    """All layers of a text by percent and base64, every one decoded on its own, with the span of the original for each character."""
+    work, seen = [(text, [(i, i + 1) for i in range(len(text))])], set()
+    while work:
+        text, place = work.pop()
+        if (text, place[0] if place else None) in seen:
+            continue
+        seen.add((text, place[0] if place else None))
+        yield text, place
+        out, spans_, i = "", [], 0
+        while i < len(text):
+            m = re.compile(r"%[0-9A-Fa-f]{2}").match(text, i)
+            if m and int(m.group()[1:], 16) < 128:
+                out, i = out + chr(int(m.group()[1:], 16)), i + 3
+                spans_.append((place[i - 3][0], place[i - 1][1]))
+            else:
+                out, i = out + text[i], i + 1
+                spans_.append(place[i - 1])
+        if out != text:
+            work.append((out, spans_))
+        for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+            core = m.group().rstrip("=")
+            whole = core[: len(core) // 4 * 4] + (core[len(core) // 4 * 4 :] + "==")[:4] * (len(core) % 4 > 1)
+            data = base64.b64decode(whole)
+            if all(32 <= b < 127 for b in data):
+                work.append((data.decode(), [(place[m.start()][0], place[m.end() - 1][1])] * len(data)))
+
+
+def test_scan_finds_what_decoding_every_layer_finds():
+    rng = random.Random(21)
+    wraps = [lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"%{ord(c):02x}" for c in s), lambda s: base64.b64encode(s.encode()).decode()]
+    for _ in range(150):
+        core = rng.choice(["token=abcdefgh1", "AKIA" + "ABCD1234" * 2, "0123456789abcdef" * 2, "secret: short", "password = 'Zz9/+_.=x'"])
+        for _ in range(rng.randrange(4)):
+            core = rng.choice(wraps)(core)
+        text = f"some words {core} and more %41 of token=abcdefgh2 them"
+        want = set()
+        for layer, place in naive_layers(text):
+            want |= {(k, place[a][0], place[b - 1][1]) for k, a, b in plain_secrets(layer)}
+        assert want <= set(spans(text)) and [s for s in plain_secrets(text)] == [(s.kind, s.start, s.end) for s in secret_scan.secrets_of(text) if s.depth == 0], text
+
+
+def test_secrets_that_stand_as_they_are_equal_plain_patterns():
+    rng = random.Random(22)
+    words = ["token", "=", ":", " ", "'", "AKIA", "ABCDEFGH12", "0123456789abcdef", "secret", "api_key", "x", "é", "\n", "ABCDEFGH"]
+    for _ in range(3000):
+        text = "".join(rng.choices(words, k=rng.randrange(14)))
+        assert [(s.kind, s.start, s.end) for s in secret_scan.secrets_of(text) if s.depth == 0] == plain_secrets(text)
 
 
 SECRET = "api_key: ABCDEFGHIJ=="
@@ -119,6 +191,21 @@ def test_any_chat_is_read_back(spark, texts):
     assert back.loss_text == "".join(t for _, _, r, t in rows if r == "assistant")
 
 
+def test_reader_refuses_what_is_no_chat(spark):
+    wrong = ["### user: a", "### user: a</turn>", "user: a</turn>\n", "### user: a</turn>\nx### user: b</turn>\n", "### user: a### b</turn>\n", "### user: a\\</turn>\n", "### user: a</turn>\n\n"]
+    rows = spark.createDataFrame([(t,) for t in wrong], "t string").select("t", chat.read_turns(F.col("t")).alias("turns")).collect()
+    assert all(not r.turns or None in r.turns for r in rows)
+    one = spark.createDataFrame([("### user: a\\\\</turn>\n",)], "t string").select(chat.read_turns(F.col("t")).alias("turns")).first()
+    assert [(t.role, t.text) for t in one.turns] == [("user", "a\\")]
+
+
+def test_only_conflicting_texts_are_escaped(spark):
+    texts = ["plain", "# almost ###", "</turn", "a\\b", "end\\", "### x", "x</turn>y", "</turn>\n### user: b", ""]
+    rows = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    bodies = {r.text: r.body for r in chat.rendered(rows).collect()}
+    assert [t for t in texts if bodies[t] != t] == texts[3:8]
+
+
 def test_chat_edge_cases(spark):
     kind = "conv_id long, turn long, role string, text string, body string, piece string, nth int"
     rows = [(None, 0, "user", "a", "x", "y", 1), (None, None, "assistant", None, "x", "y", 1), (2, 1, "assistant", "b", "", "", 0), (2, 1, "assistant", "b", "", "", 0), (2, 0, None, "</turn>\n### user: x", "", "", 0)]
@@ -153,6 +240,21 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.with_kept_text(documents(spark, [])).collect() == []
 
 
+def test_lines_of_repeated_ids_and_clashing_columns(spark):
+    line = "the very same line in a number of documents"
+    rows = [(i, f"{line}\nown {i}", "x") for i in range(6)] + [(0, f"only here, at the place of a common line\n{line}", "y"), (0, f"{line}\nown 0", "z"), (None, line, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string").selectExpr("*", "7 as kept_text", "8 as mark", "9 as words", "'d' as n_dropped")
+    got = line_dedup.with_kept_text(docs)
+    assert got.columns == [*docs.columns, "n_lines_", "n_dropped_", "kept_text_"]
+    kept = sorted((r.doc_id if r.doc_id is not None else -1, r.n_lines, r.kept_text_, r.n_dropped_) for r in got.collect())
+    want = [(-1, "w", line, 0), (0, "x", "own 0", 1), (0, "y", "only here, at the place of a common line", 1), (0, "z", "own 0", 1)]
+    want += [(i, "x", f"own {i}", 1) for i in range(1, 5)] + [(5, "x", f"{line}\nown 5", 0)]
+    assert kept == want
+    plain = line_dedup.drop_common_lines(docs)
+    assert plain.columns == docs.columns
+    assert {(r.doc_id, r.n_lines, r.n_dropped, r.kept_text, r.text) for r in plain.collect()} == {(None if i < 0 else i, n, "d", 7, t) for i, n, t, _ in want}
+
+
 def test_bitmaps_store_only_words_with_a_dropped_line(spark):
     line = "the very same line in a number of documents"
     texts = ["\n".join(["own %d" % i] * 130 + [line]) for i in range(5)]
@@ -221,6 +323,70 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted(r.doc_id or -1 for r in near_dedup.drop_near_duplicates(spark.createDataFrame(rows, kind)).collect()) == [-1, -1, 3, 5, 5]
 
 
+def test_work_on_one_template_does_not_grow_with_its_square(spark):
+    """Texts of one template that are not linked: candidates of the first walk, and classes whose sets are gathered, stay linear."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    template = fresh(89)
+    sizes = {}
+    for n in (100, 200):
+        docs = spark.createDataFrame([(i, " ".join(template + fresh(15))) for i in range(n)], "doc_id long, text string")
+        rows = near_dedup.staged(near_dedup.described(docs))
+        own = rows.selectExpr("xxhash64(mark) as id", "doc_id as first_doc", "mark", "n_shingles as size", "sketch", "tokens", "xxhash64(mark) as comp")
+        pairs = near_dedup.first_pairs(own).count()
+        groups, branched = near_dedup.involved(own, 0)
+        assert branched is None and near_dedup.exact_links(groups, near_dedup.sets_of(docs, own, groups)).count() == 0
+        sizes[n] = (pairs, groups.count())
+    assert all(16 * n >= size for n, found in sizes.items() for size in found)
+
+
+def test_links_by_matrix_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for n in (2, 3, 40):
+        base = rng.integers(0, 2**63, 80, dtype=np.uint64)
+        sets = [np.unique(np.r_[rng.permutation(base)[: rng.integers(50, 80)], rng.integers(0, 2**63, rng.integers(0, 20), dtype=np.uint64)]) for _ in range(n)]
+        comp = rng.integers(0, 5, n)
+        links = set()
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if comp[i] != comp[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    links.add((j, i))
+        found = {tuple(sorted(e)) for e in near_dedup.links_of(np.arange(n), comp, sets)}
+        assert found <= links and len(found) <= n - 1
+        groups = lambda edges: sorted(sorted(g) for g in near_dedup.parted(n, sorted(edges)))
+        assert groups(found) == groups(links)
+
+
+def test_groups_are_cut_from_any_batches():
+    key = np.sort(np.random.default_rng(3).integers(0, 9, 60))
+    table = pa.table({"group": key, "id": np.arange(60)})
+    for size in (1, 7, 60):
+        seen = []
+        for part, edges in near_dedup.groups_of(table.to_batches(max_chunksize=size)):
+            ids = part.column("id").to_pylist()
+            seen += [ids[a:b] for a, b in zip(edges[:-1], edges[1:])]
+        assert seen == [np.flatnonzero(key == k).tolist() for k in np.unique(key)]
+    assert list(near_dedup.groups_of([])) == []
+
+
+@pytest.mark.parametrize("blocks", [(1024, 4096), (16, 24)])
+def test_large_nodes_are_compared_by_blocks(spark, monkeypatch, blocks):
+    """Copies that are linked to some of the others only, in nodes that are cut into pairs of blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", blocks[0])
+    monkeypatch.setattr(near_dedup, "MODERATE", blocks[1])
+    rng = random.Random(15)
+    words = [f"w{rng.getrandbits(40)}" for _ in range(120)]
+    texts = []
+    for i in range(90):
+        copy = list(words)
+        for _ in range(rng.randrange(9)):
+            copy[rng.randrange(120)] = f"x{rng.getrandbits(40)}"
+        texts.append(" ".join(copy))
+    got = near_dedup.near_duplicates(documents(spark, texts)).collect()
+    assert sorted(map(tuple, got)) == brute_components(texts)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.root for r in near_dedup.smallest_reachable(edges).collect()}
@@ -308,8 +474,38 @@ def test_cut_is_the_kth_largest(spark, monkeypatch, k):
     assert importance.cut_of(keys, k) == sorted(values, reverse=True)[k - 1]
 
 
+def test_ratio_and_sample_equal_brute_force(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 5))) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary[:40] if i < 30 else vocabulary[20:], k=60)) for i in range(60)] + [None, ""]
+    docs = documents(spark, texts).selectExpr("*", "1 as log_ratio", "2 as sample_key", "3 as n_ngrams")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 30, 2)], "doc_id long, quality int, toxic int")
+    raw, target = np.zeros(importance.BUCKETS), np.zeros(importance.BUCKETS)
+    for i, t in enumerate(texts):
+        for g in importance.ngrams(t or ""):
+            raw[g] += 1
+            target[g] += i < 30 and i % 2 == 0
+    want = np.zeros(importance.BUCKETS)
+    total = sum(max(r, 1) for r in raw)
+    for b in range(importance.BUCKETS):
+        share = max(raw[b], 1) / total
+        ratio = np.log((target[b] + importance.PRIOR * share) / (target.sum() + importance.PRIOR)) - np.log(share)
+        want[b] = np.sign(ratio) * max(0, abs(ratio) - importance.ERRORS * np.sqrt(1 / (target[b] + 1) + 1 / (raw[b] + 1)))
+    assert np.allclose(importance.fit(docs, labels), want)
+    rows = {r.doc_id: r for r in importance.classify(docs, labels).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].log_ratio == pytest.approx(want[importance.ngrams(t or "")].sum(), abs=1e-9) and rows[i].n_ngrams == len(importance.ngrams(t or ""))
+    # The noise is Gumbel noise of a hash, not scaled, and the sample is the top of the keys.
+    noise = [rows[i].sample_key - rows[i].log_ratio for i in rows]
+    assert -3 < min(noise) < max(noise) < 12 and importance.SHARPNESS == 1
+    k = sum(r.log_ratio >= importance.LEAST_LOG_RATIO for r in rows.values())
+    assert {i for i, r in rows.items() if r.selected} == set(sorted(rows, key=lambda i: -rows[i].sample_key)[:k])
+    kept = importance.select(docs, labels)
+    assert kept.columns == docs.columns and all((r.log_ratio, r.sample_key, r.n_ngrams) == (1, 2, 3) for r in kept.collect())
+
+
 def test_queries_are_one_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_secret_query_derives_counts_and_lists(spark, tmp_path):

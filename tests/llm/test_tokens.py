@@ -88,6 +88,16 @@ def test_token_counts_of_a_vocabulary_that_keeps_white_space():
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [t or "" for t in ODD_TEXTS]
     assert token_counts.counts(texts, path) == [len(model.encode(t)) for t in texts]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    keeps = Tokenizer.from_file(path)
+    assert not token_counts.drops_white_space(path) and token_counts.drops_white_space(VOCABULARY)
+    assert token_counts.counts([*texts, "two  words\n"], path) == [len(keeps.encode(t, add_special_tokens=False).ids) for t in [*texts, "two  words\n"]]
+
+
+def test_batches_are_balanced_by_bytes():
+    parts = list(token_counts.balanced(["é" * 40, "a" * 40, "b" * 70, "日" * 50, "c"], 100))
+    assert parts == [["é" * 40], ["a" * 40], ["b" * 70], ["日" * 50], ["c"]] or all(sum(len(t.encode()) for t in p) <= 100 or len(p) == 1 for p in parts)
+    assert list(token_counts.balanced(["ab", "é", "c"], 4)) == [["ab", "é"], ["c"]]
 
 
 def brute_best_fit(lengths, size):
