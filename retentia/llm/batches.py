@@ -25,9 +25,12 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, else one below the warehouse."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, else one below the warehouse, which on a cluster must not be a local disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_retentia"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not folder and warehouse.startswith(("file:", "/")) and not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is a local one")
+    return folder or warehouse + "/_retentia"
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from retentia.llm.batches import staged
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: Parts that the lines of one key are split into when they meet the common keys.
+SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,11 +32,16 @@ def lines_of(text: Column) -> Column:
 
 
 def long_lines(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(doc_id, pos, key) of the lines that may be dropped, the key hashed."""
+    """(doc_id, mark, pos, key) of the lines that may be dropped, the key hashed."""
     line = F.posexplode(lines_of(F.col("text"))).alias("pos", "line")
-    lines = docs.select("doc_id", line).filter(F.char_length("line") >= least_chars)
-    keyed = lines.select("doc_id", "pos", line_key(F.col("line")).alias("line")).filter(F.char_length("line") >= least_chars)
-    return keyed.select("doc_id", "pos", F.unhex(F.md5("line")).alias("key"))
+    lines = docs.select("doc_id", text_mark().alias("mark"), line).filter(F.char_length("line") >= least_chars)
+    keyed = lines.select("doc_id", "mark", "pos", line_key(F.col("line")).alias("line")).filter(F.char_length("line") >= least_chars)
+    return keyed.select("doc_id", "mark", "pos", F.unhex(F.md5("line")).alias("key"))
+
+
+def text_mark() -> Column:
+    """Tells rows apart that share a doc_id; rows of equal text lose the same lines anyway."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def common_lines(lines: DataFrame, least_docs: int) -> DataFrame:
@@ -46,18 +53,20 @@ def common_lines(lines: DataFrame, least_docs: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """Bitmaps of the lines to drop, for documents that lose any: doc_id, n_dropped, ``words array<struct<word, bits>>``.
+    """Bitmaps of the lines to drop, for documents that lose any: doc_id, mark, n_dropped, ``words array<struct<word, bits>>``.
 
     Bit ``b`` of word ``w`` stands for line ``64 * w + b``; words without a set bit are left out.
     Rows without a doc_id are in no bitmap. Rows that share a doc_id count as one document for the
-    number of documents; their lines share its bits.
+    number of documents; each text of them, told by the hash ``mark``, has bits of its own.
     """
     lines = staged(long_lines(docs.filter(F.col("doc_id").isNotNull()), least_chars))  # read three times: to choose ranges, to count, to mark
-    common = common_lines(lines, least_docs)
-    lost = lines.join(common, "key").filter(F.col("doc_id") != F.col("keeper"))
+    # The lines of one very common key meet it in several tasks.
+    common = common_lines(lines, least_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark", "pos"), F.lit(SALTS)).cast("int"))
+    lost = salted.join(common, ["key", "salt"]).filter(F.col("doc_id") != F.col("keeper"))
     bit = F.expr("shiftleft(1L, cast(pos % 64 as int))")
-    words = lost.groupBy("doc_id", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return words.groupBy("doc_id").agg(
+    words = lost.groupBy("doc_id", "mark", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return words.groupBy("doc_id", "mark").agg(
         F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words")
     )
 
@@ -74,13 +83,29 @@ def kept_flags(words: Column, n_lines: Column) -> Column:
 def with_kept_text(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """The documents with ``n_lines``, ``n_dropped`` and ``kept_text``: the lines that stay, joined by line feeds.
 
-    A missing or empty text is one empty line and stays empty. Repeated doc_ids each keep a row.
+    A missing or empty text is one empty line and stays empty. Repeated doc_ids each keep a row and lose lines by their
+    own text; rows without a doc_id lose none. Given columns stay as they are: an added one whose name is taken gets
+    underscores behind it. An empty table gives an empty one.
     """
-    marks = dropped_lines(docs.select("doc_id", "text"), least_chars, least_docs).withColumnsRenamed({"words": "_words", "n_dropped": "_dropped"})
-    lines = docs.join(marks, "doc_id", "left").withColumn("_lines", lines_of(F.col("text")))
-    lines = lines.withColumn("n_lines", F.size("_lines").cast("long"))
-    flags = kept_flags(F.col("_words"), F.size("_lines"))
-    stay = F.transform(F.filter(F.arrays_zip(F.col("_lines").alias("line"), flags.alias("keep")), lambda x: x["keep"]), lambda x: x["line"])
-    text = F.when(F.col("_words").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stay, "\n"))
-    dropped = F.coalesce(F.col("_dropped"), F.lit(0)).cast("long")
-    return lines.withColumns({"kept_text": text, "n_dropped": dropped}).drop("_words", "_dropped", "_lines")
+    names = docs.columns
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(names)])
+    marks = dropped_lines(plain.select("doc_id", "text"), least_chars, least_docs)
+    lines = plain.withColumn("mark", text_mark()).join(marks, ["doc_id", "mark"], "left").withColumn("lines", lines_of(F.col("text")))
+    flags = kept_flags(F.col("words"), F.size("lines"))
+    stay = F.transform(F.filter(F.arrays_zip(F.col("lines").alias("line"), flags.alias("keep")), lambda x: x["keep"]), lambda x: x["line"])
+    text = F.when(F.col("words").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stay, "\n"))
+    added = {"n_lines": F.size("lines").cast("long"), "n_dropped": F.coalesce("n_dropped", F.lit(0)).cast("long"), "kept_text": text}
+    out = lines.withColumns({f"_{name}": value for name, value in added.items()}).select(*plain.columns, *[f"_{name}" for name in added])
+    final = list(names)
+    for name in added:
+        while name in final:
+            name += "_"
+        final.append(name)
+    return out.toDF(*final)
+
+
+def drop_common_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
+    """The documents with the common lines gone from ``text``; all columns as given otherwise. A missing text stays missing."""
+    kept = with_kept_text(docs, least_chars, least_docs)
+    text = F.when(F.col("text").isNotNull(), F.col(kept.columns[-1]))
+    return kept.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
