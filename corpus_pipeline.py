@@ -29,8 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.with_kept_text(docs)
-    return with_text(kept, F.col("kept_text"), docs.columns)
+    return with_text(line_dedup.drop_common_lines(docs), F.col("text"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
