@@ -26,7 +26,7 @@ from tokenizers import Regex, normalizers
 from retentia.llm.batches import on_workers, pieces_of, texts_of
 
 #: Size of each half of the memory that a Python worker has of words it has encoded.
-KEPT = 200_000
+KEPT = 400_000
 #: A text longer than this is encoded in parts, cut at white space.
 PART = 1 << 20
 

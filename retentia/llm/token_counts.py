@@ -22,7 +22,7 @@ from retentia.llm.batches import on_workers, pieces_of, texts_of
 from retentia.llm.bpe import Memory, chunks_of, parts_of
 
 #: Size of each half of a worker's memory of parts, and bytes given to the library at once.
-KEPT, BATCH_BYTES = 200_000, 1 << 18
+KEPT, BATCH_BYTES = 400_000, 1 << 18
 
 
 def balanced(texts: Iterable[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
