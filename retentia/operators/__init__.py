@@ -2,6 +2,7 @@
 
 from retentia.operators.explain import (
     attributions,
+    attributions_within,
     compare_rankings,
     impurity_importance,
     linear_attributions,
@@ -12,6 +13,7 @@ from retentia.operators.explain import (
     split_importance,
 )
 from retentia.operators.joins import assert_unique_key, assert_unique_keys, join_one_to_one, with_globals
+from retentia.operators.levels import level_dictionary, target_means, with_level_numbers
 from retentia.operators.metrics import (
     average_precision,
     best_f1_threshold,
@@ -27,8 +29,9 @@ from retentia.operators.models import (
     fit_boosted,
     fit_forest,
     fit_logistic,
-    index_categories,
+    out_of_fold_scores,
     score,
+    staged_auc,
     stratified_split,
     with_class_weight,
 )
@@ -64,6 +67,7 @@ from retentia.operators.quality import (
     value_counts,
 )
 from retentia.operators.quantiles import column_quantiles, exact_quantiles
+from retentia.operators.sketches import merged_sketches, rank_errors, sketch_quantiles, value_sketches
 from retentia.operators.rollup import (
     active_months,
     online_profile,

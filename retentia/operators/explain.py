@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from retentia.operators.metrics import roc_auc
 from retentia.operators.models import LABEL
-from retentia.sources.sink import checkpoint_folder
+from retentia.sources.sink import checkpoint_folder, stage
 from retentia.sources.tables import KEY
 
 
@@ -101,7 +101,7 @@ def permutation_importance(model: Model, df: DataFrame, names: Sequence[str], re
 
 
 def shuffle_importance(model: Model, df: DataFrame, names: Sequence[str], metric: str = "prediction", seed: int = 42,
-                       repeats: int = 1, key: str = KEY, label: str = LABEL) -> DataFrame:
+                       repeats: int = 5, key: str = KEY, label: str = LABEL) -> DataFrame:
     """Effect of shuffling a feature: mean absolute change of the score, or growth of the log-loss."""
     shuffled = _shuffled_scores(model, df, len(names), repeats, seed, key, label)
 
@@ -120,29 +120,64 @@ def shuffle_importance(model: Model, df: DataFrame, names: Sequence[str], metric
 
 def attributions(model: Model, df: DataFrame, names: Sequence[str], samples: int = 4, seed: int = 42,
                  key: str = KEY) -> DataFrame:
-    """Sampled Shapley value of each feature of each row, in units of probability.
+    """Sampled Shapley value of each feature of each row, in units of probability, and its standard error.
 
     A row is reached from a random partner by switching features over one by one in
-    random order; a feature is credited with the change of the score when it
+    random order, and once more in the opposite order; a feature is credited with the change of the score when it
     switches. The credits of a row add up to its score minus the mean score of
-    its partners.
+    its partners. ``std_error`` is that of the mean over the ``samples`` pairs of walks, NULL for one pair.
+    """
+    return _attribution_of_totals(_walk_totals(model, df, names, samples, seed, key), names, key)
+
+
+def attributions_within(model: Model, df: DataFrame, names: Sequence[str], error: float = 0.1, samples: int = 4, most: int = 64,
+                        seed: int = 42, key: str = KEY) -> tuple[DataFrame, int]:
+    """``attributions`` with samples doubled until the standard errors are small, and the number of samples.
+
+    The root mean square of the standard errors must be within ``error`` times that of the attributions. New walks are added to
+    the sums of the earlier ones, which are staged; after ``most`` samples the answer is what there is.
+    """
+    samples = max(2, samples)
+    totals = stage(_walk_totals(model, df, names, samples, seed, key))
+    while True:
+        rows = _attribution_of_totals(totals, names, key)
+        seen = rows.agg(F.avg(F.col("std_error") ** 2).alias("e"), F.avg(F.col("attribution") ** 2).alias("a")).first()
+        if samples * 2 > most or seen["e"] is None or seen["e"] <= error**2 * seen["a"]:
+            return rows, samples
+        more = _walk_totals(model, df, names, samples, seed + samples, key)
+        totals = stage(totals.unionByName(more).groupBy(key, "i").agg(*[F.sum(c).alias(c) for c in ("n", "v", "v2")]))
+        samples *= 2
+
+
+def _attribution_of_totals(totals: DataFrame, names: Sequence[str], key: str) -> DataFrame:
+    mean = F.col("v") / F.col("n")
+    spread = F.greatest(F.col("v2") - F.col("n") * mean * mean, F.lit(0.0))
+    error = F.sqrt(F.try_divide(spread, F.col("n") * (F.col("n") - 1)))
+    return totals.select(key, _named("i", names).alias("feature"), mean.alias("attribution"), error.alias("std_error"))
+
+
+def _walk_totals(model: Model, df: DataFrame, names: Sequence[str], samples: int, seed: int, key: str) -> DataFrame:
+    """(key, i, n, v, v2): pairs of walks, and the sum and the sum of squares of what they credit a feature with.
+
+    The step at which a feature switches is looked up, so a probe costs one pass over its features.
     """
     width = len(names)
     paired = with_partner(df.select(key, "features"), samples, seed, key)
     index = F.sequence(F.lit(0), F.lit(width - 1))
     draws = F.transform(index, lambda i: F.struct(F.xxhash64(F.col(key), F.col("repeat"), i, F.lit(seed)).alias("h"), i.alias("i")))
-    walk = paired.withColumns({
+    there = paired.withColumns({
         "_own": vector_to_array("features"),
         "_other": vector_to_array("partner"),
-        "_order": F.transform(F.array_sort(draws), lambda d: d["i"]),
+        "_there": F.transform(F.array_sort(draws), lambda d: d["i"]),
     })
-    steps = walk.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(width))))
-    switched = F.slice(F.col("_order"), F.lit(1), F.col("_step"))
-    mixed = F.transform(
-        "_own", lambda v, i: F.when(F.array_contains(switched, i), v).otherwise(F.get(F.col("_other"), i))
-    )
+    orders = F.array(F.col("_there"), F.reverse("_there"))
+    walk = there.select(key, "repeat", "_own", "_other", F.explode(orders).alias("_order"))
+    # The inverse of the order: at which step each feature switches.
+    by_feature = F.array_sort(F.transform("_order", lambda i, step: F.struct(i.alias("i"), step.alias("step"))))
+    steps = walk.withColumn("_when", F.transform(by_feature, lambda d: d["step"])).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(width))))
+    mixed = F.transform("_own", lambda v, i: F.when(F.get(F.col("_when"), i) < F.col("_step"), v).otherwise(F.get(F.col("_other"), i)))
     probes = steps.select(
-        key,
+        key, "repeat",
         array_to_vector(mixed).alias("features"),
         F.get(F.col("_order"), F.col("_step") - 1).alias("_in"),
         F.get(F.col("_order"), F.col("_step")).alias("_next"),
@@ -151,10 +186,9 @@ def attributions(model: Model, df: DataFrame, names: Sequence[str], samples: int
     credits = F.array(
         F.struct(F.col("_in").alias("i"), F.col("_p").alias("v")), F.struct(F.col("_next").alias("i"), (-F.col("_p")).alias("v"))
     )
-    credited = scored.select(key, F.inline(credits)).filter("i IS NOT NULL")
-    return credited.groupBy(key, "i").agg((F.sum("v") / samples).alias("attribution")).select(
-        key, _named("i", names).alias("feature"), "attribution"
-    )
+    credited = scored.select(key, "repeat", F.inline(credits)).filter("i IS NOT NULL")
+    pairs = credited.groupBy(key, "repeat", "i").agg((F.sum("v") / 2).alias("v"))
+    return pairs.groupBy(key, "i").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"), F.sum(F.col("v") * F.col("v")).alias("v2"))
 
 
 def linear_attributions(model: PipelineModel, df: DataFrame, names: Sequence[str], key: str = KEY) -> DataFrame:

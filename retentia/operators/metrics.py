@@ -1,7 +1,8 @@
 """Exact ranking metrics on a scored table (label 0/1, score), as Spark aggregates.
 
 Rows are first counted per distinct score; running counts over the scores then give every
-curve. ``groups`` evaluates many score sets at once. All of them run a job to place the counts.
+curve. ``groups`` evaluates many score sets at once. Building the curve runs a job to place the counts; a
+curve that is staged once serves all metrics (``..._of_curve``).
 """
 
 from __future__ import annotations
@@ -28,24 +29,36 @@ def score_curve(scored: DataFrame, label: str = "label", score: str = "score", g
 
 def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", groups: Sequence[str] = ()) -> DataFrame:
     """Chance that a positive outranks a negative, ties counting half; NULL with one class only."""
+    return auc_of_curve(score_curve(scored, label, score, groups), groups)
+
+
+def auc_of_curve(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     pairs = F.max(F.col("pos_total").cast("double") * F.col("neg_total"))
-    return score_curve(scored, label, score, groups).groupBy(*groups).agg(F.try_divide(wins, pairs).alias("roc_auc"))
+    return curve.groupBy(*groups).agg(F.try_divide(wins, pairs).alias("roc_auc"))
 
 
 def average_precision(scored: DataFrame, label: str = "label", score: str = "score",
                       groups: Sequence[str] = ()) -> DataFrame:
     """Sum over thresholds of the recall gained times the precision reached."""
+    return precision_of_curve(score_curve(scored, label, score, groups), groups)
+
+
+def precision_of_curve(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     gained = F.sum(F.col("pos") * precision)
-    return score_curve(scored, label, score, groups).groupBy(*groups).agg(
+    return curve.groupBy(*groups).agg(
         F.try_divide(gained, F.max("pos_total").cast("double")).alias("average_precision")
     )
 
 
 def pr_curve(scored: DataFrame, label: str = "label", score: str = "score", groups: Sequence[str] = ()) -> DataFrame:
     """Precision and recall at each distinct score taken as threshold."""
-    return score_curve(scored, label, score, groups).select(
+    return points_of_curve(score_curve(scored, label, score, groups), groups)
+
+
+def points_of_curve(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    return curve.select(
         *groups,
         "threshold",
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -56,10 +69,14 @@ def pr_curve(scored: DataFrame, label: str = "label", score: str = "score", grou
 def best_f1_threshold(scored: DataFrame, label: str = "label", score: str = "score",
                       groups: Sequence[str] = ()) -> DataFrame:
     """Threshold with the largest F1, the lowest of equals."""
+    return threshold_of_curve(score_curve(scored, label, score, groups), groups)
+
+
+def threshold_of_curve(curve: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     p, r = F.col("precision"), F.col("recall")
     f1 = 2 * p * r / (p + r + 1e-9)
     best = F.max(F.struct(f1.alias("f1"), (-F.col("threshold")).alias("order"), p.alias("precision"), r.alias("recall")))
-    found = pr_curve(scored, label, score, groups).groupBy(*groups).agg(best.alias("best"))
+    found = points_of_curve(curve, groups).groupBy(*groups).agg(best.alias("best"))
     return found.select(
         *groups, (-F.col("best.order")).alias("threshold"), F.col("best.precision"), F.col("best.recall"), F.col("best.f1")
     )

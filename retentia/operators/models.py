@@ -7,26 +7,35 @@ A training table holds the key, the label, a ``features`` vector and a
 from __future__ import annotations
 
 import math
-import statistics
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retentia.functions.columns import _col
+from retentia.operators.levels import level_counts, level_dictionary, with_level_numbers
+from retentia.operators.metrics import roc_auc
 from retentia.operators.prepare import NON_FEATURES, columns_of_type
-from retentia.sources.sink import checkpoint_folder
+from retentia.sources.sink import checkpoint_folder, stage
 from retentia.sources.tables import KEY
 
 LABEL = "ChurnStatus"
-_BUCKETS = 10_000
+#: Bits of the hash that rows are drawn by, and those that are counted; the rest is compared inside one count only.
+HASH_BITS, COUNTED_BITS = 60, 16
+#: Bins of a feature in boosting, and so the numbered categories a column may have; one is for missing and unseen ones.
+BINS = 64
+#: Folds of the training rows for the level means of wide text columns.
+MEAN_FOLDS = 5
 
 # Settings of the two boosted profiles, beside the number of rounds.
 BOOSTED_PROFILES = {
@@ -41,25 +50,75 @@ BOOSTED_PROFILES = {
 }
 
 
-def _drawn(n: int, salt: str, key: str, label: str, seed: int) -> Column:
-    """A number below ``n`` from the first 32 bits of an MD5 digest, which any engine can compute."""
+def _drawn(salt: str, key: str, label: str, seed: int) -> Column:
+    """A number of ``HASH_BITS`` bits from an MD5 digest, which any engine can compute."""
     digest = F.md5(F.concat_ws("|", F.lit(salt), _col(key).cast("string"), _col(label).cast("string"), F.lit(str(seed))))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n
+    return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def class_cuts(df: DataFrame, wanted: Callable[[int], list[int]], salt: str, key: str = KEY, label: str = LABEL, seed: int = 42) -> dict:
+    """For each class the (hash, key) of its k-th rows in the order of hash and key, for every k that ``wanted`` gives for the class's size.
+
+    Rows are counted by class and leading bits of the hash (a fixed number of counts a class reaches the driver); only the
+    counts that hold a wanted rank are put in order, a 65,536th of a class each. No class is sorted or meets in a task.
+    A rank of 0 has no row and gives None.
+    """
+    placed = df.filter(_col(label).isNotNull()).select(_col(label).alias("_label"), _drawn(salt, key, label, seed).alias("_h"), _col(key).cast("string").alias("_k"))
+    placed = placed.withColumn("_b", F.shiftright("_h", HASH_BITS - COUNTED_BITS))
+    counts: dict = {}
+    for value, bucket, n in placed.groupBy("_label", "_b").count().collect():
+        counts.setdefault(value, {})[bucket] = n
+    sought, cuts = [], {}
+    for value, own in counts.items():
+        buckets = sorted(own)
+        ends = np.cumsum([own[b] for b in buckets])
+        ranks = wanted(int(ends[-1]))
+        cuts[value] = [None] * len(ranks)
+        for i, k in enumerate(ranks):
+            if k > 0:
+                at = int(np.searchsorted(ends, k))
+                sought.append((value, buckets[at], int(k - ends[at] + own[buckets[at]]), i))
+    if sought:
+        spark = df.sparkSession
+        kind = placed.schema["_label"].dataType.simpleString()
+        ranks = F.broadcast(spark.createDataFrame(sought, f"_label {kind}, _b bigint, _rank bigint, _i int"))  # classes times wanted ranks
+        inside = placed.join(F.broadcast(ranks.select("_label", "_b").distinct()), ["_label", "_b"], "left_semi")
+        nth = F.row_number().over(W.partitionBy("_label", "_b").orderBy("_h", "_k"))
+        for r in inside.withColumn("_rank", nth.cast("bigint")).join(ranks, ["_label", "_b", "_rank"]).collect():
+            cuts[r["_label"]][r["_i"]] = (r["_h"], r["_k"])
+    return cuts
+
+
+def _above(cut: tuple | None, salt: str, key: str, label: str, seed: int) -> Column:
+    """Whether a row comes after a cut."""
+    if cut is None:
+        return F.lit(True)
+    own = F.struct(_drawn(salt, key, label, seed).alias("h"), _col(key).cast("string").alias("k"))
+    return own > F.struct(F.lit(cut[0]).cast("bigint").alias("h"), F.lit(cut[1]).alias("k"))
 
 
 def stratified_split(df: DataFrame, key: str = KEY, label: str = LABEL, frac: float = 0.25, seed: int = 42) -> DataFrame:
-    """Add ``split``: ``test`` for about ``frac`` of each class, else ``train``.
+    """Add ``split``: ``test`` for ``round(frac * n)`` of the n rows of each class, exactly, else ``train``.
 
-    The side of a row is a hash of its key, class and the seed, so it depends neither on
-    the partitioning nor on the other rows, and needs no shuffle.
+    The test rows are those with the smallest hashes of key, class and seed, so the split depends neither on
+    the partitioning nor on the order of the rows. Rows without a class, or rows that share a key at the cut, stay together.
+    Two small jobs find the cuts; the rows are not shuffled.
     """
-    bucket = _drawn(_BUCKETS, "split", key, label, seed)
-    return df.withColumn("split", F.when(bucket < round(frac * _BUCKETS), "test").otherwise("train"))
+    cuts = class_cuts(df, lambda n: [math.floor(frac * n + 0.5)], "split", key, label, seed)
+    side = F.lit("train")
+    for value, (cut,) in cuts.items():
+        side = F.when((_col(label) == F.lit(value)) & ~_above(cut, "split", key, label, seed), F.lit("test")).otherwise(side)
+    return df.withColumn("split", side)
 
 
 def with_folds(df: DataFrame, folds: int = 5, key: str = KEY, label: str = LABEL, seed: int = 42) -> DataFrame:
-    """Add ``fold`` 0..folds-1, each with about the same share of each class. The hash has a salt of its own, so folds are independent of the split."""
-    return df.withColumn("fold", _drawn(folds, "fold", key, label, seed).cast("int"))
+    """Add ``fold`` 0..folds-1; the rows of a class differ by one at most between folds. The hash has a salt of its own, so folds are independent of the split. Rows without a class are in fold 0."""
+    cuts = class_cuts(df, lambda n: [j * n // folds for j in range(1, folds)], "fold", key, label, seed)
+    fold = F.lit(0)
+    for value, own in cuts.items():
+        number = reduce(lambda a, b: a + b, [_above(cut, "fold", key, label, seed).cast("int") for cut in own], F.lit(0))
+        fold = F.when(_col(label) == F.lit(value), number).otherwise(fold)
+    return df.withColumn("fold", fold.cast("int"))
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -88,40 +147,39 @@ def with_class_weight(df: DataFrame, label: str = LABEL, mode: str = "balanced",
     return df.withColumn(out, chosen.cast("double"))
 
 
-def index_categories(cols: Sequence[str]) -> list[StringIndexer]:
-    """Stages that number the levels of text columns; missing and unseen ones share a number."""
-    if not cols:
-        return []
-    return [StringIndexer(inputCols=list(cols), outputCols=[f"{c}_index" for c in cols], handleInvalid="keep")]
-
-
 def assemble(df: DataFrame, label: str = LABEL, drop: Sequence[str] = NON_FEATURES, keep: Sequence[str] = (KEY,),
              index: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Key, label and a ``features`` vector of all other numeric columns, and their names in order.
 
     Text columns named in ``index`` enter as numbered categories, which trees split
-    by subsets of levels.
+    by subsets of levels; they may have ``BINS`` - 1 levels at most. The first column of ``keep`` is the key.
     """
     names = [c for c in columns_of_type(df, include=["number"]) if c not in drop and c != label and c not in keep]
-    indexed = df
-    for stage in index_categories(index):
-        indexed = stage.fit(df).transform(indexed)
+    indexed, levels = df, {}
+    if index:
+        dictionary = level_dictionary(df, index)
+        levels = level_counts(dictionary, index)
+        wide = [c for c, (n, _) in levels.items() if n >= BINS]
+        if wide:
+            raise ValueError(f"{BINS} or more levels in {wide}; give them target_means instead")
+        indexed = with_level_numbers(df, dictionary, index, key=keep[0])
     inputs = names + [f"{c}_index" for c in index]
     # Positions stand for the names, which may hold dots.
     plain = [_col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)]
-    held = indexed.select(*[_col(c) for c in (*keep, label)], *plain, *[_col(f"{c}_index").alias(f"_{len(names) + i}", metadata=indexed.schema[f"{c}_index"].metadata) for i, c in enumerate(index)])
+    nominal = [_col(f"{c}_index").alias(f"_{len(names) + i}", metadata={"ml_attr": {"type": "nominal", "num_vals": levels[c][0] + 1}}) for i, c in enumerate(index)]
+    held = indexed.select(*[_col(c) for c in (*keep, label)], *plain, *nominal)
     vectors = VectorAssembler(inputCols=[f"_{i}" for i in range(len(inputs))], outputCol="features").transform(held)
-    return vectors.select(*keep, F.col(label).cast("int").alias(label), "features"), names + list(index)
+    return vectors.select(*[_col(c) for c in keep], _col(label).cast("int").alias(label), "features"), names + list(index)
 
 
-def spread(df: DataFrame, rows_per_task: int, key: str = KEY) -> DataFrame:
+def spread(df: DataFrame, rows_per_task: int, key: str = KEY, most_tasks: int = 2000) -> DataFrame:
     """Partition a staged training table for many short passes over it.
 
-    Tasks hold about ``rows_per_task`` rows, placed and ordered by key, whatever the size of the table and
-    however it was scanned. Sampling inside a solver goes by task and row, so a fit on the same rows is
-    the same on any number of cores.
+    Tasks hold about ``rows_per_task`` rows, placed and ordered by key, however the table was scanned; a table for which
+    that were more than ``most_tasks`` has larger tasks. Sampling inside a solver goes by task and row, so both
+    settings belong to the model, and a fit on the same rows is the same on any number of cores.
     """
-    wanted = max(1, math.ceil(df.count() / rows_per_task))
+    wanted = min(max(1, math.ceil(df.count() / rows_per_task)), most_tasks)
     return df.repartition(wanted, key).sortWithinPartitions(key)
 
 
@@ -156,35 +214,72 @@ def fit_forest(train: DataFrame, label: str = LABEL, **settings) -> Model:
     return forest(label=label, **settings).fit(with_class_weight(spread(train, 2_000), label))
 
 
-def widest_category(train: DataFrame) -> int:
-    """Levels of the widest numbered category in the features; trees need a bin for each."""
-    attrs = train.schema["features"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
-    return max([len(a.get("vals", [])) for a in attrs], default=0)
+def boosted(profile: str = "wide", rounds: int = 30, label: str = LABEL, seed: int = 42) -> GBTClassifier:
+    return GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, maxBins=BINS, checkpointInterval=10, seed=seed, **BOOSTED_PROFILES[profile])
 
 
-def fit_boosted(train: DataFrame, profile: str = "wide", rounds: int = 30, label: str = LABEL,
-                validation: float = 0.2, least_bins: int = 64, seed: int = 42) -> Model:
+def fit_boosted(train: DataFrame, profile: str = "wide", rounds: int = 30, label: str = LABEL, validation: float = 0.2, seed: int = 42) -> Model:
     """Gradient-boosted trees in one of the ``BOOSTED_PROFILES``.
 
-    Profile ``validated`` keeps the round with the least loss on a share of the
-    training rows held out for that, never on the test rows. Spark's own
-    validation column stops at the first round that does not improve; here all rounds are
-    run and compared, and the model is fitted again up to the best.
+    Profile ``validated`` keeps the rounds up to the one with the best ROC-AUC on a share of the
+    training rows held out for that, never on the test rows. It is fitted once with all rounds, judged at
+    every round in one pass and cut. With one class only among the held-out rows all rounds stay.
     """
     weighted = with_class_weight(spread(train, 50_000), label, "balanced" if profile == "wide" else "ratio")
     checkpoint_folder(train.sparkSession)
-    trees = GBTClassifier(
-        featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, maxBins=max(least_bins, widest_category(train)),
-        checkpointInterval=10, seed=seed, **BOOSTED_PROFILES[profile],
-    )
+    trees = boosted(profile, rounds, label, seed)
     if profile != "validated":
         return trees.fit(weighted)
-    parts = stratified_split(weighted, label=label, frac=validation, seed=seed + 1)
-    kept, held_out = parts.filter("split = 'train'"), parts.filter("split = 'test'")
-    model = trees.fit(kept)
-    losses = model.evaluateEachIteration(held_out)
-    best = min(range(len(losses)), key=losses.__getitem__) + 1 if losses else rounds
-    return model if best == rounds else trees.setMaxIter(best).fit(kept)
+    parts = stage(stratified_split(weighted, label=label, frac=validation, seed=seed + 1))
+    model = trees.fit(parts.filter("split = 'train'"))
+    areas = staged_auc(model, parts.filter("split = 'test'"), label).filter("roc_auc IS NOT NULL")
+    best = areas.orderBy(F.desc("roc_auc"), "round").first()
+    return first_trees(model, best["round"]) if best else model
+
+
+def leaf_values(model: GBTClassificationModel) -> tuple[np.ndarray, np.ndarray]:
+    """What each leaf adds to the margin, tree by tree from left to right, and where each tree begins.
+
+    Read from the model as it is saved; its size is that of the model, whatever the rows.
+    """
+    spark = SparkSession.active()
+    path = f"{checkpoint_folder(spark)}/model-{uuid.uuid4().hex}"
+    model.save(path)
+    leaves = spark.read.parquet(f"{path}/data").filter("nodeData.leftChild < 0").select("treeID", "nodeData.id", "nodeData.prediction")
+    rows = leaves.orderBy("treeID", "id").collect()
+    tree = np.array([r["treeID"] for r in rows])
+    weights = np.array(model.treeWeights)
+    values = np.array([r["prediction"] for r in rows]) * weights[tree]
+    return values, np.searchsorted(tree, np.arange(len(weights)))
+
+
+def staged_margins(model: GBTClassificationModel, df: DataFrame) -> Column:
+    """An array column for ``model.setLeafCol('_leaves').transform(df)``: the margin after each round."""
+    values, starts = leaf_values(model)
+    out = F.transform(vector_to_array("_leaves"), lambda leaf, i: F.get(F.lit(values), (F.get(F.lit(starts.astype(np.int32)), i) + leaf.cast("int"))))
+    last = lambda sums: F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0.0))
+    return F.aggregate(out, F.array().cast("array<double>"), lambda sums, x: F.array_append(sums, last(sums) + x))
+
+
+def staged_auc(model: GBTClassificationModel, df: DataFrame, label: str = LABEL) -> DataFrame:
+    """(round, roc_auc) after every round, from one scoring of the rows: the leaves a row falls in, summed round by round."""
+    placed = model.copy().setLeafCol("_leaves").transform(df)
+    sums = placed.select(_col(label).alias("label"), staged_margins(model, df).alias("_sums"))
+    scored = sums.select("label", F.posexplode("_sums").alias("round", "score"))
+    return roc_auc(scored.withColumn("round", F.col("round") + 1), groups=["round"])
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model after its first ``n`` rounds."""
+    sc = SparkSession.active().sparkContext
+    ml = sc._jvm.org.apache.spark.ml
+    old = model._java_obj.trees()
+    trees = sc._gateway.new_array(ml.regression.DecisionTreeRegressionModel, n)
+    weights = sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = old[i], float(model.treeWeights[i])
+    # The settings (columns, thresholds) are those of the whole model.
+    return model._copyValues(GBTClassificationModel(ml.classification.GBTClassificationModel(model.uid, trees, weights, model.numFeatures)))
 
 
 def score(model: Model, df: DataFrame, key: str = KEY, label: str = LABEL) -> DataFrame:
@@ -193,20 +288,25 @@ def score(model: Model, df: DataFrame, key: str = KEY, label: str = LABEL) -> Da
     return model.transform(df).select(key, F.col(label).alias("label"), probability.alias("score"))
 
 
-def cross_validate(estimator, df: DataFrame, folds: int = 5, label: str = LABEL, seed: int = 42,
-                   parallelism: int = 2) -> DataFrame:
-    """Mean and population standard deviation of ROC-AUC over stratified folds; one row.
+def out_of_fold_scores(estimator, df: DataFrame, folds: int = 5, key: str = KEY, label: str = LABEL, seed: int = 42, parallelism: int = 2) -> DataFrame:
+    """Key, label, ``fold`` and score of every row, from the model that was fitted on the other folds. Staged.
 
     Classes are weighted inside each fold's training rows only.
     """
-    data = with_folds(df, folds, label=label, seed=seed)
-    evaluator = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
+    data = stage(with_folds(df, folds, key, label, seed))
 
-    def one(fold: int) -> float:
+    def one(fold: int) -> DataFrame:
         kept, held_out = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
-        return evaluator.evaluate(estimator.fit(with_class_weight(spread(kept, 2_000), label)).transform(held_out))
+        model = estimator.fit(with_class_weight(spread(kept, 2_000, key), label))
+        return stage(score(model, held_out, key, label).withColumn("fold", F.lit(fold)))
 
     with ThreadPoolExecutor(parallelism) as pool:
-        areas = list(pool.map(one, range(folds)))
-    row = ("roc_auc", statistics.fmean(areas), statistics.pstdev(areas), folds)
-    return df.sparkSession.createDataFrame([row], "metric string, mean double, std double, folds int")
+        return reduce(DataFrame.unionByName, pool.map(one, range(folds)))
+
+
+def cross_validate(estimator, df: DataFrame, folds: int = 5, label: str = LABEL, seed: int = 42, parallelism: int = 2) -> DataFrame:
+    """Mean and population standard deviation of ROC-AUC over stratified folds; one row. All folds share one score curve."""
+    areas = roc_auc(out_of_fold_scores(estimator, df, folds, label=label, seed=seed, parallelism=parallelism), groups=["fold"])
+    return areas.agg(F.avg("roc_auc").alias("mean"), F.stddev_pop("roc_auc").alias("std")).select(
+        F.lit("roc_auc").alias("metric"), "mean", "std", F.lit(folds).alias("folds")
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from retentia.functions import flag, is_missing, safe_ratio
 from retentia.functions.columns import _col
 from retentia.operators.joins import with_globals
+from retentia.operators.levels import level_counts, level_dictionary
 from retentia.operators.quantiles import column_quantiles
 from retentia.sources.tables import KEY
 
@@ -38,7 +39,7 @@ def columns_of_type(df: DataFrame, include: Sequence[str] = (), exclude: Sequenc
 
 
 def select_by_type(df: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    return df.select(*[f"`{c}`" for c in columns_of_type(df, include, exclude)])
+    return df.select(*[_col(c) for c in columns_of_type(df, include, exclude)])
 
 
 def collapse_duplicate_columns(df: DataFrame, how: str = "max") -> DataFrame:
@@ -55,6 +56,12 @@ def collapse_duplicate_columns(df: DataFrame, how: str = "max") -> DataFrame:
     return numbered.select(*[merged(n) for n in dict.fromkeys(names)])
 
 
+def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Missing numbers of the named columns become 0; columns of other types, and absent ones, stay as they are."""
+    kinds = {f.name: f.dataType for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    return df.withColumns({c: F.coalesce(_col(c), F.lit(0).cast(kinds[c])) for c in cols if c in kinds})
+
+
 def coverage_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "had_tx": F.col("txn_count").isNotNull().cast("int"),
@@ -63,15 +70,15 @@ def coverage_flags(df: DataFrame) -> DataFrame:
 
 
 def fill_counts(df: DataFrame, cols: Sequence[str] = COUNT_COLUMNS) -> DataFrame:
-    return df.na.fill(0, _present(df, cols))
+    return fill_zero(df, cols)
 
 
 def fill_recency(df: DataFrame, cols: Sequence[str] = RECENCY_COLUMNS) -> DataFrame:
     """Missing recency becomes one more than the largest in the table."""
     cols = _present(df, cols)
-    tops = with_globals(df, {f"_max_{c}": F.max(c) for c in cols})
-    filled = {c: F.coalesce(c, F.col(f"_max_{c}") + 1) for c in cols}
-    return tops.withColumns(filled).select(*df.columns)
+    tops = with_globals(df, {f"_max_{i}": F.max(_col(c)) for i, c in enumerate(cols)})
+    filled = {c: F.coalesce(_col(c), F.col(f"_max_{i}") + 1) for i, c in enumerate(cols)}
+    return tops.withColumns(filled).select(*[_col(c) for c in df.columns])
 
 
 def missing_flags(df: DataFrame, cols: Sequence[str] | None = None, suffix: str = "_was_missing") -> DataFrame:
@@ -104,10 +111,22 @@ def levels_of(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dic
     levels = {c: sorted(r["level"] for r in found if r["column"] == p) for p, c in places.items()}
     wide = [c for c, values in levels.items() if len(values) > max_levels]
     if wide or len(found) > max_levels * len(cols):
-        raise ValueError(f"more than {max_levels} levels in {wide or cols}; index them with index_categories instead")
+        raise ValueError(f"more than {max_levels} levels in {wide or cols}; number them with level_dictionary instead")
     return levels
 
 
+def narrow_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list[str]]:
+    """Sorted levels of the columns that have ``max_levels`` at most; wider ones are left out and none of their levels is collected."""
+    if not cols:
+        return {}
+    dictionary = level_dictionary(df, cols, "name")
+    narrow = [c for c, (n, _) in level_counts(dictionary, cols).items() if n <= max_levels]
+    found: dict[str, list[str]] = {c: [] for c in narrow}
+    for row in dictionary.filter(F.col("column").isin(narrow)).orderBy("column", "number").collect() if narrow else []:
+        found[row["column"]].append(row["level"])
+    return found
+
+
 def one_hot(df: DataFrame, cols: Sequence[str], prefix: str | None = None, dummy_na: bool = True,
             max_levels: int = 1000, levels: dict[str, list[str]] | None = None) -> DataFrame:
     """Replace text columns by one 0/1 column per level, in sorted order, plus ``_nan``.
@@ -126,7 +145,7 @@ def one_hot(df: DataFrame, cols: Sequence[str], prefix: str | None = None, dummy
         dummies |= {f"{head}_{v}": flag(text == v) for v in levels[c]}
         if dummy_na:
             dummies[f"{head}_nan"] = is_missing(c)
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in cols]
+    kept = [_col(c) for c in df.columns if c not in cols]
     return df.select(*kept, *[v.alias(n) for n, v in dummies.items()])
 
 
@@ -140,12 +159,12 @@ def fill_with(df: DataFrame, values: dict) -> DataFrame:
 
 
 def fill_std_zero(df: DataFrame, col: str = "amount_std") -> DataFrame:
-    return df.na.fill(0, _present(df, [col]))
+    return fill_zero(df, [col])
 
 
 def activity_flags(df: DataFrame, days: int = 90) -> DataFrame:
     """Missing window features become 0; three 0/1 flags on the longest window."""
-    filled = df.na.fill(0, _present(df, WINDOW_COLUMNS))
+    filled = fill_zero(df, WINDOW_COLUMNS)
     return filled.withColumns({
         f"no_tx_{days}d": flag(F.col(f"tx_{days}") == 0),
         f"no_login_{days}d": flag(F.col("lastlogin_recency_days") > days),
@@ -159,12 +178,13 @@ def spend_ratio(df: DataFrame) -> DataFrame:
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean 0 and population standard deviation 1; a constant column becomes 0."""
-    stats = {f"_mean_{c}": F.avg(c) for c in cols} | {f"_std_{c}": F.stddev_pop(c) for c in cols}
-    scale = {c: F.when(F.col(f"_std_{c}") == 0, 1.0).otherwise(F.col(f"_std_{c}")) for c in cols}
-    scaled = {c: (F.col(c) - F.col(f"_mean_{c}")) / scale[c] for c in cols}
-    return with_globals(df, stats).withColumns(scaled).select(*df.columns)
+    places = dict(enumerate(cols))
+    stats = {f"_mean_{i}": F.avg(_col(c)) for i, c in places.items()} | {f"_std_{i}": F.stddev_pop(_col(c)) for i, c in places.items()}
+    scale = {i: F.when(F.col(f"_std_{i}") == 0, 1.0).otherwise(F.col(f"_std_{i}")) for i in places}
+    scaled = {c: (_col(c) - F.col(f"_mean_{i}")) / scale[i] for i, c in places.items()}
+    return with_globals(df, stats).withColumns(scaled).select(*[_col(c) for c in df.columns])
 
 
 def final_fill(df: DataFrame) -> DataFrame:
     """Last guard before a model: any missing number becomes 0."""
-    return df.na.fill(0, columns_of_type(df, include=["number"]))
+    return fill_zero(df, columns_of_type(df, include=["number"]))

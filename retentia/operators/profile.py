@@ -19,9 +19,9 @@ def histogram(df: DataFrame, col: str, bins: int = 50, weight: str | None = None
     constant column gets a range of width 1 around its value. ``weight`` counts a
     row several times.
     """
-    present = df.filter(F.col(col).isNotNull())
-    x = F.col(col).cast("double")
-    present = present.select(x.alias("_x"), (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
+    present = df.filter(_col(col).isNotNull())
+    x = _col(col).cast("double")
+    present = present.select(x.alias("_x"), (_col(weight) if weight else F.lit(1)).cast("bigint").alias("_w"))
     low, high = F.min("_x"), F.max("_x")
     spread = F.when(low == high, 0.5).otherwise(0.0)
     bounds = present.agg(F.struct((low - spread).alias("lo"), (high + spread).alias("hi")).alias("_bounds"))
@@ -53,9 +53,11 @@ def box_summary(df: DataFrame, group: str, cols: Sequence[str], whisker: float =
     quartiles. A column is skipped when any group has no value for it.
     """
     cols = [c for c in cols if c in df.columns]
-    known = df.filter(F.col(group).isNotNull())
-    numeric = known.select(group, *[F.col(c).try_cast("double").alias(c) for c in cols])
-    long = numeric.unpivot([group], cols, "feature", "value")
+    # Positions stand for the names, which may hold dots.
+    places, name, group = {f"_{i}": c for i, c in enumerate(cols)}, group, "_group"
+    known = df.filter(_col(name).isNotNull())
+    numeric = known.select(_col(name).alias(group), *[_col(c).try_cast("double").alias(p) for p, c in places.items()])
+    long = numeric.unpivot([group], list(places), "feature", "value")
     counted = stage(long.groupBy("feature", group, "value").agg(F.count(F.lit(1)).alias("n")))
     known_values = counted.filter("value IS NOT NULL")
 
@@ -72,7 +74,9 @@ def box_summary(df: DataFrame, group: str, cols: Sequence[str], whisker: float =
         F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
         F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).alias("n_outliers"),
     )
-    return summary.join(skipped.select("feature").distinct(), "feature", "left_anti")
+    kept = summary.join(skipped.select("feature").distinct(), "feature", "left_anti")
+    names = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
+    return kept.withColumn("feature", F.element_at(names, F.col("feature"))).withColumnRenamed(group, name)
 
 
 def crosstab_share(df: DataFrame, row: str, col: str, levels: Sequence | None = None) -> DataFrame:
@@ -81,11 +85,10 @@ def crosstab_share(df: DataFrame, row: str, col: str, levels: Sequence | None =
     ``levels`` chooses the levels that get a column and avoids the job that looks them up; rows with
     other levels still count in the whole.
     """
-    counts = (
-        df.filter(F.col(row).isNotNull() & F.col(col).isNotNull()).groupBy(row, col).agg(F.count(F.lit(1)).alias("n"))
-    )
-    wide = counts.groupBy(row).pivot(col, list(levels) if levels is not None else None).agg(F.sum("n"))
-    names = [c for c in wide.columns if c != row]
-    everything = counts.groupBy(row).agg(F.sum("n").alias("_rows"))
-    n = {c: F.coalesce(F.col(f"`{c}`"), F.lit(0)) for c in names}
-    return wide.join(everything, row).select(_col(row), *[(n[c] / F.col("_rows")).alias(f"share_{c}") for c in names])
+    both = df.filter(_col(row).isNotNull() & _col(col).isNotNull()).select(_col(row).alias("_row"), _col(col).alias("_col"))
+    counts = both.groupBy("_row", "_col").agg(F.count(F.lit(1)).alias("_n"))
+    wide = counts.groupBy("_row").pivot("_col", list(levels) if levels is not None else None).agg(F.sum("_n"))
+    names = [c for c in wide.columns if c != "_row"]
+    everything = counts.groupBy("_row").agg(F.sum("_n").alias("_rows"))
+    n = {c: F.coalesce(_col(c), F.lit(0)) for c in names}
+    return wide.join(everything, "_row").select(F.col("_row").alias(row), *[(n[c] / F.col("_rows")).alias(f"share_{c}") for c in names])

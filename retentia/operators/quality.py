@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions import ntz
+from retentia.functions.columns import _col
 from retentia.sources.tables import KEY
 
 
@@ -19,7 +20,7 @@ class IntegrityError(AssertionError):
 
 def missing_share(df: DataFrame, top: int | None = None) -> DataFrame:
     """Share of missing values per column, largest first."""
-    shares = df.agg(*[F.avg(F.col(f"`{c}`").isNull().cast("double")).alias(c) for c in df.columns])
+    shares = df.agg(*[F.avg(_col(c).isNull().cast("double")).alias(c) for c in df.columns])
     long = shares.unpivot([], [f"`{c}`" for c in df.columns], "column_name", "missing_share")
     ordered = long.orderBy(F.col("missing_share").desc(), "column_name")
     return ordered.limit(top) if top else ordered
@@ -29,12 +30,12 @@ def duplicate_count(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """Rows beyond the first per key; missing keys are equal to one another."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     extra = F.coalesce(F.sum(F.col("count") - 1), F.lit(0))
-    return df.groupBy(*keys).count().agg(extra.alias("n_duplicates"))
+    return df.groupBy(*[_col(k) for k in keys]).count().agg(extra.alias("n_duplicates"))
 
 
 def dedupe_report(df: DataFrame) -> DataFrame:
     """Rows before and after removing exact copies, from one aggregate."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = df.groupBy(*[_col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
     before = F.coalesce(F.sum("_copies"), F.lit(0))
     after = F.count(F.lit(1))
     return copies.agg(before.alias("rows_before"), after.alias("rows_after"), (before - after).alias("rows_removed"))
@@ -42,19 +43,20 @@ def dedupe_report(df: DataFrame) -> DataFrame:
 
 def fan_out(df: DataFrame, key: str = KEY) -> DataFrame:
     """Mean and largest number of rows per key (missing keys left out)."""
-    rows = df.filter(F.col(key).isNotNull()).groupBy(key).count()
+    rows = df.filter(_col(key).isNotNull()).groupBy(_col(key)).count()
     return rows.agg(F.avg("count").alias("mean_rows"), F.max("count").alias("max_rows"))
 
 
 def value_counts(df: DataFrame, cols: str | Sequence[str]) -> DataFrame:
     """Rows per combination of values, missing included, most frequent first."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), *cols)
+    names = [_col(c) for c in cols]
+    return df.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), *names)
 
 
 def valid_counts(df: DataFrame, group: str, col: str) -> DataFrame:
     """Non-missing values per group."""
-    return df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(col).alias("n_valid"))
+    return df.filter(_col(group).isNotNull()).groupBy(_col(group)).agg(F.count(_col(col)).alias("n_valid"))
 
 
 def global_stats(df: DataFrame, spec: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -63,7 +65,7 @@ def global_stats(df: DataFrame, spec: Mapping[str, Sequence[str]]) -> DataFrame:
     Quantiles and medians have their own exact operator, ``exact_quantiles``.
     """
     known = {"mean": F.avg, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "max": F.max, "min": F.min, "count": F.count}
-    return df.agg(*[known[how](c).alias(f"{c}_{how}") for c, hows in spec.items() for how in hows])
+    return df.agg(*[known[how](_col(c)).alias(f"{c}_{how}") for c, hows in spec.items() for how in hows])
 
 
 def table_report(
@@ -83,11 +85,11 @@ def table_report(
     now = F.localtimestamp() if as_of is None else ntz(as_of)
 
     def describe(name: str, df: DataFrame) -> DataFrame:
-        nonpositive = F.count_if(F.col(amounts[name]) <= 0) if name in amounts else none
-        future = F.count_if(F.col(times[name]) > now) if name in times else none
+        nonpositive = F.count_if(_col(amounts[name]) <= 0) if name in amounts else none
+        future = F.count_if(_col(times[name]) > now) if name in times else none
         return df.agg(
             F.count(F.lit(1)).alias("n_rows"),
-            F.count_distinct(key).alias("n_keys"),
+            F.count_distinct(_col(key)).alias("n_keys"),
             nonpositive.alias("n_nonpositive"),
             future.alias("n_future"),
         ).select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), "n_keys",
@@ -101,7 +103,7 @@ def integrity_report(features: DataFrame, tx: DataFrame, svc: DataFrame, expecte
     """One row per customer, and event counts conserved by the roll-ups."""
     seen = features.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct(key).alias("n_keys"),
+        F.count_distinct(_col(key)).alias("n_keys"),
         F.coalesce(F.sum("txn_count"), F.lit(0)).cast("bigint").alias("n_tx"),
         F.coalesce(F.sum("cs_count"), F.lit(0)).cast("bigint").alias("n_svc"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from retentia.functions.columns import _col
 from retentia.operators import ordered
+from retentia.operators.sketches import sketch_quantiles, value_sketches
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], groups: Iterable[str] = ()) -> DataFrame:
@@ -23,8 +24,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], group
     The counts per distinct value are placed by range and stored.
     """
     groups = list(groups)
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
-    return quantiles_of_counts(counted, value, probs, groups)
+    # Positions stand for the names, which may hold dots.
+    places = {f"_g{i}": g for i, g in enumerate(groups)}
+    plain = df.filter(_col(value).isNotNull()).select(*[_col(g).alias(p) for p, g in places.items()], _col(value).alias("_value"))
+    counted = plain.groupBy(*places, "_value").agg(F.count(F.lit(1)).alias("n"))
+    found = quantiles_of_counts(counted, "_value", probs, list(places))
+    return found.select(*[F.col(p).alias(g) for p, g in places.items()], *[_col(c) for c in found.columns if c not in places])
 
 
 def quantiles_of_counts(counted: DataFrame, value: str, probs: Mapping[str, float], groups: Iterable[str] = ()) -> DataFrame:
@@ -54,17 +59,18 @@ def quantiles_of_counts(counted: DataFrame, value: str, probs: Mapping[str, floa
     return picked.select(*groups, "n", *[between(name, q) for name, q in probs.items()])
 
 
-def column_quantiles(df: DataFrame, wanted: Mapping[str, float], exact: bool = True, accuracy: int = 10000) -> dict:
+def column_quantiles(df: DataFrame, wanted: Mapping[str, float], exact: bool = True) -> dict:
     """Quantile of each named column as a plain value; one job, one collected row per column.
 
-    ``exact=False`` uses the built-in sketch instead, for data where a small rank
-    error is acceptable.
+    ``exact=False`` uses mergeable sketches instead, for data where a rank error of less than one in a
+    thousand is acceptable.
     """
     if not wanted:
         return {}
     if not exact:
-        row = df.agg(*[F.percentile_approx(_col(c), q, accuracy).alias(c) for c, q in wanted.items()]).first()
-        return {c: row[c] for c in wanted}
+        probs = {f"_{i}": q for i, q in enumerate(wanted.values())}
+        rows = {r["column"]: r for r in sketch_quantiles(value_sketches(df, list(wanted)), probs).collect()}
+        return {c: rows[c][f"_{i}"] if c in rows else None for i, c in enumerate(wanted)}
     levels = {f"q{i}": q for i, q in enumerate(sorted(set(wanted.values())))}
     names = {q: name for name, q in levels.items()}
     places = {f"_{i}": c for i, c in enumerate(wanted)}

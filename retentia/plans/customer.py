@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retentia.functions import is_missing
+from retentia.functions.columns import _col
 from retentia.operators.joins import assert_unique_keys, join_one_to_one
 from retentia.operators.prepare import (
     AMOUNT_COLUMNS,
@@ -24,7 +25,7 @@ from retentia.operators.prepare import (
     fill_std_zero,
     fill_with,
     final_fill,
-    levels_of,
+    narrow_levels,
     log1p_features,
     missing_flags,
     one_hot,
@@ -39,7 +40,7 @@ from retentia.operators.rollup import (
     trailing_transactions,
     transaction_profile,
 )
-from retentia.sources.sink import stage
+from retentia.sources.sink import stage_by_key
 from retentia.sources.tables import KEY
 
 CHANNEL = "ServiceUsage"
@@ -86,10 +87,10 @@ def join_customers(tables: Mapping[str, DataFrame], snapshot: datetime, labelled
 def customer_features(tables: Mapping[str, DataFrame], snapshot: datetime, validate: bool = True) -> DataFrame:
     """Feature row of every labelled customer, with coverage flags, counts and recencies filled.
 
-    The joined table is staged: the fills need its maxima, and the roll-ups below
-    it read all events.
+    The joined table is staged in buckets of the customer: the fills need its maxima, the roll-ups below
+    it read all events, and what is joined later meets it without an exchange.
     """
-    joined = stage(join_customers(tables, snapshot, True, validate))
+    joined = stage_by_key(join_customers(tables, snapshot, True, validate), KEY)
     return fill_recency(fill_counts(coverage_flags(joined)))
 
 
@@ -98,7 +99,8 @@ def model_frame(features: DataFrame, tables: Mapping[str, DataFrame], snapshot:
 
     The order of the steps is part of the result: flags are taken after the counts
     and recencies were filled, the spend ratio uses the capped sum, and the login flag the
-    filled recency. Exact copies of events are removed for the windows only.
+    filled recency. Exact copies of events are removed for the windows only. A channel with more levels
+    than ``one_hot`` takes stays a text column.
     """
     wanted = {c: 0.99 for c in AMOUNT_COLUMNS} | {"tx_avg_gap_days": 0.5}
     found = column_quantiles(features, {c: q for c, q in wanted.items() if c in features.columns})
@@ -106,8 +108,7 @@ def model_frame(features: DataFrame, tables: Mapping[str, DataFrame], snapshot:
 
     out = missing_flags(features)
     out = log1p_features(cap_at(out, {c: v for c, v in found.items() if c not in gap}))
-    if CHANNEL in out.columns:
-        levels = levels_of(features, [CHANNEL])
+    if CHANNEL in out.columns and (levels := narrow_levels(features, [CHANNEL])):
         out = one_hot(out.withColumn("_channel", F.col(CHANNEL)), ["_channel"], "channel", levels={"_channel": levels[CHANNEL]})
     out = out.withColumns({f"{c}_missing": is_missing(c) for c in ("tx_avg_gap_days", "amount_std")})
     out = fill_with(fill_std_zero(out), gap)
@@ -128,13 +129,16 @@ def linear_matrix(frame: DataFrame) -> DataFrame:
     """Key, label and the numeric features known before the window features were added."""
     later = {*WINDOW_COLUMNS, "no_tx_90d", "no_login_90d", "complained_90d", "avg_spend_per_tx", *_channel_dummies(frame)}
     numeric = [c for c in columns_of_type(frame, include=["number"]) if c not in later and c not in NON_FEATURES]
-    return final_fill(frame.select(KEY, "ChurnStatus", *numeric))
+    return final_fill(frame.select(KEY, "ChurnStatus", *[_col(c) for c in numeric]))
 
 
 def forest_matrix(frame: DataFrame) -> DataFrame:
-    """Key, label and all features, text ones as 0/1 columns."""
+    """Key, label and all features, text ones as 0/1 columns; those with too many levels for that stay text."""
     dates = [c for c in NON_FEATURES if c not in (KEY, "ChurnStatus")]
-    wide = one_hot(frame.drop(*dates, CHANNEL), [c for c in _text_features(frame) if c != CHANNEL])
+    done = [CHANNEL] if _channel_dummies(frame) else []
+    texts = [c for c in _text_features(frame) if c not in done]
+    levels = narrow_levels(frame, texts)
+    wide = one_hot(frame.drop(*dates, *done), list(levels), levels=levels)
     return final_fill(collapse_duplicate_columns(wide))
 
 

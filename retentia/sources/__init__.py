@@ -1,4 +1,4 @@
-from retentia.sources.sink import stage, write_features
+from retentia.sources.sink import stage, stage_by_key, write_features
 from retentia.sources.star import CUTOFF, retention_tables
 from retentia.sources.tables import (
     CUSTOMER_TABLES,
@@ -19,5 +19,6 @@ __all__ = [
     "load_tables",
     "retention_tables",
     "stage",
+    "stage_by_key",
     "write_features",
 ]

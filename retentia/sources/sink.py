@@ -21,13 +21,17 @@ def write_features(
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for staged data, as the cluster names it.
 
-    Where nothing is configured it lies below the session's warehouse, which all executors reach too.
+    Where nothing is configured it lies below the session's warehouse; on a cluster that must be a place all
+    executors reach, so a warehouse on a local disk is refused there.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_staged")
+        if not named and warehouse.startswith(("file:", "/")) and not (sc.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is a local one")
+        sc.setCheckpointDir(named or f"{warehouse}/_staged")
         folder = sc.getCheckpointDir()
     return folder
 
@@ -43,3 +47,17 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_by_key(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """``stage`` in buckets of ``key``, sorted by it, as a table of the session's catalog.
+
+    Joins and aggregates on the key read it without an exchange or a sort, as long as the other side has as
+    many partitions; the default is the session's number of shuffle partitions.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"stage_{uuid.uuid4().hex}"
+    placed = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+    placed.format("parquet").option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)

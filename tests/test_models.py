@@ -45,6 +45,9 @@ def test_class_weights(spark):
 
 def test_assemble_names_and_categories(spark):
     df = spark.createDataFrame([("a", 0, 1, "x", 2.0), ("b", 1, 2, None, 3.0)], "CustomerID string, ChurnStatus int, n int, t string, amount double")
+    wide = spark.range(70).select(F.col("id").cast("string").alias("CustomerID"), F.lit(1).alias("ChurnStatus"), F.col("id").cast("string").alias("t"))
+    with pytest.raises(ValueError, match="target_means"):
+        models.assemble(wide, index=["t"])
     data, names = models.assemble(df, index=["t"])
     assert names == ["n", "amount", "t"]
     assert {r["CustomerID"]: list(r["features"].toArray()) for r in data.collect()} == {"a": [1.0, 2.0, 0.0], "b": [2.0, 3.0, 1.0]}
@@ -76,6 +79,45 @@ def test_best_round_beats_the_last(spark, toy):
     assert 1 <= model.getNumTrees < 12
 
 
+def test_rounds_are_judged_as_the_model_cut_there(toy):
+    data = models.stratified_split(toy)
+    noisy = stage(data.withColumn("ChurnStatus", F.when(F.pmod(F.xxhash64("CustomerID", F.lit(5)), F.lit(4)) == 0, 1 - F.col("ChurnStatus")).otherwise(F.col("ChurnStatus"))))
+    model = models.fit_boosted(noisy.filter("split = 'train'"), rounds=6)
+    test = noisy.filter("split = 'test'")
+    areas = {r["round"]: r["roc_auc"] for r in models.staged_auc(model, test).collect()}
+    assert sorted(areas) == [1, 2, 3, 4, 5, 6]
+    for n in (1, 3, 6):
+        cut = models.first_trees(model, n)
+        assert cut.getNumTrees == n and cut.treeWeights == model.treeWeights[:n]
+        assert areas[n] == pytest.approx(metrics.roc_auc(models.score(cut, test)).first()[0], abs=1e-12)
+    assert {tuple(r) for r in models.score(models.first_trees(model, 6), test).collect()} == {tuple(r) for r in models.score(model, test).collect()}
+
+
+def test_validated_profile_is_the_best_prefix(toy):
+    """One fit with all rounds; the kept ones are those after which the held-out area is largest, the first of equals."""
+    noisy = stage(toy.withColumn("ChurnStatus", F.when(F.pmod(F.xxhash64("CustomerID", F.lit(6)), F.lit(3)) == 0, 1 - F.col("ChurnStatus")).otherwise(F.col("ChurnStatus"))))
+    model = models.fit_boosted(noisy, "validated", rounds=8)
+    weighted = models.with_class_weight(models.spread(noisy, 50_000), mode="ratio")
+    parts = stage(models.stratified_split(weighted, frac=0.2, seed=43))
+    whole = models.boosted("validated", 8).fit(parts.filter("split = 'train'"))
+    areas = {n: metrics.roc_auc(models.score(models.first_trees(whole, n), parts.filter("split = 'test'"))).first()[0] for n in range(1, 9)}
+    assert model.getNumTrees == min(areas, key=lambda n: (-areas[n], n))
+
+
+def test_out_of_fold_scores(toy):
+    scores = stage(models.out_of_fold_scores(models.forest(trees=3), toy, folds=3))
+    assert scores.count() == scores.select("CustomerID").distinct().count() == toy.count()
+    folds = {r["CustomerID"]: r["fold"] for r in models.with_folds(toy, 3).collect()}
+    assert {r["CustomerID"]: r["fold"] for r in scores.collect()} == folds
+    areas = [r["roc_auc"] for r in metrics.roc_auc(scores, groups=["fold"]).collect()]
+    row = models.cross_validate(models.forest(trees=3), toy, folds=3).first()
+    assert row["mean"] == pytest.approx(sum(areas) / 3)
+
+
+def test_tasks_of_a_training_table_are_bounded(toy):
+    assert models.spread(toy, 100).rdd.getNumPartitions() == 8 and models.spread(toy, 100, most_tasks=3).rdd.getNumPartitions() == 3
+
+
 def test_cross_validation(toy):
     row = models.cross_validate(models.forest(trees=3), toy, folds=3).first()
     assert row["metric"] == "roc_auc" and row["mean"] > 0.98 and row["std"] >= 0 and row["folds"] == 3
@@ -133,6 +175,18 @@ def test_attributions_add_up_to_the_change_of_the_score(toy, boosted):
     assert top["feature"] == "signal"
 
 
+def test_attributions_are_sampled_until_they_are_certain(toy, boosted):
+    some = stage(toy.limit(40))
+    few = explain.attributions(boosted, some, NAMES, samples=4)
+    rows, samples = explain.attributions_within(boosted, some, NAMES, error=0.02, most=32)
+    assert samples in (4, 8, 16, 32)
+    error = lambda df: df.agg(F.avg(F.col("std_error") ** 2)).first()[0]
+    size = rows.agg(F.avg(F.col("attribution") ** 2)).first()[0]
+    assert samples == 32 or error(rows) <= 0.02**2 * size
+    assert error(rows) <= error(few) and rows.filter("feature = 'flat' AND (attribution <> 0 OR std_error <> 0)").isEmpty()
+    assert explain.attributions(boosted, some, NAMES, samples=1).filter("std_error IS NOT NULL").isEmpty()
+
+
 def test_linear_attributions_are_centred_and_exact(toy):
     model = models.fit_logistic(toy)
     rows = stage(explain.linear_attributions(model, toy, NAMES))

@@ -1,9 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from retentia.operators import ordered, prepare, profile, quality, quantiles
 from retentia.operators.joins import KeyViolation
 from retentia.operators.quality import enforce, integrity_report
-from retentia.plans import customer
+from retentia.plans import attrition, customer
 from retentia.sources import retention_tables, stage
 from tests.conftest import SMALL, SVC_SCHEMA, TX_SCHEMA, at, by_key
 
@@ -87,6 +90,49 @@ def test_empty_event_tables_give_defaults(spark, tables, snapshot):
     enforce(integrity_report(customer.join_customers(bare, snapshot), bare["tx"], bare["svc"], expected=5))
 
 
+def test_names_and_levels_with_dots(spark, tables, snapshot):
+    """The whole plan and every matrix with columns and levels that hold dots, blanks and backticks."""
+    place = F.when(F.col("CustomerID") == "c", F.lit(None)).when(F.col("CustomerID") < "c", "St. Louis").otherwise("a`b.c")
+    demo = tables["demo"].select("*", place.cast("string").alias("home.city"), F.ascii("CustomerID").alias("a.b"), F.lit(None).cast("double").alias("x.y"))
+    online = tables["online"].withColumn("ServiceUsage", F.concat("ServiceUsage", F.lit(" v1.0")))
+    dotted = dict(tables, demo=demo, online=online)
+    features = stage(customer.customer_features(dotted, snapshot))
+    frame = stage(customer.model_frame(features, dotted, snapshot))
+    forest = customer.forest_matrix(frame)
+    assert {"home.city_St. Louis", "home.city_a`b.c", "home.city_nan", "a.b", "channel_Website v1.0"} <= set(forest.columns)
+    got = {r["CustomerID"]: r.asDict() for r in forest.collect()}
+    assert [got[k]["home.city_St. Louis"] for k in "abcde"] == [1, 1, 0, 0, 0] and got["c"]["home.city_nan"] == 1
+    assert all(r["x.y"] == 0 and r["a.b"] == ord(k) for k, r in got.items())
+    linear = customer.linear_matrix(frame)
+    assert {"a.b", "x.y", "a.b_was_missing"} <= set(linear.columns) and linear.filter("`x.y` <> 0").isEmpty()
+    for family in ("logistic", "forest", "wide"):
+        table = attrition.training_table(frame, family)
+        assert "a.b" in table.names and table.data.count() == 5
+    everyone = stage(customer.join_customers(dotted, snapshot, labelled=False))
+    assert quality.missing_share(everyone).filter("column_name = 'x.y'").first()[1] == 1
+    assert quality.value_counts(demo, ["home.city", "Gender"]).count() > 2 and quality.dedupe_report(demo.union(demo)).first()["rows_removed"] == 6
+    assert quality.duplicate_count(demo, "home.city").first()[0] == 3 and quality.global_stats(demo, {"a.b": ["max"]}).first()[0] == ord("f")
+    assert quality.valid_counts(demo, "home.city", "a.b").count() == 2 and quality.fan_out(demo, "a.b").first()["max_rows"] == 1
+    box = profile.box_summary(demo, "home.city", ["a.b"]).collect()
+    assert {r["feature"] for r in box} == {"a.b"} and box[0]["home.city"] in ("St. Louis", "a`b.c")
+    assert profile.histogram(demo, "a.b", 5).agg(F.sum("n")).first()[0] == 6
+    shares = profile.crosstab_share(demo, "home.city", "Gender")
+    assert shares.columns == ["home.city", "share_F", "share_M"] and shares.count() == 2
+    assert prepare.standardize(demo, ["a.b"]).agg(F.round(F.avg("`a.b`"), 9)).first()[0] == 0
+    assert quantiles.exact_quantiles(demo, "a.b", {"m": 0.5}, ["home.city"]).columns == ["home.city", "n", "m"]
+    assert ordered.event_number(demo, ts="a.b", tie="home.city").count() == 6
+
+
+def test_a_channel_with_many_levels_stays_text(spark, tables, snapshot, monkeypatch):
+    monkeypatch.setattr(prepare.narrow_levels, "__defaults__", (0,))
+    features = customer.customer_features(tables, snapshot)
+    frame = stage(customer.model_frame(features, tables, snapshot))
+    assert not [c for c in frame.columns if c.startswith("channel_")]
+    matrix = customer.forest_matrix(frame)
+    assert {"ServiceUsage", "Gender"} <= set(matrix.columns)
+    assert {"ServiceUsage_mean", "ServiceUsage_number", "Gender_mean"} <= set(attrition.training_table(frame, "forest").names)
+
+
 def test_star_tables_keep_the_invariants(spark):
     t = retention_tables(spark, SMALL)
     at_time = customer.snapshot_of(t)
@@ -98,6 +144,20 @@ def test_star_tables_keep_the_invariants(spark):
     enforce(integrity_report(customer.join_customers(t, at_time, labelled=False), t["tx"], t["svc"], expected=150))
 
 
+def test_staged_customers_are_joined_where_they_lie(spark, tables, snapshot):
+    """The customer table lies in buckets: what is joined is shuffled to it, it is not."""
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        frame = customer.model_frame(customer.customer_features(tables, snapshot), tables, snapshot)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\(CustomerID#\d+, \d+\)", plan)) == 2, "one for each table of recent events"
+        assert "Bucketed: true" in plan and frame.count() == 5
+        assert "Exchange" not in customer.customer_features(tables, snapshot).groupBy("CustomerID").count()._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
 def test_customer_key_partitions_all_joins(spark):
     """Nothing in the joined plan is shuffled to one place or paired without a key."""
     t = retention_tables(spark, SMALL)

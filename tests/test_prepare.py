@@ -35,7 +35,7 @@ def test_one_hot_always_has_a_missing_level(spark):
     gap = prepare.one_hot(df.union(spark.createDataFrame([("d", None)], df.schema)), ["s"])
     assert values(gap, "s_app", "s_web", "s_nan") == [(0, 1, 0), (1, 0, 0), (1, 0, 0), (0, 0, 1)]
     assert prepare.one_hot(df, ["s"], dummy_na=False).columns == ["CustomerID", "s_app", "s_web"]
-    with pytest.raises(ValueError, match="index_categories"):
+    with pytest.raises(ValueError, match="level_dictionary"):
         prepare.one_hot(df, ["CustomerID"], max_levels=2)
 
 

@@ -1,7 +1,9 @@
 import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from retentia.operators import sketches
 from retentia.operators.quantiles import column_quantiles, exact_quantiles
 
 
@@ -36,3 +38,19 @@ def test_columns_in_one_job_and_without_values(spark):
     assert column_quantiles(df, {"a": 0.5, "b": 0.5, "c": 0.5}) == {"a": 2.0, "b": 6.0, "c": None}
     assert column_quantiles(df, {"a": 0.5}, exact=False) == {"a": 2}
     assert column_quantiles(df, {}) == {}
+
+
+def test_sketches_are_merged_and_close(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(int(i % 3), float(a), float(b)) for i, (a, b) in enumerate(zip(rng.lognormal(3, 2, 60_000), rng.integers(0, 40, 60_000)))], "`load.no` int, `a.b` double, c double")
+    probs = {"low": 0.01, "median": 0.5, "high": 0.99}
+    loads = [sketches.value_sketches(df.filter(F.col("`load.no`") == i), ["a.b", "c"]) for i in range(3)]
+    errors = sketches.rank_errors(df, sketches.merged_sketches(loads), probs).collect()
+    assert len(errors) == 6 and all(r["n"] == 60_000 and r["error"] < 0.001 for r in errors)
+    grouped = sketches.value_sketches(df, ["a.b"], ["load.no"])
+    assert grouped.columns == ["load.no", "column", "n", "sketch"] and grouped.count() == 3
+    whole = sketches.merged_sketches([grouped.drop("load.no"), loads[0].limit(0)])
+    assert sketches.sketch_quantiles(whole, probs).first()["n"] == 60_000
+    assert sketches.value_sketches(df.filter("false"), ["c"]).collect() == [] and sketches.rank_errors(df, loads[0].limit(0), probs).collect() == []
+    missing = spark.createDataFrame([(None,), (float("nan"),), (2.0,)], "x double")
+    assert sketches.sketch_quantiles(sketches.value_sketches(missing, ["x"]), {"m": 0.5}).collect()[0][1:] == (1, 2.0)
