@@ -14,13 +14,14 @@ The cuts decide only where work is done; results are exact whatever they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from retentia.functions import month_of, whole_days
+from retentia.functions.columns import _col
 from retentia.sources.sink import stage
 from retentia.sources.tables import KEY
 
@@ -36,9 +37,13 @@ def instants(df: DataFrame, key: str = KEY, ts: str = "TransactionDate", slice_h
 
     Copies of one event time collapse map-side, before anything is shuffled.
     """
-    present = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    counted = present.groupBy(key, _time_slice(ts, slice_hours).alias("_slice"), ts).agg(
-        F.count(F.lit(1)).alias("n_events")
+    return event_times(df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()), key, ts, {}, slice_hours)
+
+
+def event_times(df: DataFrame, key: str, ts: str, measures: Mapping[str, Column], slice_hours: int = 1) -> DataFrame:
+    """``instants`` with more aggregates per event time; rows without a time are one with neither slice nor time."""
+    counted = df.groupBy(key, _time_slice(ts, slice_hours).alias("_slice"), ts).agg(
+        F.count(F.lit(1)).alias("n_events"), *[c.alias(name) for name, c in measures.items()]
     )
     previous = F.lag(ts).over(W.partitionBy(key, "_slice").orderBy(ts))
     return counted.withColumn("_previous", previous)
@@ -112,7 +117,7 @@ def event_number(df: DataFrame, key: str = KEY, ts: str = "TransactionDate",
     the one before it, which bounds the carry by the number of partitions.
     """
     ties = [tie] if isinstance(tie, str) else list(tie)
-    order = [F.col(c).asc_nulls_last() for c in (ts, *ties)]
+    order = [_col(c).asc_nulls_last() for c in (ts, *ties)]
     placed = stage(df.repartitionByRange(F.col(key), *order).withColumn("_part", F.spark_partition_id()))
     before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     carry = (
@@ -128,7 +133,7 @@ def event_number(df: DataFrame, key: str = KEY, ts: str = "TransactionDate",
     return (
         placed.withColumn("_local", local.cast("bigint"))
         .join(carry, [key, "_part"], "left")
-        .select(*df.columns, number.alias(out))
+        .select(*[_col(c) for c in df.columns], number.alias(out))
     )
 
 
@@ -141,7 +146,7 @@ def running_totals(df: DataFrame, value: str, weights: Iterable[str], groups: It
     per group and partition), and rows add what lies below them in their own partition.
     """
     weights, groups = list(weights), list(groups)
-    placed = stage(df.repartitionByRange(*[F.col(g) for g in groups], F.col(value)).withColumn("_part", F.spark_partition_id()))
+    placed = stage(df.repartitionByRange(*[_col(g) for g in groups], _col(value)).withColumn("_part", F.spark_partition_id()))
     before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     parts = placed.groupBy(*groups, "_part").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
     carry = parts.select(

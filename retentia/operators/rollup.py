@@ -7,10 +7,12 @@ from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from retentia.functions import ieq, ine_or_null, ntz, recency_days, week_of
-from retentia.operators.ordered import moving_average, timeline_profile
+from retentia.functions import ieq, ine_or_null, month_of, ntz, recency_days, week_of, whole_days
+from retentia.functions.columns import _col
+from retentia.operators.ordered import event_times, moving_average, timeline_profile
 from retentia.sources.tables import KEY
 
 
@@ -30,32 +32,47 @@ def total(c: Column | str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0.0))
 
 
-def spend_profile(tx: DataFrame, key: str = KEY, id: str = "TransactionID", ts: str = "TransactionDate",
-                  amount: str = "AmountSpent", category: str = "ProductCategory") -> DataFrame:
-    """Counts, amounts, first and last date and category diversity per customer."""
-    return tx.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(id).alias("txn_count"),
-        total(amount).alias("amount_sum"),
-        F.avg(amount).alias("amount_mean"),
-        F.stddev_samp(amount).alias("amount_std"),
-        F.min(ts).alias("first_txn_dt"),
-        F.max(ts).alias("last_txn_dt"),
-        F.count_distinct(category).alias("product_cat_nunique"),
-    )
-
-
 def transaction_profile(tx: DataFrame, snapshot: datetime | Column, key: str = KEY, id: str = "TransactionID",
                         ts: str = "TransactionDate", amount: str = "AmountSpent",
                         category: str = "ProductCategory") -> DataFrame:
     """Everything known about a customer's transactions, one row per customer with any.
 
-    Two aggregates over pruned scans, joined on the key both end up partitioned
-    by. Each aggregates map-side, so a customer with many rows adds one small row
-    per task to the shuffle.
+    Events are read and shuffled once. Each event time of a customer is a state (rows, amounts, their sum and squared
+    deviations, categories) that is merged to hours, and these to the customer: sums add up, squared deviations add up
+    with the distances of the means, gaps and months come from the order of the hours. So a customer with
+    very many rows is merged in parts. Deviations are taken from means, never as a difference of large squares.
     """
-    spend = spend_profile(tx, key, id, ts, amount, category)
-    recency = spend.withColumn("tx_recency_days", recency_days("last_txn_dt", snapshot))
-    return recency.join(timeline_profile(tx, key, ts), key, "left")
+    amounts = {"_c": F.count(_col(amount)), "_s": F.sum(_col(amount)), "_m2": F.var_pop(_col(amount)) * F.count(_col(amount))}
+    state = event_times(tx.filter(_col(key).isNotNull()), key, ts, {"_ids": F.count(_col(id)), **amounts, "_kinds": F.collect_set(_col(category))})
+    hour, whole = W.partitionBy(key, "_slice"), W.partitionBy(key)
+
+    def apart(over) -> Column:
+        """Squared distance of a part's mean from that of the whole, for every value of the part."""
+        mean = F.try_divide(F.sum("_s").over(over), F.sum("_c").over(over).cast("double"))
+        return F.coalesce(F.col("_c") * F.pow(F.try_divide(F.col("_s"), F.col("_c").cast("double")) - mean, F.lit(2)), F.lit(0.0))
+
+    merged = {"_ids": F.sum("_ids"), "_c": F.sum("_c"), "_s": F.sum("_s"), "_m2": F.sum(F.coalesce("_m2", F.lit(0.0)) + F.col("_apart")),
+              "_kinds": F.array_distinct(F.flatten(F.collect_list("_kinds")))}
+    known = F.col(ts).isNotNull()
+    hours = state.withColumn("_apart", apart(hour)).groupBy(key, "_slice").agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum(F.when(known, F.col("n_events"))).alias("_n"),
+        F.sum(whole_days(ts, "_previous")).alias("_days"), *[c.alias(name) for name, c in merged.items()],
+    )
+    # Rows without a time are a part of their own, first in the order, with no last time to carry.
+    carried = hours.withColumns({"_carry": F.lag("_last").over(whole.orderBy("_slice")), "_apart": apart(whole)})
+    opens_month = F.col("_first").isNotNull() & (F.col("_carry").isNull() | (month_of("_first") != month_of("_carry")))
+    gaps = F.coalesce(F.sum(whole_days("_first", "_carry")), F.lit(0)) + F.coalesce(F.sum("_days"), F.lit(0))
+    rolled = carried.groupBy(key).agg(
+        F.min("_first").alias("first_txn_dt"), F.max("_last").alias("last_txn_dt"), F.sum("_n").alias("_n"), gaps.alias("_gaps"),
+        F.count_if(opens_month).alias("_months"), *[c.alias(name) for name, c in merged.items()],
+    )
+    dated = F.col("_n").isNotNull()
+    return rolled.select(
+        key, F.col("_ids").alias("txn_count"), F.coalesce("_s", F.lit(0.0)).alias("amount_sum"), F.try_divide("_s", "_c").alias("amount_mean"),
+        F.sqrt(F.try_divide("_m2", F.when(F.col("_c") > 1, F.col("_c") - 1).cast("double"))).alias("amount_std"), "first_txn_dt", "last_txn_dt",
+        F.size("_kinds").cast("bigint").alias("product_cat_nunique"), recency_days("last_txn_dt", snapshot).alias("tx_recency_days"),
+        F.when(dated, F.try_divide(F.col("_gaps").cast("double"), F.col("_n") - 1)).alias("tx_avg_gap_days"), F.when(dated, F.col("_months")).alias("active_months"),
+    )
 
 
 def active_months(tx: DataFrame, key: str = KEY, ts: str = "TransactionDate") -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+import statistics
+from datetime import timedelta
+
 import pytest
 
 from retentia.operators import rollup
@@ -77,6 +81,30 @@ def test_profile_does_not_depend_on_partitions(tx):
         assert by_key(rollup.transaction_profile(tx.repartition(n), SNAP)) == want
 
 
-def test_hot_customer_is_aggregated_before_the_shuffle(spark, tx):
-    plan = rollup.spend_profile(tx)._jdf.queryExecution().executedPlan().toString()
-    assert "partial_sum(AmountSpent" in plan and "Window" not in plan
+def test_events_are_read_once_and_aggregated_before_the_shuffle(spark, tx):
+    plan = rollup.transaction_profile(tx, SNAP)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum(AmountSpent" in plan and plan.count("Scan ExistingRDD") == 1
+
+
+def test_merged_states_equal_plain_aggregates(spark):
+    """Many hours, clock times, missing times, amounts and categories; amounts far from 0, whose squares would cancel."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(4000):
+        ts = None if draw.random() < 0.05 else at("2024-01-01") + timedelta(minutes=draw.randrange(60 * 24 * 120))
+        rows.append((draw.choice("abc") if draw.random() < 0.9 else "d", i, ts, None if draw.random() < 0.1 else 1e9 + draw.gauss(0, 3), draw.choice(["x", "y", "z", None])))
+    rows += [("e", 1, None, 5.0, "x"), ("e", 2, None, 7.0, None), ("f", 3, at("2024-02-01"), None, None)]
+    got = by_key(rollup.transaction_profile(spark.createDataFrame(rows, TX_SCHEMA), SNAP))
+    for key in "abcdef":
+        own = [r for r in rows if r[0] == key]
+        amounts = [r[3] for r in own if r[3] is not None]
+        times = sorted(r[2] for r in own if r[2] is not None)
+        r = got[key]
+        assert r["txn_count"] == len(own) and r["product_cat_nunique"] == len({x[4] for x in own} - {None})
+        assert r["amount_sum"] == pytest.approx(sum(amounts), rel=1e-12)
+        assert r["amount_mean"] == (pytest.approx(statistics.fmean(amounts), rel=1e-12) if amounts else None)
+        assert r["amount_std"] == (pytest.approx(statistics.stdev(amounts), rel=1e-7) if len(amounts) > 1 else None)
+        assert (r["first_txn_dt"], r["last_txn_dt"]) == ((times[0], times[-1]) if times else (None, None))
+        gaps = [(b - a) // timedelta(days=1) for a, b in zip(times, times[1:])]
+        assert r["tx_avg_gap_days"] == (pytest.approx(sum(gaps) / len(gaps)) if gaps else None)
+        assert r["active_months"] == (len({(t.year, t.month) for t in times}) or None)
