@@ -10,23 +10,20 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import wraps
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from retentia.functions import clip, flag, ieq, ine_or_null, is_missing, month_of, ntz, safe_ratio, week_of, whole_days
-from retentia.operators import explain, metrics, models, ordered, prepare, profile, quality, quantiles, rollup
+from retentia.job import BOX_COLUMNS
+from retentia.operators import explain, levels, metrics, models, ordered, prepare, profile, quality, quantiles, rollup, sketches
 from retentia.operators.joins import join_one_to_one, with_globals
 from retentia.plans import attrition, customer
 from retentia.sources import KEY, TableSpec, coerce_double, coerce_timestamp, load_tables, retention_tables, stage
 from retentia.sources.sink import checkpoint_folder, write_features
 
-# The day future events are counted from, the report's threshold, the columns with a box summary.
+# The day future events are counted from, the report's threshold.
 AS_OF = datetime(2001, 1, 15)
 THRESHOLD = 0.5
-BOX_COLUMNS = (
-    "txn_count", "amount_sum", "amount_mean", "tx_recency_days", "active_months", "product_cat_nunique",
-    "cs_count", "complaint_count", "unresolved_count", "cs_recency_days", "LoginFrequency", "lastlogin_recency_days",
-)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -179,7 +176,7 @@ def written_features(spark, sf_dir):
     """Feature table written out, then read back."""
     path = f"{checkpoint_folder(spark)}/features-{datetime.now():%Y%m%d%H%M%S%f}"
     write_features(features(spark, sf_dir), path)
-    return spark.read.parquet(path).select(KEY, "txn_count", "amount_sum", "cs_count", "ChurnStatus")
+    return spark.read.parquet(path)
 
 
 # Projections, filters, scalar functions
@@ -432,6 +429,17 @@ def exact_quantiles(spark, sf_dir):
     return quantiles.exact_quantiles(lines, "l_extendedprice", wanted, ["l_returnflag"])
 
 
+@query
+def sketched_quantiles(spark, sf_dir):
+    """Quantiles from sketches of the lines, built per return flag and merged: whether their ranks are off by less than one in a thousand."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    cols, wanted = ["l_extendedprice", "l_quantity", "l_discount"], {"q01": 0.01, "median": 0.5, "q99": 0.99}
+    flags = [lines.filter(F.col("l_returnflag") == f) for f in "ANR"]
+    together = sketches.merged_sketches([sketches.value_sketches(part, cols) for part in flags])
+    errors = sketches.rank_errors(lines, together, wanted)
+    return errors.select("column", "probability", "n", (F.col("error") < 0.001).alias("close"))
+
+
 @query
 def amount_histogram(spark, sf_dir):
     return profile.histogram(tables(spark, sf_dir)["tx"].dropDuplicates(), "AmountSpent")
@@ -530,19 +538,64 @@ def model_frame(spark, sf_dir):
 
 @query
 def forest_matrix(spark, sf_dir):
-    wide = customer.forest_matrix(frame(spark, sf_dir))
-    return wide.select(KEY, *[c for c in wide.columns if c.startswith(("c_mktsegment_", "r_name_", "IncomeLevel_", "channel_"))], "amount_mean")
+    return customer.forest_matrix(frame(spark, sf_dir))
 
 
 @query
 def indexed_categories(spark, sf_dir):
     matrix, texts = customer.boosted_matrix(frame(spark, sf_dir))
-    indexed = matrix
-    for step in models.index_categories(texts):
-        indexed = step.fit(matrix).transform(indexed)
+    indexed = levels.with_level_numbers(matrix, levels.level_dictionary(matrix, texts), texts)
     return indexed.select(KEY, *texts, *[f"{c}_index" for c in texts])
 
 
+@query
+def level_numbers(spark, sf_dir):
+    """Numbers of the levels of text columns up to one level a row: customer names, part names, event properties."""
+    parts = []
+    for name, cols in (("customer", ["c_name", "c_mktsegment"]), ("part", ["p_name", "p_type"]), ("events", ["props", "event_type"])):
+        dictionary = levels.level_dictionary(spark.read.parquet(f"{sf_dir}/{name}.parquet"), cols)
+        parts.append(dictionary.withColumn("table_name", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def numbered_parts(spark, sf_dir):
+    """Level numbers by name, joined back to the rows."""
+    lines = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias(KEY), "p_name", "p_type")
+    return levels.with_level_numbers(lines, levels.level_dictionary(lines, ["p_name", "p_type"], "name"), ["p_name", "p_type"])
+
+
+@query
+def target_means(spark, sf_dir):
+    """Out-of-fold level means of text columns, on the training rows; those of all training rows on the test rows."""
+    named = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias(KEY), "c_name")
+    rows = features(spark, sf_dir).select(KEY, "ChurnStatus", "c_mktsegment", "IncomeLevel", "ServiceUsage").join(named, KEY)
+    folded = models.with_folds(models.stratified_split(rows))
+    means = levels.target_means(folded, ["c_mktsegment", "IncomeLevel", "ServiceUsage", "c_name"], "ChurnStatus", train=F.col("split") == "train")
+    return means.select(KEY, "split", "fold", *[c for c in means.columns if c.endswith("_mean")])
+
+
+@query
+def assembled_vectors(spark, sf_dir):
+    """The boosted matrix as vectors, and back to numbers: width, sum and numbers of the categories."""
+    table = boosted_table(spark, sf_dir)
+    v = vector_to_array("features")
+    categories = {f"{c}_at": F.get(v, F.lit(table.names.index(c))) for c in ("c_mktsegment", "r_name", "IncomeLevel", "ServiceUsage")}
+    return table.data.select(KEY, "ChurnStatus", F.size(v).alias("width"), F.get(v, F.lit(table.names.index("cs_count"))).alias("cs_count"),
+                             F.get(v, F.lit(table.names.index("tx_90"))).alias("tx_90"), *[c.alias(name) for name, c in categories.items()])
+
+
+@query
+def features_without_events(spark, sf_dir):
+    """Customer features when both event tables are empty: every count and window has its default."""
+    t = tables(spark, sf_dir)
+    bare = dict(t, tx=t["tx"].filter("false"), svc=t["svc"].filter("false"))
+    at = snapshot(spark, sf_dir)
+    made = customer.model_frame(customer.customer_features(bare, at), bare, at)
+    return made.select(KEY, "txn_count", "cs_count", "active_months", "had_tx", "had_service", "tx_recency_days", "amount_sum", "amount_std",
+                       "tx_30", "tx_90", "amt_90", "complaints_90d", "no_tx_90d", "complained_90d", "avg_spend_per_tx")
+
+
 # Metrics
 
 
@@ -596,9 +649,22 @@ def fold_shares(spark, sf_dir):
     return models.with_folds(features(spark, sf_dir)).groupBy("fold", "ChurnStatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def split_rows(spark, sf_dir):
+    """Side and fold of every customer."""
+    return models.with_folds(models.stratified_split(features(spark, sf_dir).select(KEY, "ChurnStatus")))
+
+
 @query
 def cv_forest(spark, sf_dir):
-    return models.cross_validate(models.forest(trees=20), forest_table(spark, sf_dir).data.drop("split"))
+    return models.cross_validate(models.forest(), forest_table(spark, sf_dir).data.drop("split"))
+
+
+@query
+def staged_rounds(spark, sf_dir):
+    """ROC-AUC of the wide boosted model after each of its rounds, on the test rows."""
+    f = wide_model(spark, sf_dir)
+    return models.staged_auc(f.model, f.table.test)
 
 
 @query
@@ -670,7 +736,7 @@ def permutation(spark, sf_dir):
 @query
 def attributions(spark, sf_dir):
     f = validated_model(spark, sf_dir)
-    rows = explain.attributions(f.model, f.table.test, f.table.names, samples=2)
+    rows = explain.attributions(f.model, f.table.test, f.table.names)
     return explain.rank_importance(explain.mean_abs_attribution(rows), 10)
 
 
@@ -681,12 +747,10 @@ def linear_attributions(spark, sf_dir):
 
 @query
 def ranking_comparison(spark, sf_dir):
-    f = wide_model(spark, sf_dir)
-    return explain.compare_rankings({
-        "gain": explain.impurity_importance(f.model, f.table.names),
-        "split": explain.split_importance(f.model, f.table.names),
-        "prediction": explain.shuffle_importance(f.model, f.table.test, f.table.names),
-    })
+    """Ranks under all seven methods; those of the forest are on its own columns."""
+    return explain.compare_rankings(attrition.rankings({
+        "forest": forest_model(spark, sf_dir), "wide": wide_model(spark, sf_dir), "validated": validated_model(spark, sf_dir),
+    }))
 
 
 @query

@@ -48,6 +48,25 @@ def bag(columns: list[str], rows) -> Counter:
     return Counter(tuple(plain(row[i]) for i in order) for row in rows)
 
 
+def close(got: Counter, want: Counter) -> bool:
+    """Equal rows but for numbers that differ by one in the last of six places: a tie may be rounded to either side."""
+    def split(row):
+        numbers = [float(v) if isinstance(v, str) and is_number(v) else None for v in row]
+        return tuple(str(v) if n is None else "" for v, n in zip(row, numbers)), [n for n in numbers if n is not None]
+
+    a, b = (sorted((split(row) for row in side.elements())) for side in (got - want, want - got))
+    return len(a) == len(b) and all(
+        x == y and all(math.isclose(v, w, rel_tol=1e-9, abs_tol=1.5e-6) for v, w in zip(m, n, strict=True)) for (x, m), (y, n) in zip(a, b))
+
+
+def is_number(text: str) -> bool:
+    try:
+        float(text)
+    except ValueError:
+        return False
+    return True
+
+
 def difference(spark: SparkSession, con, folder: str, name: str) -> str | None:
     """None when both sides agree, else what differs."""
     df = QUERIES[name](spark, folder)
@@ -59,7 +78,7 @@ def difference(spark: SparkSession, con, folder: str, name: str) -> str | None:
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(set(columns) ^ set(df.columns))}"
     expected = bag(columns, want.fetchall())
-    if got == expected:
+    if got == expected or close(got, expected):
         return None
     return f"{got.total()} rows for {expected.total()}; only here {list((got - expected))[:2]}; only there {list((expected - got))[:2]}"
 

@@ -176,7 +176,7 @@ check("typed_tables", f"""
 check("coerced_text", f"""
     SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN round(o_totalprice, 6) END AS amount_text,
            CASE WHEN o_orderpriority <> '1-URGENT' THEN o_orderdate END AS date_text FROM orders""")
-check("written_features", f"SELECT CustomerID, txn_count, {r('amount_sum')}, cs_count, ChurnStatus FROM features")
+check("written_features", f"SELECT {', '.join(FEATURES)} FROM features")
 check("range_filter", f"""
     SELECT CustomerID, TransactionID, TransactionDate, {r("AmountSpent", "amount")} FROM tx
     WHERE TransactionDate >= (SELECT snapshot_ts FROM snap) - INTERVAL 1 YEAR""")
@@ -368,11 +368,16 @@ check("model_frame", MODEL)
 check("feature_preview", f"{MODEL} ORDER BY f.CustomerID LIMIT 5")
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+MATRIX_NUMBERS = [c for c in NUMERIC if c not in ("ChurnStatus", "amount_sum", "amount_mean", "amount_std", "tx_avg_gap_days")]
 check("forest_matrix", f"""
-    SELECT f.CustomerID, {', '.join(flags_of("c_mktsegment", "c_mktsegment", SEGMENTS))}, {', '.join(flags_of("r_name", "r_name", REGIONS))},
+    SELECT CustomerID, ChurnStatus, {', '.join(f"coalesce({c}, 0) AS {c}" for c in MATRIX_NUMBERS)},
+           {', '.join(f"coalesce({c}, 0) AS {c}" for c in ("amount_sum", "amount_mean", "amount_std", "tx_avg_gap_days", "log1p_amount_sum", "log1p_amount_mean"))},
+           {', '.join(f"{c}_was_missing" for c in NUMERIC)}, tx_avg_gap_days_missing, amount_std_missing,
+           tx_30, tx_60, tx_90, amt_30, amt_90, complaints_90d, unresolved_90d, no_tx_90d, no_login_90d, complained_90d, avg_spend_per_tx,
+           {', '.join(flags_of("c_mktsegment", "c_mktsegment", SEGMENTS))}, {', '.join(flags_of("r_name", "r_name", REGIONS))},
            {', '.join(flags_of("IncomeLevel", "IncomeLevel", ["High", "Low", "Medium"]))},
-           {', '.join(flags_of("channel", "ServiceUsage", CHANNELS))}, round(coalesce(c.amount_mean, 0), 6) AS amount_mean
-    FROM features f JOIN capped c ON f.CustomerID = c.CustomerID""")
+           {', '.join(f"channel_{c}" for c in (*CHANNELS, "nan"))}
+    FROM ({MODEL}) m""")
 check("class_weights", " UNION ALL ".join(f"""
     SELECT CAST({v} AS INTEGER) AS ChurnStatus, count(*) FILTER (WHERE ChurnStatus = {v}) AS n,
            round(count(*) / (2.0 * count(*) FILTER (WHERE ChurnStatus = {v})), 6) AS weight_balanced,
@@ -407,14 +412,22 @@ check("classification_report", """
                          (n0 * 2 * tn / (2 * tn + fn + fp) + n1 * 2 * tp / (2 * tp + fp + fn)) / n, n) u""")
 
 
-def drawn(n: int, salt: str) -> str:
-    return f"CAST('0x' || substr(md5(concat_ws('|', '{salt}', CustomerID, ChurnStatus, 42)), 1, 8) AS BIGINT) % {n}"
+def drawn(salt: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{salt}', CustomerID, ChurnStatus, 42)), 1, 15) AS BIGINT)"
 
 
-check("split_shares", f"""
-    SELECT CASE WHEN {drawn(10_000, 'split')} < 2500 THEN 'test' ELSE 'train' END AS split, ChurnStatus, count(*) AS n
-    FROM features GROUP BY 1, 2""")
-check("fold_shares", f"SELECT CAST({drawn(5, 'fold')} AS INTEGER) AS fold, ChurnStatus, count(*) AS n FROM features GROUP BY 1, 2")
+def nth(salt: str) -> str:
+    return f"row_number() OVER (PARTITION BY ChurnStatus ORDER BY {drawn(salt)}, CustomerID)"
+
+
+# The k rows of a class with the smallest hashes are its test rows; folds are cut at equal shares of the ranks.
+SIDES = f"""
+    SELECT CustomerID, ChurnStatus, CASE WHEN {nth('split')} <= floor(0.25 * n + 0.5) THEN 'test' ELSE 'train' END AS split,
+           CAST((SELECT count(*) FROM range(1, 5) j(k) WHERE place > j.k * n // 5) AS INTEGER) AS fold
+    FROM (SELECT CustomerID, ChurnStatus, count(*) OVER (PARTITION BY ChurnStatus) AS n, {nth('fold')} AS place FROM features) u"""
+check("split_rows", SIDES)
+check("split_shares", f"SELECT split, ChurnStatus, count(*) AS n FROM ({SIDES}) s GROUP BY 1, 2")
+check("fold_shares", f"SELECT fold, ChurnStatus, count(*) AS n FROM ({SIDES}) s GROUP BY 1, 2")
 
 # Levels by falling frequency, then name; missing ones come after all.
 TEXTS = ("c_mktsegment", "r_name", "IncomeLevel", "ServiceUsage")
@@ -424,3 +437,34 @@ check("indexed_categories", "SELECT CustomerID, " + ", ".join(f"""{c}, coalesce(
         0) + CASE WHEN own_{c}.v IS NULL THEN (SELECT count(DISTINCT {c}) FROM features) ELSE 0 END + 0.0 AS {c}_index""" for c in TEXTS)
       + " FROM features f" + "".join(f"""
     LEFT JOIN (SELECT {c} AS v, count(*) AS n FROM features WHERE {c} IS NOT NULL GROUP BY {c}) own_{c} ON f.{c} = own_{c}.v""" for c in TEXTS))
+
+check("assembled_vectors", "SELECT f.CustomerID, f.ChurnStatus, 54 AS width, CAST(f.cs_count AS DOUBLE) AS cs_count, CAST(coalesce(t.tx_90, 0) AS DOUBLE) AS tx_90, " + ", ".join(f"""
+        coalesce(own_{c}.number, (SELECT count(DISTINCT {c}) FROM features)) + 0.0 AS {c}_at""" for c in TEXTS)
+      + " FROM features f LEFT JOIN tx_windows t ON f.CustomerID = t.CustomerID" + "".join(f"""
+    LEFT JOIN (SELECT v, row_number() OVER (ORDER BY n DESC, v) - 1 AS number
+               FROM (SELECT {c} AS v, count(*) AS n FROM features WHERE {c} IS NOT NULL GROUP BY {c}) u) own_{c} ON f.{c} = own_{c}.v""" for c in TEXTS))
+check("level_numbers", " UNION ALL ".join(f"""
+    SELECT '{t}' AS table_name, '{c}' AS "column", {c} AS level, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS number
+    FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}""" for t, c in (
+    ("customer", "c_name"), ("customer", "c_mktsegment"), ("part", "p_name"), ("part", "p_type"), ("events", "props"), ("events", "event_type"))))
+check("numbered_parts", """
+    SELECT CAST(p_partkey AS VARCHAR) AS CustomerID, p_name, p_type, dense_rank() OVER (ORDER BY p_name) - 1.0 AS p_name_index,
+           dense_rank() OVER (ORDER BY p_type) - 1.0 AS p_type_index FROM part""")
+MEAN_TEXTS = ("c_mktsegment", "IncomeLevel", "ServiceUsage", "c_name")
+check("target_means", f"""
+    SELECT s.CustomerID, split, fold, {', '.join(f"round((p_{c} + 20 * prior) / (n_{c} + 20), 6) AS {c}_mean" for c in MEAN_TEXTS)}
+    FROM (SELECT s.CustomerID, s.split, s.fold,
+                 (SELECT avg(t.ChurnStatus) FROM ({SIDES}) t WHERE t.split = 'train' AND (s.split = 'test' OR t.fold <> s.fold)) AS prior
+          FROM ({SIDES}) s) s
+    JOIN (SELECT a.CustomerID, {', '.join(f"count(*) FILTER (WHERE a.{c} = b.{c}) AS n_{c}, count(*) FILTER (WHERE a.{c} = b.{c} AND b.ChurnStatus = 1) AS p_{c}" for c in MEAN_TEXTS)}
+          FROM (SELECT f.CustomerID, c_name, f.c_mktsegment, IncomeLevel, ServiceUsage, split, fold FROM features f JOIN ({SIDES}) x ON f.CustomerID = x.CustomerID
+                JOIN customer k ON f.CustomerID = CAST(k.c_custkey AS VARCHAR)) a
+          LEFT JOIN (SELECT f.CustomerID, f.ChurnStatus, c_name, f.c_mktsegment, IncomeLevel, ServiceUsage, split, fold FROM features f JOIN ({SIDES}) x ON f.CustomerID = x.CustomerID
+                JOIN customer k ON f.CustomerID = CAST(k.c_custkey AS VARCHAR)) b
+          ON b.split = 'train' AND (a.split = 'test' OR a.fold <> b.fold) GROUP BY a.CustomerID) m ON m.CustomerID = s.CustomerID""")
+check("features_without_events", f"""
+    SELECT d.CustomerID, 0 AS txn_count, 0 AS cs_count, 0 AS active_months, 0 AS had_tx, 0 AS had_service, NULL AS tx_recency_days, NULL AS amount_sum, 0 AS amount_std,
+           0 AS tx_30, 0 AS tx_90, 0 AS amt_90, 0 AS complaints_90d, 1 AS no_tx_90d, 0 AS complained_90d, 0 AS avg_spend_per_tx
+    FROM demo d JOIN churn c ON d.CustomerID = c.CustomerID""")
+check("sketched_quantiles", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{q}' AS probability, count({c}) AS n, true AS close FROM lineitem"
+      for c in ("l_extendedprice", "l_quantity", "l_discount") for q in ("q01", "median", "q99")))

@@ -3,8 +3,9 @@
     spark-submit attrition_job.py --tables <folder> --out <folder> [--format parquet] [--snapshot 2024-03-31]
 
 Reads the five customer tables, checks them, and writes below ``--out``: ``integrity``,
-``missing_share``, ``table_report``, ``dedupe``, ``weekly_tx``, ``weekly_svc``, ``features``,
-``model_frame``, ``scores``, ``model_report``, ``class_reports`` and ``importance``.
+``missing_share``, ``table_report``, ``dedupe``, ``duplicates``, ``value_counts``, ``weekly_tx``, ``weekly_svc``,
+``histograms``, ``gaps``, ``features``, ``boxes``, ``channel_share``, ``model_frame``, ``cross_validation``,
+``scores``, ``model_report``, ``class_reports``, ``importance``, ``rankings`` and ``ranking_comparison``.
 """
 
 from __future__ import annotations
@@ -17,12 +18,24 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentia.operators.explain import rank_importance
-from retentia.operators.quality import dedupe_report, enforce, integrity_report, missing_share, table_report
+from retentia.functions import clip
+from retentia.functions.columns import _col
+from retentia.operators.explain import compare_rankings, rank_importance
+from retentia.operators.models import cross_validate, forest
+from retentia.operators.ordered import event_gaps, gap_counts
+from retentia.operators.prepare import columns_of_type
+from retentia.operators.profile import box_summary, crosstab_share, histogram
+from retentia.operators.quality import dedupe_report, duplicate_count, enforce, integrity_report, missing_share, table_report, value_counts
 from retentia.operators.rollup import weekly_counts
-from retentia.plans.attrition import all_scores, class_reports, fit_families, model_report
-from retentia.plans.customer import customer_features, join_customers, model_frame, snapshot_of
-from retentia.sources import CUSTOMER_TABLES, load_tables, stage, write_features
+from retentia.plans.attrition import all_scores, class_reports, fit_families, model_report, rankings
+from retentia.plans.customer import CHANNEL, customer_features, join_customers, model_frame, snapshot_of
+from retentia.sources import CUSTOMER_TABLES, KEY, load_tables, stage, write_features
+
+# Columns with a box summary per label.
+BOX_COLUMNS = (
+    "txn_count", "amount_sum", "amount_mean", "tx_recency_days", "active_months", "product_cat_nunique",
+    "cs_count", "complaint_count", "unresolved_count", "cs_recency_days", "LoginFrequency", "lastlogin_recency_days",
+)
 
 
 def run(spark: SparkSession, tables: dict[str, DataFrame], out: str, snapshot: datetime | None = None,
@@ -42,18 +55,42 @@ def run(spark: SparkSession, tables: dict[str, DataFrame], out: str, snapshot: d
     for name, time in (("tx", "TransactionDate"), ("svc", "InteractionDate")):
         save(weekly_counts(tables[name].dropDuplicates(), time), f"weekly_{name}")
 
-    features = customer_features(tables, snapshot, validate=False)
+    repeats = [(t, KEY, id) for t, id in (("tx", "TransactionID"), ("svc", "InteractionID"))]
+    counted = [duplicate_count(tables[t], keys).select(F.lit(t).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"), "n_duplicates")
+               for t, key, id in repeats for keys in ([id], [key, id])]
+    save(reduce(DataFrame.unionByName, counted), "duplicates")
+    texts = [(t, c) for t, kept in (("demo", None), ("svc", ("InteractionType", "ResolutionStatus")), ("online", ("ServiceUsage",)))
+             for c in columns_of_type(tables[t], include=["string"]) if c != KEY and (kept is None or c in kept)]
+    values = [value_counts(tables[t], c).select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), _col(c).alias("value"), "n") for t, c in texts]
+    if values:
+        save(reduce(DataFrame.unionByName, values), "value_counts")
+    tx = tables["tx"].dropDuplicates()
+    gaps = stage(gap_counts(event_gaps(tx)))
+    save(gaps, "gaps")
+    spent = tx.withColumn("log_amount", F.log1p(clip("AmountSpent", lower=0)))
+    bars = [("amount", histogram(tx, "AmountSpent")), ("log_amount", histogram(spent, "log_amount")), ("gap_days", histogram(gaps, "gap_days", weight="n_gaps"))]
+    save(reduce(DataFrame.unionByName, [df.withColumn("measure", F.lit(name)) for name, df in bars]), "histograms")
+
+    features = stage(customer_features(tables, snapshot, validate=False))
     save(features, "features")
+    save(box_summary(features, "ChurnStatus", BOX_COLUMNS), "boxes")
+    if CHANNEL in features.columns:
+        save(crosstab_share(features, CHANNEL, "ChurnStatus", [0, 1]), "channel_share")
     frame = stage(model_frame(features, tables, snapshot))
     save(frame, "model_frame")
 
+    settings = settings or {}
     fitted = fit_families(frame, settings)
+    save(cross_validate(forest(**settings.get("forest", {})), fitted["forest"].table.data.drop("split")), "cross_validation")
     scores = all_scores(fitted)
     save(scores, "scores")
     save(model_report(scores), "model_report")
     save(class_reports(scores), "class_reports")
     ranked = [rank_importance(f.importance(), 20).withColumn("model", F.lit(name)) for name, f in fitted.items()]
     save(reduce(DataFrame.unionByName, ranked), "importance")
+    methods = rankings(fitted, settings)
+    save(reduce(DataFrame.unionByName, [rank_importance(df).withColumn("method", F.lit(m)) for m, df in methods.items()]), "rankings")
+    save(compare_rankings(methods), "ranking_comparison")
 
 
 def main() -> None:

@@ -9,7 +9,7 @@ from checks.oracle import ORACLE
 from tests.conftest import SMALL
 
 ROWS_ONLY = {
-    "cv_forest", "score_logistic", "score_forest", "score_boosted", "score_validated",
+    "cv_forest", "staged_rounds", "score_logistic", "score_forest", "score_boosted", "score_validated",
     "model_report", "tuned_report", "importance_gain", "importance_splits", "importance_forest", "importance_prediction",
     "importance_loss", "permutation", "attributions", "linear_attributions", "ranking_comparison",
 }

@@ -6,7 +6,10 @@ from retentia.operators.quality import IntegrityError, table_report
 from retentia.sources import retention_tables
 from tests.conftest import SMALL
 
-FEW = {"logistic": {"max_iter": 20}, "forest": {"trees": 3}, "wide": {"rounds": 2}, "validated": {"rounds": 2}}
+FEW = {
+    "logistic": {"max_iter": 20}, "forest": {"trees": 3}, "wide": {"rounds": 2}, "validated": {"rounds": 2},
+    "permutation": {"repeats": 2}, "prediction": {"repeats": 1}, "loss": {"repeats": 1}, "attribution": {"samples": 2},
+}
 
 
 def test_the_whole_analysis_is_written(spark, tmp_path):
@@ -22,6 +25,13 @@ def test_the_whole_analysis_is_written(spark, tmp_path):
     assert len(sizes) == 1, "all models are judged on the same customers"
     assert read("importance").filter("rank = 1").count() == 4
     assert read("class_reports").groupBy("model").count().count() == 4 and read("dedupe").count() == 2
+    assert read("cross_validation").first()["folds"] == 5 and read("duplicates").count() == 4
+    assert {r[0] for r in read("histograms").groupBy("measure").count().filter("count = 50").collect()} == {"amount", "log_amount", "gap_days"}
+    assert read("boxes").select("feature").distinct().count() == 12 and read("channel_share").count() > 1 and read("gaps").count() > 1
+    assert read("value_counts").filter("column_name = 'IncomeLevel'").agg(F.sum("n")).first()[0] == 150
+    methods = {"gain", "split", "permutation", "prediction", "loss", "attribution", "forest"}
+    assert {r[0] for r in read("rankings").select("method").distinct().collect()} == methods
+    assert set(read("ranking_comparison").columns) == {"feature", *[f"rank_{m}" for m in methods]}
     assert read("weekly_tx").count() > 100 and read("weekly_svc").count() > 100
 
 
