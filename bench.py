@@ -23,8 +23,8 @@ HEADLINE = (
     "table_report", "dedupe", "missing_share", "weekly_interactions", "amount_histogram", "gap_histogram",
     "exact_quantiles", "box_summary", "crosstab_share", "winsorize", "model_frame", "forest_matrix", "roc_auc",
     "average_precision", "best_threshold", "classification_report", "score_logistic", "score_forest", "score_boosted",
-    "score_validated", "importance_splits", "linear_attributions", "staged_rounds", "model_report", "cv_forest", "permutation",
-    "attributions", "importance_prediction", "importance_loss", "ranking_comparison", "level_numbers", "target_means",
+    "score_validated", "importance_splits", "linear_attributions", "staged_rounds", "cv_forest", "permutation",
+    "attributions", "ranking_comparison", "level_numbers", "target_means",
 )
 
 

@@ -202,8 +202,8 @@ def fit_logistic(train: DataFrame, label: str = LABEL, max_iter: int = 500, c: f
     ]).fit(weighted)
 
 
-def forest(trees: int = 50, min_leaf: int = 3, max_depth: int = 12, seed: int = 42, label: str = LABEL):
-    """Random forest with ``sqrt`` feature sampling; for long runs raise trees and depth (Spark allows 30)."""
+def forest(trees: int = 1000, min_leaf: int = 3, max_depth: int = 30, seed: int = 42, label: str = LABEL):
+    """Random forest with ``sqrt`` feature sampling, as deep as Spark allows."""
     return RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, minInstancesPerNode=min_leaf,
         maxDepth=max_depth, featureSubsetStrategy="sqrt", cacheNodeIds=False, seed=seed,
@@ -214,11 +214,11 @@ def fit_forest(train: DataFrame, label: str = LABEL, **settings) -> Model:
     return forest(label=label, **settings).fit(with_class_weight(spread(train, 2_000), label))
 
 
-def boosted(profile: str = "wide", rounds: int = 30, label: str = LABEL, seed: int = 42) -> GBTClassifier:
+def boosted(profile: str = "wide", rounds: int = 1500, label: str = LABEL, seed: int = 42) -> GBTClassifier:
     return GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, maxBins=BINS, checkpointInterval=10, seed=seed, **BOOSTED_PROFILES[profile])
 
 
-def fit_boosted(train: DataFrame, profile: str = "wide", rounds: int = 30, label: str = LABEL, validation: float = 0.2, seed: int = 42) -> Model:
+def fit_boosted(train: DataFrame, profile: str = "wide", rounds: int = 1500, label: str = LABEL, validation: float = 0.2, seed: int = 42) -> Model:
     """Gradient-boosted trees in one of the ``BOOSTED_PROFILES``.
 
     Profile ``validated`` keeps the rounds up to the one with the best ROC-AUC on a share of the
