@@ -152,16 +152,14 @@ def assemble(df: DataFrame, label: str = LABEL, drop: Sequence[str] = NON_FEATUR
     """Key, label and a ``features`` vector of all other numeric columns, and their names in order.
 
     Text columns named in ``index`` enter as numbered categories, which trees split
-    by subsets of levels; they may have ``BINS`` - 1 levels at most. The first column of ``keep`` is the key.
+    by subsets of levels; with ``BINS`` levels or more they need as many bins for every feature, so give such
+    columns ``target_means`` instead where that matters. The first column of ``keep`` is the key.
     """
     names = [c for c in columns_of_type(df, include=["number"]) if c not in drop and c != label and c not in keep]
     indexed, levels = df, {}
     if index:
         dictionary = level_dictionary(df, index)
         levels = level_counts(dictionary, index)
-        wide = [c for c, (n, _) in levels.items() if n >= BINS]
-        if wide:
-            raise ValueError(f"{BINS} or more levels in {wide}; give them target_means instead")
         indexed = with_level_numbers(df, dictionary, index, key=keep[0])
     inputs = names + [f"{c}_index" for c in index]
     # Positions stand for the names, which may hold dots.
@@ -214,8 +212,14 @@ def fit_forest(train: DataFrame, label: str = LABEL, **settings) -> Model:
     return forest(label=label, **settings).fit(with_class_weight(spread(train, 2_000), label))
 
 
-def boosted(profile: str = "wide", rounds: int = 1500, label: str = LABEL, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, maxBins=BINS, checkpointInterval=10, seed=seed, **BOOSTED_PROFILES[profile])
+def widest_category(train: DataFrame) -> int:
+    """Values of the widest numbered category in the features; trees need a bin for each."""
+    attrs = train.schema["features"].metadata.get("ml_attr", {}).get("attrs", {}).get("nominal", [])
+    return max([a.get("num_vals", len(a.get("vals", []))) for a in attrs], default=0)
+
+
+def boosted(profile: str = "wide", rounds: int = 1500, label: str = LABEL, seed: int = 42, bins: int = BINS) -> GBTClassifier:
+    return GBTClassifier(featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds, maxBins=bins, checkpointInterval=10, seed=seed, **BOOSTED_PROFILES[profile])
 
 
 def fit_boosted(train: DataFrame, profile: str = "wide", rounds: int = 1500, label: str = LABEL, validation: float = 0.2, seed: int = 42) -> Model:
@@ -227,7 +231,7 @@ def fit_boosted(train: DataFrame, profile: str = "wide", rounds: int = 1500, lab
     """
     weighted = with_class_weight(spread(train, 50_000), label, "balanced" if profile == "wide" else "ratio")
     checkpoint_folder(train.sparkSession)
-    trees = boosted(profile, rounds, label, seed)
+    trees = boosted(profile, rounds, label, seed, max(BINS, widest_category(train)))
     if profile != "validated":
         return trees.fit(weighted)
     parts = stage(stratified_split(weighted, label=label, frac=validation, seed=seed + 1))

@@ -46,8 +46,7 @@ def test_class_weights(spark):
 def test_assemble_names_and_categories(spark):
     df = spark.createDataFrame([("a", 0, 1, "x", 2.0), ("b", 1, 2, None, 3.0)], "CustomerID string, ChurnStatus int, n int, t string, amount double")
     wide = spark.range(70).select(F.col("id").cast("string").alias("CustomerID"), F.lit(1).alias("ChurnStatus"), F.col("id").cast("string").alias("t"))
-    with pytest.raises(ValueError, match="target_means"):
-        models.assemble(wide, index=["t"])
+    assert models.widest_category(models.assemble(wide, index=["t"])[0]) == 71 and models.widest_category(models.assemble(wide.drop("t").withColumn("n", F.lit(1)))[0]) == 0
     data, names = models.assemble(df, index=["t"])
     assert names == ["n", "amount", "t"]
     assert {r["CustomerID"]: list(r["features"].toArray()) for r in data.collect()} == {"a": [1.0, 2.0, 0.0], "b": [2.0, 3.0, 1.0]}
