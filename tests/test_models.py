@@ -195,3 +195,10 @@ def test_linear_attributions_are_centred_and_exact(toy):
     sums = rows.groupBy("CustomerID").agg(F.sum("attribution").alias("s"))
     off = log_odds.join(sums, "CustomerID").filter(F.abs(F.col("z") - F.col("s") - F.lit(model.stages[-1].intercept)) > 1e-9)
     assert off.isEmpty()
+
+
+def test_tasks_do_not_grow_with_a_training_table(toy, monkeypatch):
+    """A tree learner shuffles the counts of its nodes once a task, so larger tables have larger tasks."""
+    assert models.spread(toy, 10).rdd.getNumPartitions() == models.TASKS
+    monkeypatch.setattr(models, "TASK_ROWS", 20)
+    assert models.spread(toy, 10).rdd.getNumPartitions() == 40
