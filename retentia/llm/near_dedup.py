@@ -14,8 +14,7 @@ candidates grow with the square of a group, however alike its members are.
 
 A pair of similarity s stays together in one tree with probability s per level and is compared where it
 ends. Classes branch twice before nodes are looked at, which leaves most unlike texts alone. 16 trees miss a pair of
-similarity 0.75 with probability (1 - 0.75 ** 2) ** 16, about 2e-6, if its nodes are of moderate size then (5e-5 among
-more than 64 classes that may all be alike, whose sets are gathered for twelve trees only), and with
+similarity 0.75 with probability (1 - 0.75 ** 2) ** 16, about 2e-6, if its nodes are of moderate size then, and with
 (1 - 0.75 ** 4) ** 16, about 0.0023, in each walk if all of them stay larger to the last. Only in that case there
 is more to find, so walks on other coordinates follow until one finds no link.
 """
@@ -41,8 +40,6 @@ TREES, FIRST, LEVELS = 16, 2, 4
 LEAF, MODERATE = 1024, 4096
 #: Classes and shingles of a block; larger nodes of the last level are compared by pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
-#: Parts of a node with more classes than this are compared in so many of the trees, if they meet at the first level.
-LARGE_PART, PART_TREES = 64, 12
 #: Share of equal sketch positions below which a pair is not confirmed: 4.6 standard errors under 0.75.
 LEAST_SKETCH = 0.5
 #: Bits of the filter that picks the texts whose sets are needed; a full filter costs work, not results.
@@ -236,7 +233,7 @@ def involved(classes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame | No
         ).filter((F.col("n") > 1) & (F.col("least") != F.col("most"))).drop("least", "most"))
         last = level == LEVELS or nodes.filter(F.col("n") > MODERATE).isEmpty()
         whole = nodes if last else nodes.filter(F.col("n") <= MODERATE)
-        found.append(apart(frontier.join(whole, "node").join(classes.select("id", "sketch"), "id"), level))
+        found.append(apart(frontier.join(whole, "node").join(classes.select("id", "sketch"), "id")))
         if last:
             break
         large = staged(frontier.join(nodes.filter(F.col("n") > MODERATE).select("node"), "node"))
@@ -251,12 +248,12 @@ def mark_of(ids: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(np.sort(ids).tobytes())
 
 
-def apart(members: DataFrame, level: int) -> DataFrame:
-    """(group, id, comp) of one level's nodes, see ``involved``."""
+def apart(members: DataFrame) -> DataFrame:
+    """(group, id, comp) of one level's nodes, see ``involved``: every part of a node, in all trees."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in groups_of(batches):
-            of_one, tree, block, ids, comp, size = (table.column(c).to_numpy() for c in ("of_one", "tree", "block", "id", "comp", "size"))
+            of_one, block, ids, comp, size = (table.column(c).to_numpy() for c in ("of_one", "block", "id", "comp", "size"))
             sketch = sketch_rows(table.column("sketch"))
             two = edges[:-1][np.diff(edges) == 2]
             ok = likely(sketch[two], sketch[two + 1], size[two], size[two + 1]) & (comp[two] != comp[two + 1]) & (of_one[two] | (block[two] != block[two + 1]))
@@ -269,9 +266,8 @@ def apart(members: DataFrame, level: int) -> DataFrame:
                     same = agreements(sketch[own], size[own], comp[own], None if of_one[a] else block[own])
                     if same.any():
                         for part in parted(b - a, forest(same)):
-                            if level > FIRST or len(part) <= LARGE_PART or tree[a] < PART_TREES:
-                                rows.append(a + np.array(part))
-                                group.append(np.full(len(part), mark_of(ids[rows[-1]]), np.uint64).view(np.int64))
+                            rows.append(a + np.array(part))
+                            group.append(np.full(len(part), mark_of(ids[rows[-1]]), np.uint64).view(np.int64))
             rows, group = np.concatenate(rows), np.concatenate(group)
             yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(ids[rows]), pa.array(comp[rows])], ["group", "id", "comp"])
 
@@ -280,7 +276,7 @@ def apart(members: DataFrame, level: int) -> DataFrame:
     cut = cut.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = cut.select(F.xxhash64("node", low, high).alias("group"), (low == high).alias("of_one"), "tree", "block", "id", "comp", "size", "sketch")
+    rows = cut.select(F.xxhash64("node", low, high).alias("group"), (low == high).alias("of_one"), "block", "id", "comp", "size", "sketch")
     return by_group(rows).mapInArrow(run, "group long, id long, comp long")
 
 

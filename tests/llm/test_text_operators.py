@@ -513,3 +513,11 @@ def test_secret_query_derives_counts_and_lists(spark, tmp_path):
     rows = {r.doc_id: r for r in QUERIES["op3_secret_scan"](spark, str(tmp_path)).collect()}
     assert (rows[0].n_assign, rows[0].n_access, rows[0].n_hex, rows[0].spans) == (1, 0, 0, "assign:0:15,assign:20:37")
     assert rows[0].base_sha256 == hashlib.sha256(b"assign:0:15").hexdigest() and rows[1].spans == ""
+
+
+def test_large_parts_of_a_node_are_compared_in_every_tree(spark):
+    """Seventy classes that may all be alike, met in one tree only: all of them are gathered, whichever tree it is."""
+    for tree in (0, near_dedup.TREES - 1):
+        rows = [(5, 70, 700, tree, i, i, 10, bytes([7] * 64)) for i in range(70)]
+        members = spark.createDataFrame(rows, "node long, n long, shingles long, tree int, id long, comp long, size long, sketch binary")
+        assert {r.id for r in near_dedup.apart(members).collect()} == set(range(70))
