@@ -75,3 +75,17 @@ def test_pushdown_reaches_the_scan(spark):
     plan = retention_tables(spark, SMALL)["tx"].select("CustomerID", "TransactionDate")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate)" in plan and "LessThan(o_orderdate" in plan
     assert "o_totalprice" not in plan.split("ReadSchema")[1]
+
+
+def test_lines_meet_their_orders_in_parts_of_bounded_size(spark, monkeypatch):
+    from retentia.sources import star
+
+    lines = spark.createDataFrame([(i % 40, i, 1.0, "R", "F", star.CUTOFF.replace(year=2000)) for i in range(100)],
+                                  "l_orderkey bigint, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    orders = spark.createDataFrame([(i, i % 7) for i in range(30)], "o_orderkey bigint, o_custkey bigint")
+    whole = sorted(map(tuple, star.interactions(lines, orders).collect()))
+    assert len(whole) == 80
+    monkeypatch.setattr(star, "JOIN_ROWS", 10, raising=False)
+    cut = star.interactions(lines, orders)
+    assert "hashpartitioning(l_orderkey" in (plan := cut._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, cut.collect())) == whole
