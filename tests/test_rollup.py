@@ -108,3 +108,14 @@ def test_merged_states_equal_plain_aggregates(spark):
         gaps = [(b - a) // timedelta(days=1) for a, b in zip(times, times[1:])]
         assert r["tx_avg_gap_days"] == (pytest.approx(sum(gaps) / len(gaps)) if gaps else None)
         assert r["active_months"] == (len({(t.year, t.month) for t in times}) or None)
+
+
+def test_raw_transactions_are_counted_without_object_states(spark, tx):
+    """The first aggregate has plain states only; categories are collected from an hour's states."""
+    plan = rollup.transaction_profile(tx, SNAP)._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("Aggregate("):]
+    assert "count(" in first and "collect_set" not in first
+    rows = [("a", 1, at("2024-01-01"), 1.0, "A"), ("a", 2, at("2024-01-01"), 3.0, "B"), ("a", 3, at("2024-01-01"), None, "B"), ("a", 4, at("2024-01-03"), 8.0, None), ("a", 5, None, 4.0, "C")]
+    got = by_key(rollup.transaction_profile(spark.createDataFrame(rows, TX_SCHEMA), SNAP))["a"]
+    assert (got["txn_count"], got["product_cat_nunique"], got["amount_sum"], got["active_months"]) == (5, 3, 16.0, 1)
+    assert got["tx_avg_gap_days"] == pytest.approx(2 / 3) and got["amount_std"] == pytest.approx(statistics.stdev([1, 3, 8, 4]))
