@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def on_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it.
-
-    A cluster that has the package installed, or gets it with ``--py-files``, does not need this.
-    """
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(p for p in (*paths, root) if p)
+from retentia.sources.sink import on_workers  # noqa: F401
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -3,6 +3,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from retentia.operators import explain, metrics, models
+from retentia.operators.boosted_trees import BoostedTrees
 from retentia.sources import stage
 
 NAMES = ["signal", "noise", "flat"]
@@ -202,3 +203,39 @@ def test_tasks_do_not_grow_with_a_training_table(toy, monkeypatch):
     assert models.spread(toy, 10).rdd.getNumPartitions() == models.TASKS
     monkeypatch.setattr(models, "TASK_ROWS", 20)
     assert models.spread(toy, 10).rdd.getNumPartitions() == 40
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Two numbers, a numbered category and a constant; the label depends on the first number and the category."""
+    rows = spark.range(600).select(
+        F.col("id").cast("string").alias("CustomerID"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("n"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(7)).alias("m"),
+        F.lit(1).alias("same"), F.concat(F.lit("t"), F.pmod(F.xxhash64("id", F.lit(9)), F.lit(6)).cast("string")).alias("t"),
+    )
+    label = ((F.col("n") > 20) != F.col("t").isin("t1", "t4")) & (F.pmod(F.xxhash64("CustomerID"), F.lit(9)) != 0)
+    data, names = models.assemble(rows.withColumn("ChurnStatus", label.cast("int")), index=["t"])
+    data = stage(data)
+    return data, names, models.fit_boosted(data, rounds=4)
+
+
+class NoTrees:
+    pass
+
+
+def test_batches_score_altered_rows_as_the_model_does(mixed, monkeypatch):
+    data, names, model = mixed
+    assert any(len(t.cut) for t in [BoostedTrees(model)] if t.goes_left.any()), "a category is split"
+    own = {(r["_i"], r["repeat"], r["label"]): r["s"] for r in explain._boosted_shuffled_scores(model, data, len(names), 2, 42, "CustomerID", "ChurnStatus").groupBy("_i", "repeat", "label").agg(F.sum("score").alias("s")).collect()}
+    other = {(r["_i"], r["repeat"], r["label"]): r["s"] for r in explain._shuffled_scores(model, data, len(names), 2, 42, "CustomerID", "ChurnStatus").groupBy("_i", "repeat", "label").agg(F.sum("score").alias("s")).collect()}
+    assert own == {k: pytest.approx(v, abs=1e-9) for k, v in other.items() if k in own} and {k[0] for k in own} == set(BoostedTrees(model).trees_of)
+    made = {
+        "prediction": lambda: explain.shuffle_importance(model, data, names),
+        "loss": lambda: explain.shuffle_importance(model, data, names, "loss"),
+        "permutation": lambda: explain.permutation_importance(model, data, names, repeats=2),
+        "attribution": lambda: explain.mean_abs_attribution(explain.attributions(model, data.limit(50), names, samples=2)),
+    }
+    fast = {m: {r["feature"]: r["importance"] for r in make().collect()} for m, make in made.items()}
+    monkeypatch.setattr(explain, "GBTClassificationModel", NoTrees)
+    for m, make in made.items():
+        slow = {r["feature"]: r["importance"] for r in make().collect()}
+        assert set(slow) == set(names) and fast[m] == {f: pytest.approx(v, abs=1e-9) for f, v in slow.items()}, m
