@@ -19,6 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, normalizers
@@ -354,11 +355,19 @@ def chunks_of(text: str) -> list[str]:
 
 
 def encoded(texts: list[str], path: str) -> Iterator[bytes]:
-    """Packed tokens of each text; new words of all texts are encoded together."""
-    cut = [chunks_of(t) for t in texts]
-    known = memory(path).of(set().union(*cut))
-    for chunks in cut:
-        yield b"".join(map(known.__getitem__, chunks))
+    """Packed tokens of each text; every different chunk of all texts is looked up once, and new ones are encoded together.
+
+    Cut at ASCII white space only; the tokenizer drops any other inside a chunk.
+    """
+    cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    chunks = pc.list_flatten(cut).dictionary_encode()
+    different = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+    known = memory(path).of(set(different))
+    packed = pa.array(list(map(known.__getitem__, different)), pa.large_binary()).take(chunks.indices)
+    _, ends, data = packed.buffers()
+    at = np.frombuffer(ends, np.int64)[cut.offsets.to_numpy()].tolist() if len(packed) else [0] * (len(texts) + 1)
+    for a, b in zip(at, at[1:]):
+        yield data[a:b].to_pybytes() if b > a else b""
 
 
 def encoded_parts(texts: list[str], path: str) -> Iterator[Iterator[bytes]]:

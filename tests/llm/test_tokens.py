@@ -58,6 +58,22 @@ def test_memory_forgets_but_stays_right():
         assert len(memory.young) + len(memory.old) <= 12
 
 
+def test_a_word_is_looked_up_once_for_all_texts(monkeypatch):
+    asked = []
+
+    class Known(dict):
+        def __getitem__(self, chunk):
+            asked.append(chunk)
+            return super().__getitem__(chunk)
+
+    memory = bpe.memory(VOCABULARY)
+    monkeypatch.setattr(memory, "of", lambda chunks: Known(bpe.bpe(VOCABULARY).learn(chunks)))
+    texts = ["one two  one", "two\tone two", "", " two\xa0one ", "\n"]
+    got = [bpe.unpack(b"".join(p)).tolist() for p in bpe.encoded_parts(texts, VOCABULARY)]
+    assert got == [ids_of(t) for t in texts]
+    assert len(asked) == len(set(asked))
+
+
 def test_round_trip_query_digests(spark):
     got = {r.doc_id: r for r in bpe.round_trip(documents(spark, ODD_TEXTS), VOCABULARY).collect()}
     for i, text in enumerate(ODD_TEXTS):
