@@ -30,7 +30,10 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def pieces_of(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``limit`` bytes of text each; a longer text stands alone."""
+    """Slices of the batches with at most ``limit`` bytes of text each; a longer text stands alone.
+
+    After the last one Arrow gives back what it keeps for reuse: the worker may wait through stages that need the room.
+    """
     for batch in batches:
         sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_pylist()
         start = held = 0
@@ -41,6 +44,8 @@ def pieces_of(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 <<
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(docs: DataFrame, *columns: str, text: str = "text") -> DataFrame:

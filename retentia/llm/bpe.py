@@ -311,13 +311,22 @@ def bpe(path: str) -> Bpe:
 
 
 class Memory:
-    """Values of texts seen before: a young and an old half, so that common texts stay and memory is bounded."""
+    """Values of texts seen before: a young and an old half, so that common texts stay and memory is bounded.
+
+    A Python worker lives through many stages; only the memory used last holds anything.
+    """
+
+    used: Memory | None = None
 
     def __init__(self, learn, limit: int):
         self.learn, self.limit, self.young, self.old = learn, limit, {}, {}
 
     def of(self, chunks: set[str]) -> dict:
-        """A table that holds all the given texts, valid until the next call."""
+        """A table that holds all the given texts, valid until the next call of any memory."""
+        if Memory.used is not self:
+            if Memory.used is not None:
+                Memory.used.young, Memory.used.old = {}, {}
+            Memory.used = self
         new = chunks.difference(self.young)
         if len(self.young) + len(new) > self.limit:
             self.young, self.old = {}, self.young

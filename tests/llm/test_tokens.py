@@ -2,12 +2,13 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from retentia.llm import bpe, packing, token_counts
+from retentia.llm import batches, bpe, packing, token_counts
 from tests.llm.conftest import ODD_TEXTS, VOCABULARY, documents
 
 LIBRARY = Tokenizer.from_file(VOCABULARY)
@@ -58,6 +59,16 @@ def test_memory_forgets_but_stays_right():
         assert len(memory.young) + len(memory.old) <= 12
 
 
+def test_only_the_memory_used_last_holds_anything():
+    first, second = (bpe.Memory(lambda xs: dict.fromkeys(xs, 1), limit=4) for _ in range(2))
+    for i in range(4):
+        first.of({f"{i}a", f"{i}b"})
+    assert first.young and first.old
+    assert second.of({"x"}) == {"x": 1}
+    assert not first.young and not first.old
+    assert first.of({"0a"}) == {"0a": 1} and not second.young
+
+
 def test_a_word_is_looked_up_once_for_all_texts(monkeypatch):
     asked = []
 
@@ -74,6 +85,17 @@ def test_a_word_is_looked_up_once_for_all_texts(monkeypatch):
     assert len(asked) == len(set(asked))
 
 
+def test_arrow_gives_back_what_a_partition_used(monkeypatch):
+    given = []
+    pool = pa.default_memory_pool()
+    monkeypatch.setattr(batches.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: given.append(pool.bytes_allocated())})())
+    before = pool.bytes_allocated()
+    rows = (pa.RecordBatch.from_pydict({"text": ["x" * 100_000] * 10}) for _ in range(3))
+    assert sum(p.num_rows for p in batches.pieces_of(rows, "text", 300_000)) == 30
+    assert len(given) == 1 and given[0] < before + 2_000_000
+    assert list(batches.pieces_of([], "text")) == [] and len(given) == 2
+
+
 def test_round_trip_query_digests(spark):
     got = {r.doc_id: r for r in bpe.round_trip(documents(spark, ODD_TEXTS), VOCABULARY).collect()}
     for i, text in enumerate(ODD_TEXTS):
