@@ -8,7 +8,8 @@ The first walk joins what is plainly alike: nodes of up to ``LEAF`` classes give
 pairs by sketch, larger ones pair each class with one of them; full sets confirm, and linked classes become
 one component. Later walks compare the nodes that still hold several components exhaustively. Large nodes
 branch on until they are of moderate size, at the last level they are cut into pairs of blocks. Sketches
-find the classes of a node that may be linked with another component; the full sets of those come together, are
+find the classes of a node that may be linked with another component; what hangs together by such classes in any of the
+trees is one group, up to a size, so that a set travels once. The full sets of a group come together, are
 compared in one product of matrices, and only the links of a spanning forest leave the task. So neither links nor
 candidates grow with the square of a group, however alike its members are.
 
@@ -40,6 +41,8 @@ TREES, FIRST, LEVELS = 16, 2, 4
 LEAF, MODERATE = 1024, 4096
 #: Classes and shingles of a block; larger nodes of the last level are compared by pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Classes of the largest group that is put together from those of several nodes; it has a block's shingles at most, too.
+WHOLE = 1024
 #: Share of equal sketch positions below which a pair is not confirmed: 4.6 standard errors under 0.75.
 LEAST_SKETCH = 0.5
 #: Bits of the filter that picks the texts whose sets are needed; a full filter costs work, not results.
@@ -70,7 +73,7 @@ def minwise(shingle_set: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, mark, sketch, tokens): the set's 128-bit mark, one byte of each minwise token, and the tokens. Null for an empty set."""
+    """(doc_id, n_shingles, mark, sketch, tokens): the set's 128-bit mark, one byte of each minwise token, and 32 bits of each. Null for an empty set."""
     on_workers(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +83,13 @@ def described(docs: DataFrame) -> DataFrame:
                 s = shingles(text)
                 if len(s):
                     tokens = minwise(s)
-                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), (tokens >> np.uint64(20)).astype(np.uint8).tobytes(), tokens.view(np.int64)))
+                    rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), (tokens >> np.uint64(20)).astype(np.uint8).tobytes(), (tokens >> np.uint64(16)).astype(np.uint32).view(np.int32)))
                 else:
                     rows.append((0, None, None, None))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], ["doc_id", "n_shingles", "mark", "sketch", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, mark binary, sketch binary, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, mark binary, sketch binary, tokens array<int>")
 
 
 def likely(a: np.ndarray, b: np.ndarray, size_a, size_b) -> np.ndarray:
@@ -223,7 +226,7 @@ def first_pairs(classes: DataFrame) -> DataFrame:
 def involved(classes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame | None]:
     """(group, id, comp) of the classes that may be linked with another component of their node, and the classes of nodes that have branched, if any.
 
-    A group holds what hangs together by such pairs in a node, or in two blocks of a large one; equal groups of several nodes are one.
+    A group holds what hangs together by such pairs in a node, or in two blocks of a large one; groups of several nodes are put ``together``.
     """
     found, branched = [], None
     frontier = roots_of(classes, round_)
@@ -240,7 +243,7 @@ def involved(classes: DataFrame, round_: int) -> tuple[DataFrame, DataFrame | No
         branched = branched or large.select("id").distinct()
         at = F.element_at("tokens", (coordinate(F.col("tree"), level, round_) + 1).cast("int"))
         frontier = large.select("id", "comp", "size", "tree", "node").join(classes.select("id", "tokens"), "id").select("id", "comp", "size", "tree", F.xxhash64("node", at).alias("node"))
-    return reduce(DataFrame.unionByName, found).dropDuplicates(["group", "id"]), branched
+    return together(reduce(DataFrame.unionByName, found).dropDuplicates(["group", "id"])), branched
 
 
 def mark_of(ids: np.ndarray) -> int:
@@ -249,7 +252,7 @@ def mark_of(ids: np.ndarray) -> int:
 
 
 def apart(members: DataFrame) -> DataFrame:
-    """(group, id, comp) of one level's nodes, see ``involved``: every part of a node, in all trees."""
+    """(group, id, comp, size) of one level's nodes, see ``involved``: every part of a node, in all trees."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, edges in groups_of(batches):
@@ -269,7 +272,7 @@ def apart(members: DataFrame) -> DataFrame:
                             rows.append(a + np.array(part))
                             group.append(np.full(len(part), mark_of(ids[rows[-1]]), np.uint64).view(np.int64))
             rows, group = np.concatenate(rows), np.concatenate(group)
-            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(ids[rows]), pa.array(comp[rows])], ["group", "id", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(ids[rows]), pa.array(comp[rows]), pa.array(size[rows])], ["group", "id", "comp", "size"])
 
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     cut = members.withColumn("blocks", F.when((F.col("n") <= MODERATE) & (F.col("shingles") <= 2 * BLOCK_SHINGLES), F.lit(1)).otherwise(blocks))
@@ -277,7 +280,23 @@ def apart(members: DataFrame) -> DataFrame:
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     rows = cut.select(F.xxhash64("node", low, high).alias("group"), (low == high).alias("of_one"), "block", "id", "comp", "size", "sketch")
-    return by_group(rows).mapInArrow(run, "group long, id long, comp long")
+    return by_group(rows).mapInArrow(run, "group long, id long, comp long, size long")
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """(group, id, comp): groups that hang together by common classes are one, and a class is in it once.
+
+    What would have more than ``WHOLE`` classes or a block's shingles keeps its groups. ``rows``: group, id, comp, size.
+    """
+    rows = staged(rows)
+    if rows.isEmpty():
+        return rows.drop("size")
+    firsts = rows.groupBy("group").agg(F.min("id").alias("first"))
+    roots = smallest_reachable(rows.join(firsts, "group").select(F.col("id").alias("a"), F.col("first").alias("b")))
+    placed = staged(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    sums = placed.dropDuplicates(["id"]).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    whole = sums.filter((F.col("n") <= WHOLE) & (F.col("shingles") <= BLOCK_SHINGLES)).select("root", F.xxhash64("root", F.lit("whole")).alias("whole"))
+    return placed.join(whole, "root", "left").select(F.coalesce("whole", "group").alias("group"), "id", "comp").dropDuplicates(["group", "id"])
 
 
 def links_of(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -327,22 +346,27 @@ def needed_bits(wanted: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, owners: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of some classes, made again from the text of the document that stands for each."""
-    wanted = staged(owners.join(ids.select("id").distinct(), "id").select("id", "mark", "first_doc"))
+    """(id, shingles) of some classes, made again from the text of the document that stands for each.
+
+    A task gives every set once. They are dealt by id and no more: joins on it find them in place.
+    """
+    wanted = staged(owners.join(ids.select("id").distinct(), "id").select("id", "first_doc"))
     bits = needed_bits(wanted)
     bucket, place = F.expr("bitmap_bucket_number(bit)"), F.expr("bitmap_bit_position(bit)")
     wide = docs.select("doc_id", "text").filter("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).select("doc_id", "text", (bucket * 32768 + place).cast("long").alias("bit"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = set()
         for batch in pieces_of(batches, "text"):
             bit = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1))
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["first_doc", "mark", "shingles"])
+            sets = [s.tobytes() for s in map(shingles, batch.column(1).to_pylist())]
+            new = {m: s for m, s in zip(map(xxhash.xxh3_128_digest, sets), sets) if m not in given}
+            given.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["mark", "shingles"])
 
-    made = wide.mapInArrow(run, "first_doc long, mark binary, shingles binary")
-    return made.join(wanted, ["first_doc", "mark"]).select("id", "shingles").dropDuplicates(["id"])
+    made = wide.mapInArrow(run, "mark binary, shingles binary").select(F.xxhash64("mark").alias("id"), "shingles")
+    return made.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

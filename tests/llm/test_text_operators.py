@@ -521,3 +521,32 @@ def test_large_parts_of_a_node_are_compared_in_every_tree(spark):
         rows = [(5, 70, 700, tree, i, i, 10, bytes([7] * 64)) for i in range(70)]
         members = spark.createDataFrame(rows, "node long, n long, shingles long, tree int, id long, comp long, size long, sketch binary")
         assert {r.id for r in near_dedup.apart(members).collect()} == set(range(70))
+
+
+def test_groups_of_several_nodes_are_put_together_up_to_a_size(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "WHOLE", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 100)
+    groups = {1: (10, 11), 2: (11, 12), 3: (20, 21), 4: (30, 31, 32), 5: (32, 33), 6: (40, 41), 7: (41, 42)}
+    rows = [(g, i, i, 50 if i >= 40 else 5) for g, ids in groups.items() for i in ids]
+    got = {}
+    for r in near_dedup.together(spark.createDataFrame(rows, "group long, id long, comp long, size long")).collect():
+        got.setdefault(r.group, []).append(r.id)
+    assert sorted(map(sorted, got.values())) == [[10, 11, 12], [20, 21], [30, 31, 32], [32, 33], [40, 41], [41, 42]]
+
+
+def test_a_set_travels_once_whatever_trees_its_class_is_found_in(spark):
+    """Alike texts that the first walk has left alone meet in several trees."""
+    rng = random.Random(21)
+    template = [f"w{rng.getrandbits(40)}" for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(template + [f"x{rng.getrandbits(40)}" for _ in range(12)])) for i in range(40)], "doc_id long, text string")
+    own = near_dedup.staged(near_dedup.described(docs)).selectExpr("xxhash64(mark) as id", "doc_id as first_doc", "mark", "n_shingles as size", "sketch", "tokens", "xxhash64(mark) as comp")
+    rows, _ = near_dedup.involved(own, 0)
+    assert rows.select("id").distinct().count() == rows.count() > 30
+
+
+def test_a_task_makes_the_set_of_many_copies_once(spark):
+    texts = ["one two three four five six seven"] * 50 + ["eight nine ten eleven twelve thirteen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    own = near_dedup.staged(near_dedup.described(docs)).selectExpr("xxhash64(mark) as id", "doc_id as first_doc")
+    sets = near_dedup.sets_of(docs, own, own)
+    assert sorted(len(r.shingles) for r in sets.collect()) == [16, 24]
