@@ -4,6 +4,7 @@ from datetime import timedelta
 
 import pytest
 
+from retentia.functions import ntz
 from retentia.operators import rollup
 from tests.conftest import SVC_SCHEMA, TX_SCHEMA, at, by_key
 
@@ -17,6 +18,16 @@ def test_snapshot_is_the_latest_known_time(spark, tx, svc):
     assert rollup.snapshot_date([(empty, "TransactionDate")]) is None
 
 
+def test_a_table_is_searched_after_the_latest_time_before_it_only(spark, tx, svc, monkeypatch):
+    bounds = []
+    monkeypatch.setattr(rollup, "ntz", lambda when: bounds.append(when) or ntz(when))
+    empty = spark.createDataFrame([], TX_SCHEMA)
+    assert rollup.snapshot_date([(svc, "InteractionDate"), (empty, "TransactionDate"), (tx, "TransactionDate")]) == at("2024-03-26")
+    assert bounds == [at("2024-03-26")] * 2, "what is not later is not read again"
+    days = spark.createDataFrame([(at("2024-05-01").date(),)], "d date")
+    assert rollup.snapshot_date([(tx, "TransactionDate"), (days, "d")]) == at("2024-05-01"), "other kinds of time"
+
+
 def test_transaction_profile(tx):
     got = by_key(rollup.transaction_profile(tx, SNAP))
     assert set(got) == {"a", "b", "c", "d", "e"}, "a missing customer is no group"
