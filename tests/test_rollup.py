@@ -130,3 +130,18 @@ def test_raw_transactions_are_counted_without_object_states(spark, tx):
     got = by_key(rollup.transaction_profile(spark.createDataFrame(rows, TX_SCHEMA), SNAP))["a"]
     assert (got["txn_count"], got["product_cat_nunique"], got["amount_sum"], got["active_months"]) == (5, 3, 16.0, 1)
     assert got["tx_avg_gap_days"] == pytest.approx(2 / 3) and got["amount_std"] == pytest.approx(statistics.stdev([1, 3, 8, 4]))
+
+
+def test_no_set_is_built_for_an_hour(spark, tx):
+    """Sets as states of millions of hours would be sorted for every merge; categories are grouped instead."""
+    profile = rollup.transaction_profile(tx, SNAP)
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "collect_" not in plan
+    assert profile.schema["product_cat_nunique"].dataType.typeName() == "long"
+    # Two categories at the time an hour opens with, one of them again later; gaps and months are those of the hours.
+    rows = [("a", 1, at("2024-01-31 10:00"), 1.0, "A"), ("a", 2, at("2024-01-31 10:00"), 2.0, "B"), ("a", 3, at("2024-01-31 10:30"), 4.0, "A"),
+            ("a", 4, at("2024-02-03 10:00"), 8.0, "B"), ("a", 5, at("2024-02-03 10:00"), 16.0, "A"), ("a", 6, at("2024-02-03 10:20"), 32.0, None), ("a", 7, None, 64.0, "C")]
+    got = by_key(rollup.transaction_profile(spark.createDataFrame(rows, TX_SCHEMA), SNAP))["a"]
+    assert (got["txn_count"], got["product_cat_nunique"], got["amount_sum"], got["active_months"]) == (7, 3, 127.0, 2)
+    assert got["tx_avg_gap_days"] == pytest.approx(2 / 5) and got["amount_std"] == pytest.approx(statistics.stdev([1, 2, 4, 8, 16, 32, 64]))
+    assert (got["first_txn_dt"], got["last_txn_dt"]) == (at("2024-01-31 10:00"), at("2024-02-03 10:20"))
